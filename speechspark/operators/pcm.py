@@ -122,7 +122,11 @@ def envelope(blocks: DataFrame, width: int, block_samples: int = BLOCK_SAMPLES,
 
 def mono_mix(blocks: DataFrame, channels: int = 2) -> DataFrame:
     """Mean over interleaved channels; the block size must be a multiple of ``channels``."""
-    parts = [F.filter("samples", lambda x, i, c=c: i % channels == c) for c in range(channels)]
+
+    def channel(c: int):
+        return F.filter("samples", lambda x, i: i % channels == c)
+
+    parts = [channel(c) for c in range(channels)]
     total = F.transform(parts[0], lambda x: x.cast("double"))
     for part in parts[1:]:
         total = F.zip_with(total, part, lambda a, x: a + x.cast("double"))
