@@ -181,19 +181,20 @@ ORACLE["speakers"] = f"select clip_id, cast(count(distinct speaker_id) as intege
 # --- diagnostics --------------------------------------------------------------------
 
 P7 = f"select *, exp(lp) as p from ({PROBS}) p1"
+P7R = f"select *, exp(round(lp, 9)) as p from ({PROBS}) p1"
 LABELS = "(values (0,'∅'),(1,'A'),(2,'B'),(3,'A+B'),(4,'C'),(5,'A+C'),(6,'B+C')) l(cls, label)"
 
 ORACLE["active_frames"] = f"""
 select clip_id, window_idx, frame_idx, cast(count(*) filter (p > 0.01) as integer) as n_listed,
   string_agg(label, ',' order by cls) filter (p > 0.01) as labels
-from ({P7}) p join {LABELS} using (cls)
+from ({P7R}) p join {LABELS} using (cls)
 group by clip_id, window_idx, frame_idx having max(case when cls > 0 then p end) > 0.1"""
 ORACLE["class_transitions"] = f"""
 select clip_id, window_idx, frame_idx, cls, {r5('conf')} as p, {r5('window_idx * 10.0::double + frame_idx * (10.0::double / 125)')} as time_s
 from (select *, lag(cls, 1, -1) over (partition by clip_id, window_idx order by frame_idx) as was from ({DECODED}) d) t where cls <> was"""
 ORACLE["overlap_frames"] = f"""
 select clip_id, window_idx, frame_idx, cast(count(*) filter (cls > 0 and p > 0.05) as integer) as n_rivals
-from ({P7}) p group by clip_id, window_idx, frame_idx
+from ({P7R}) p group by clip_id, window_idx, frame_idx
 having max(case when cls >= 3 then p end) > 0.08
     or (count(*) filter (cls > 0 and p > 0.05) >= 2 and max(case when cls = 0 then p end) < 0.85)"""
 ORACLE["window_summary"] = f"""

@@ -716,7 +716,7 @@ def match_segments(spark, d):
 
 @query
 def active_frames(spark, d):
-    out = diag.active_frames(fx.class_scores(spark, d))
+    out = diag.active_frames(_rounded_scores(spark, d))
     return out.select("clip_id", "window_idx", "frame_idx", F.size("listed").alias("n_listed"),
                       F.array_join(F.map_keys("listed"), ",").alias("labels"))
 
@@ -729,7 +729,7 @@ def class_transitions(spark, d):
 
 @query
 def overlap_frames(spark, d):
-    return diag.overlap_frames(fx.class_scores(spark, d)).select("clip_id", "window_idx", "frame_idx", "n_rivals")
+    return diag.overlap_frames(_rounded_scores(spark, d)).select("clip_id", "window_idx", "frame_idx", "n_rivals")
 
 
 @query
@@ -752,7 +752,7 @@ def top5_frames(spark, d):
 
 
 def _rounded_scores(spark, d):
-    """Probabilities to nine digits, so that equal ones are ties for every engine."""
+    """Log-probabilities to nine digits, so that ties and level crossings are the same everywhere."""
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
     w = fx.class_weights(spark, d)
     return w.withColumn("logits", F.transform("w", lambda x: F.round(F.log(x / total), 9))).drop("w")

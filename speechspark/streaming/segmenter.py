@@ -65,9 +65,8 @@ class _OrderedChunks(StatefulProcessor):
             self.forget()
         self.flush()
         if out:
-            frame = pd.DataFrame(out)
-            frame.insert(0, "stream_id", key[0])
-            yield frame.reindex(columns=EVENT_COLUMNS)
+            rows_out = [{"stream_id": int(key[0]), **event} for event in out]
+            yield pd.DataFrame({c: pd.Series([e.get(c) for e in rows_out], dtype=object) for c in EVENT_COLUMNS})
 
     def _take(self, values, eos, error, out) -> bool:
         if error is not None:
@@ -239,6 +238,8 @@ def _run(chunks: DataFrame, processor: StatefulProcessor) -> DataFrame:
         from speechspark.sources.chunks import validate_chunks
 
         chunks = validate_chunks(chunks)
+    # A batch run needs the state store coordinator, which the stream manager brings up.
+    _ = chunks.sparkSession.streams.active
     columns = ["stream_id", "seq", "samples", "end_of_stream", "error"]
     return chunks.select(*columns).groupBy("stream_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=EVENTS, outputMode="Append", timeMode="None"
