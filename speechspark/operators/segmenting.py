@@ -8,14 +8,13 @@ blocks with a halo (``functions.blocks``), so one recording may be arbitrarily l
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechspark.functions.blocks import BLOCK, FAN, carry, framed, halo_window, with_halo
-from speechspark.functions.numeric import frame_seconds
 
 KEYS = ("clip_id",)
 
@@ -115,20 +114,21 @@ def vote_over(w, flag: Column, half: int, need: int) -> Column:
     return _count(flag).over(w.rowsBetween(-half, half - 1)) >= need
 
 
-def _with_switch(df: DataFrame, w, params: SegmentParams, p: str) -> DataFrame:
-    """Adds ``_ev``.  Each step gets its own column: a framed sum cannot nest another one."""
+def _with_switch(df: DataFrame, w, params: SegmentParams, p: str, tag: str = "") -> DataFrame:
+    """Adds ``_ev{tag}``: 1 where speech may switch on, 0 where it may switch off, else null.
+
+    Each step gets its own column: a framed sum cannot nest another one.
+    """
+    on_c, off_c = f"_on{tag}", f"_off{tag}"
     if params.smooth > 1:
-        df = df.withColumn("_s", mean_over(w, p, params.smooth))
-        p = "_s"
-    on = at_most(p, params.on) if params.invert else at_least(p, params.on)
-    df = df.withColumn("_on", on)
+        df = df.withColumn(f"_s{tag}", mean_over(w, p, params.smooth))
+        p = f"_s{tag}"
+    df = df.withColumn(on_c, at_most(p, params.on) if params.invert else at_least(p, params.on))
     if params.vote_half:
-        df = df.withColumn("_on", vote_over(w, F.col("_on"), params.vote_half, params.vote_need))
-    df = df.withColumn("_off", ~F.col("_on") if params.off is None else below(p, params.off))
-    return df.withColumn(
-        "_ev",
-        F.when(run_over(w, F.col("_on"), params.k), 1).when(run_over(w, F.col("_off"), params.m), 0),
-    )
+        df = df.withColumn(on_c, vote_over(w, F.col(on_c), params.vote_half, params.vote_need))
+    df = df.withColumn(off_c, ~F.col(on_c) if params.off is None else below(p, params.off))
+    on, off = run_over(w, F.col(on_c), params.k), run_over(w, F.col(off_c), params.m)
+    return df.withColumn(f"_ev{tag}", F.when(on, 1).when(off, 0))
 
 
 # --- single steps as operators ------------------------------------------------------
@@ -190,103 +190,114 @@ def backdate(transition_rows: DataFrame, preset, state="speech", order="frame_id
 # --- the segmenter ------------------------------------------------------------------
 
 
-def block_switches(df, params: SegmentParams, p, keys, order, block) -> DataFrame:
-    """One row per frame block: its frame end and its alternating switches.
+def block_switches(df, models: Mapping[str, SegmentParams], scores: Mapping[str, str], keys, order, block) -> DataFrame:
+    """One row per (frame block, model): the block's frame end and its alternating switches.
 
-    ``items`` holds (frame, ev) where ev differs from the switch before it in the block.
-    Windows and aggregate share one exchange on (keys, block).
+    ``items`` holds (at, ev) where ev differs from the switch before it in the block.  All
+    models share one exchange on (keys, block), which the windows and the aggregate both use.
     """
     w = halo_window(keys, order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    ev = _with_switch(with_halo(df, order, params.back, params.ahead, block), w, params, p)
-    ev = ev.withColumn("_ev", F.when(F.col("_own"), F.col("_ev")))
-    ev = ev.withColumn("_was", F.last("_ev", ignorenulls=True).over(before))
-    fresh = F.col("_ev").isNotNull() & (F.col("_was").isNull() | (F.col("_was") != F.col("_ev")))
-    return (
-        ev.filter("_own")
-        .groupBy(*keys, "_blk")
-        .agg(
-            (F.max(order) + 1).alias("_end"),
-            F.sort_array(
-                F.collect_list(F.when(fresh, F.struct(F.col(order).alias("at"), F.col("_ev").alias("ev"))))
-            ).alias("items"),
-        )
-    )
-
-
-def segment_frames(
+    back, ahead = max(m.back for m in models.values()), max(m.ahead for m in models.values())
+    ev = with_halo(df.select(*keys, order, *sorted(set(scores.values()))), order, back, ahead, block)
+    lists = []
+    for i, (name, params) in enumerate(models.items()):
+        ev = _with_switch(ev, w, params, scores[name], str(i))
+    names = [f"_ev{i}" for i in range(len(models))]
+    ev = ev.withColumns({c: F.when(F.col("_own"), F.col(c)) for c in names})
+    ev = ev.withColumns({f"_was{c}": F.last(c, ignorenulls=True).over(before) for c in names})
+    for c in names:
+        fresh = F.col(c).isNotNull() & (F.col(f"_was{c}").isNull() | (F.col(f"_was{c}") != F.col(c)))
+        found = F.collect_list(F.when(fresh, F.struct(F.col(order).alias("at"), F.col(c).alias("ev"))))
+        lists.append(F.sort_array(found).alias(c))
+    bt = ev.filter("_own").groupBy(*keys, "_blk").agg((F.max(order) + 1).alias("_end"), *lists)
+    per_model = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("items")) for n, c in zip(models, names)])
+    return bt.select(*keys, "_blk", "_end", F.explode(per_model).alias("_m")).select(*keys, "_blk", "_end", "_m.*")
+
+
+def segment_models(
     df: DataFrame,
-    preset: str | SegmentParams,
-    p: str = "p",
+    models: Mapping[str, str | SegmentParams] | Sequence[str],
+    p: str | Mapping[str, str] = "p",
     keys: Sequence[str] = KEYS,
     order: str = "frame_idx",
     block: int = BLOCK,
     fan: int = FAN,
 ) -> DataFrame:
-    """Speech segments of every clip.
+    """Speech segments of every clip for several segmenters, from one pass over the frames.
 
-    Returns keys, start_frame, end_frame (first frame after), start_s, end_s, speaker_id,
-    confidence, emit_order (increasing per clip in the order of emission).
+    ``models`` maps a name to a preset or parameters; ``p`` names the score column, one for all
+    or one per model.  Returns keys, model, start_frame, end_frame (first frame after), start_s,
+    end_s, speaker_id, confidence, emit_order (increasing in the order of emission).
     """
-    params = resolve(preset)
-    bt = block_switches(df, params, p, keys, order, block)
+    models = {n: resolve(v) for n, v in (models.items() if isinstance(models, Mapping) else ((n, n) for n in models))}
+    scores = {n: p if isinstance(p, str) else p[n] for n in models}
+
+    def setting(field):
+        out = F
+        for name, params in models.items():
+            out = out.when(F.col("model") == name, F.lit(field(params)))
+        return out
+
+    unit = [*keys, "model"]
+    bt = block_switches(df, models, scores, keys, order, block)
     first_off = F.filter("items", lambda x: x["ev"] == 0)
     bt = bt.withColumns(
         {
             "_last_ev": F.when(F.size("items") > 0, F.element_at("items", -1)["ev"]),
-            "_first_off": F.when(F.size(first_off) > 0, first_off[0]["at"]),
+            "_first_off": F.get(first_off, F.lit(0))["at"],
         }
     )
     bt = carry(
-        bt, keys,
+        bt, unit,
         before={"_prev_ev": "_last_ev"}, after={"_next_off": "_first_off"}, final={"_n": "_end"},
         fan=fan,
     )
     on = bt.select(
-        *keys, "_prev_ev", "_next_off", "_n", "items", F.posexplode("items").alias("_i", "_it")
+        *unit, "_prev_ev", "_next_off", "_n", "items", F.posexplode("items").alias("_i", "_it")
     ).filter("_it.ev = 1 and (_i > 0 or coalesce(_prev_ev, 0) = 0)")
     # Switches alternate inside a block, so the next item, if any, is the matching "off".
     off_at = F.coalesce(F.get("items", F.col("_i") + 1)["at"], F.col("_next_off"))
+    lead_in, lead_out = setting(lambda m: m.k - 1 + m.backfill), setting(lambda m: m.m - 1)
     segs = on.select(
-        *keys,
-        F.greatest(F.col("_it.at") - (params.k - 1) - params.backfill, F.lit(0)).cast("bigint").alias("start_frame"),
-        F.coalesce(off_at - (params.m - 1), F.col("_n")).cast("bigint").alias("end_frame"),
+        *unit,
+        F.greatest(F.col("_it.at") - lead_in, F.lit(0)).cast("bigint").alias("start_frame"),
+        F.coalesce(off_at - lead_out, F.col("_n")).cast("bigint").alias("end_frame"),
     )
-    if params.backfill > params.m:
-        segs = _clamp_to_previous(segs, params, keys, block)
-    return finish_segments(segs, params.step_ms, keys)
+    reach = max(m.backfill for m in models.values())
+    if any(m.backfill > m.m for m in models.values()):
+        segs = _clamp_to_previous(segs, reach, unit, block)
+    step = setting(lambda m: float(m.step_ms))
+    seconds = lambda c: F.col(c).cast("double") * step / F.lit(1000.0)
+    return segs.select(
+        *unit, "start_frame", "end_frame",
+        seconds("start_frame").alias("start_s"), seconds("end_frame").alias("end_s"),
+        F.lit(0).alias("speaker_id"), F.lit(1.0).cast("float").alias("confidence"),
+        F.col("start_frame").alias("emit_order"),
+    )
+
 
+def segment_frames(df: DataFrame, preset: str | SegmentParams, p: str = "p", keys: Sequence[str] = KEYS,
+                   order: str = "frame_idx", block: int = BLOCK, fan: int = FAN) -> DataFrame:
+    """``segment_models`` for one segmenter, without the model column."""
+    return segment_models(df, {"_": preset}, p, keys, order, block, fan).drop("model")
 
-def _clamp_to_previous(segs, params, keys, block) -> DataFrame:
+
+def _clamp_to_previous(segs: DataFrame, backfill: int, keys: Sequence[str], block: int) -> DataFrame:
     """Keep a back-filled start behind the previous segment's end.
 
-    Gaps are at least ``m`` frames, so this can only bind when backfill > m; and then only
-    for a segment that ends within ``backfill`` frames of the next start, which is why a
-    copy of each segment goes to the block that its end could reach.
+    Gaps are at least ``min_off`` frames, so this can only bind when the back-fill is longer; and
+    then only for a segment that ends within ``backfill`` frames of the next start, which is why
+    a copy of each segment goes to the block that its end could reach.
     """
-    reach = max(block, 4 * params.backfill)
-    own = F.expr(f"start_frame div {reach}")
-    also = F.floor((F.col("end_frame") + params.backfill) / reach).cast("bigint")
+    size = max(block, 4 * backfill)
+    own = F.expr(f"start_frame div {size}")
+    also = F.expr(f"(end_frame + {backfill}) div {size}")
     w = halo_window(keys, "start_frame")
-    both = segs.withColumn("_own_blk", own).withColumn(
-        "_blk", F.explode(F.array_distinct(F.array(own, also)))
-    )
+    both = segs.withColumn("_own_blk", own).withColumn("_blk", F.explode(F.array_distinct(F.array(own, also))))
     return (
         both.withColumn("_was_end", F.lag("end_frame").over(w))
         .filter("_blk = _own_blk")
         .withColumn("start_frame", F.greatest("start_frame", F.coalesce("_was_end", F.lit(0))))
         .select(*keys, "start_frame", "end_frame")
     )
-
-
-def finish_segments(segs: DataFrame, step_ms: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    return segs.select(
-        *keys,
-        "start_frame",
-        "end_frame",
-        frame_seconds("start_frame", step_ms).alias("start_s"),
-        frame_seconds("end_frame", step_ms).alias("end_s"),
-        F.lit(0).alias("speaker_id"),
-        F.lit(1.0).cast("float").alias("confidence"),
-        F.col("start_frame").alias("emit_order"),
-    )

@@ -222,51 +222,61 @@ def realtime_factor(results: DataFrame, by: Sequence[str] = ("model",)) -> DataF
 # --- agreement ----------------------------------------------------------------------
 
 
-def _reach(hist: DataFrame, key: str, rank: Column):
-    """The histogram row that holds position ``rank``, and the position left inside it."""
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("_cum", F.sum("c").over(w)).withColumn("_rank", rank)
-    hit = cum.filter((F.col("_cum") > F.col("_rank")) & (F.col("_cum") - F.col("c") <= F.col("_rank")))
-    return hit.select(F.struct(F.col(key).alias("key"), (F.col("_rank") - F.col("_cum") + F.col("c")).alias("rest"))).scalar()
+def _holding(hist: DataFrame, order: str, rank: Column, *fields: str) -> DataFrame:
+    """The one histogram row that holds place ``rank``, and the place left inside it (``rest``)."""
+    w = Window.orderBy(order)
+    below = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    placed = hist.withColumns({"_below": below, "_rank": rank})
+    inside = (F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("c"))
+    return placed.filter(inside).select(*fields, (F.col("_rank") - F.col("_below")).alias("rest"))
 
 
 def exact_rank(df: DataFrame, value: str, fraction: float, cells: int = 1 << 16) -> DataFrame:
-    """One row: n, v_max, v_mean and v_rank, the element at sorted place floor((n - 1) * fraction).
+    """One row: n, n_null, v_max, v_mean and v_rank, the element at sorted place floor((n - 1) * fraction).
 
-    Exact without a total sort.  A histogram of fixed relative cell width (a bounded number of
-    cells for doubles) finds the cell of the rank, a second one splits that cell, and only the
-    distinct values of the last cell are ordered.  ``value`` must be non-negative.
+    Exact without a total sort, in three passes that each leave a bounded histogram.  Cells of
+    fixed relative width (1024 per octave) give the totals and the cell of the rank; that cell is
+    split again; only the distinct values of the last cell are ordered.  The cell to look into is
+    a single row, broadcast to the next pass.  ``value`` must not be negative.
     """
-    v = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
-    stats = v.agg(F.count("v").alias("n"), F.max("v").alias("v_max"), F.avg("v").alias("v_mean"))
-    rank = stats.select(F.floor((F.col("n") - 1) * F.lit(fraction)).cast("bigint")).scalar()
-
-    octave = F.when(F.col("v") > 0, F.floor(F.log2("v") * 1024)).otherwise(F.lit(-(1 << 40))).cast("bigint")
-    coarse = v.withColumn("cell", octave)
-    first = _reach(coarse.groupBy("cell").agg(F.count(F.lit(1)).alias("c")), "cell", rank)
-
-    inside = coarse.filter(F.col("cell") == first["key"]).select("v")
-    span = inside.select(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-    share = (F.col("v") - span["lo"]) / (span["hi"] - span["lo"])
-    fine = F.when(span["hi"] > span["lo"], F.least(F.floor(share * cells), F.lit(cells - 1))).otherwise(F.lit(0))
-    split = inside.withColumn("cell", fine.cast("bigint"))
-    second = _reach(split.groupBy("cell").agg(F.count(F.lit(1)).alias("c")), "cell", first["rest"])
-
-    last = split.filter(F.col("cell") == second["key"]).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    return stats.withColumn("v_rank", _reach(last, "v", second["rest"])["key"])
+    v = df.select(F.col(value).cast("double").alias("v"))
+    octave = F.when(F.col("v") > 0, F.floor(F.log2("v") * 1024)).when(F.col("v") == 0, F.lit(-(1 << 40)))
+    coarse = v.withColumn("cell", octave.cast("bigint"))
+    hist = coarse.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    )
+    some = F.col("cell").isNotNull()
+    everything = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rank = F.floor((F.sum("c").over(everything) - 1) * F.lit(fraction)).cast("bigint")
+    first = _holding(hist.filter(some), "cell", rank, "cell", "lo", "hi")
+
+    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    fine = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * cells), F.lit(cells - 1))).otherwise(F.lit(0))
+    split = coarse.join(F.broadcast(first), "cell").select("v", "rest", fine.cast("bigint").alias("part"))
+    parts = split.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.max("rest").alias("_r"))
+    second = _holding(parts, "part", F.col("_r"), "part")
+
+    last = split.drop("rest").join(F.broadcast(second), "part").groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max("rest").alias("_r"))
+    return hist.agg(
+        F.coalesce(F.sum(F.when(some, F.col("c"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(~some, F.col("c"))), F.lit(0)).alias("n_null"),
+        F.max("hi").alias("v_max"), F.sum("s").alias("_s"),
+    ).select(
+        "n", "n_null", "v_max", (F.col("_s") / F.col("n")).alias("v_mean"),
+        _holding(last, "v", F.col("_r"), "v").select("v").scalar().alias("v_rank"),
+    )
 
 
 def compare_tables(a: DataFrame, b: DataFrame, on: Sequence[str], value: str = "value",
                    tol_p99: float = 5e-2, tol_max: float = 1e-1) -> DataFrame:
     """Parity of two value tables: shape, max / mean / p99 of |a - b|, verdict."""
     both = a.select(*on, F.col(value).alias("_a")).join(b.select(*on, F.col(value).alias("_b")), list(on), "full_outer")
-    unmatched = both.agg(F.count(F.when(F.col("_a").isNull() | F.col("_b").isNull(), 1))).scalar()
-    diff = both.filter("_a is not null and _b is not null").select(F.abs(F.col("_a") - F.col("_b")).alias("d"))
-    stats = exact_rank(diff, "d", 0.99)
-    return stats.withColumn("n_unmatched", unmatched).select(
-        F.col("n").alias("n_compared"), "n_unmatched",
+    # A row that only one side has gives a null difference.
+    diff = both.select(F.abs(F.col("_a") - F.col("_b")).alias("d"))
+    return exact_rank(diff, "d", 0.99).select(
+        F.col("n").alias("n_compared"), F.col("n_null").alias("n_unmatched"),
         F.col("v_max").alias("max_abs"), F.col("v_mean").alias("mean_abs"), F.col("v_rank").alias("p99_abs"),
-        ((F.col("n_unmatched") == 0) & (F.col("v_max") <= tol_max) & (F.col("v_rank") <= tol_p99)).alias("passed"),
+        ((F.col("n_null") == 0) & (F.col("v_max") <= tol_max) & (F.col("v_rank") <= tol_p99)).alias("passed"),
     )
 
 
@@ -275,7 +285,7 @@ def match_segments(a: DataFrame, b: DataFrame, tol: float = 0.1, bucket_s: float
     """Overlapping pairs of the same speaker with their IoU, and the unmatched rest of both sides.
 
     The interval join is an equi-join on time buckets; a pair is kept in the bucket where the
-    later of the two starts lies, so it appears once.
+    later of the two starts lies, so it appears once.  Identical rows of one side count once.
     """
     def spread(df, tag):
         lo, hi = F.floor(F.col("start_s") / bucket_s), F.floor(F.col("end_s") / bucket_s)
@@ -285,25 +295,33 @@ def match_segments(a: DataFrame, b: DataFrame, tol: float = 0.1, bucket_s: float
         )
 
     start, end = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
-    pairs = (
-        spread(a, "a").join(spread(b, "b"), [*keys, "speaker_id", "_b"])
-        .filter((start < end) & (F.floor(start / bucket_s) == F.col("_b")))
-        .select(
-            *keys, "speaker_id", "a_start", "a_end", "b_start", "b_end",
-            ((end - start) / (F.greatest("a_end", "b_end") - F.least("a_start", "b_start"))).alias("iou"),
-            ((F.abs(F.col("a_start") - F.col("b_start")) <= tol) & (F.abs(F.col("a_end") - F.col("b_end")) <= tol))
-            .alias("same_bounds"),
-            F.lit("both").alias("side"),
+    joined = spread(a, "a").join(spread(b, "b"), [*keys, "speaker_id", "_b"], "full_outer")
+    has_a, has_b = F.col("a_start").isNotNull(), F.col("b_start").isNotNull()
+    overlap = has_a & has_b & (start < end)
+    none = F.lit(None).cast("double")
+
+    def record(side, a_cols, b_cols, hit):
+        return F.struct(
+            F.lit(side).alias("side"),
+            *[(F.col(c) if a_cols else none).alias(c) for c in ("a_start", "a_end")],
+            *[(F.col(c) if b_cols else none).alias(c) for c in ("b_start", "b_end")],
+            hit.alias("hit"),
         )
-    )
 
-    def rest(df, tag, other):
-        own = df.select(*keys, "speaker_id", F.col("start_s").alias(f"{tag}_start"), F.col("end_s").alias(f"{tag}_end"))
-        none = {f"{other}_start": F.lit(None).cast("double"), f"{other}_end": F.lit(None).cast("double")}
-        return (
-            own.join(pairs.select(*keys, "speaker_id", f"{tag}_start", f"{tag}_end"),
-                     [*keys, "speaker_id", f"{tag}_start", f"{tag}_end"], "left_anti")
-            .withColumns({**none, "iou": F.lit(0.0), "same_bounds": F.lit(False), "side": F.lit(f"{tag}_only")})
-        )
-
-    return pairs.unionByName(rest(a, "a", "b")).unionByName(rest(b, "b", "a"))
+    # Every bucket row reports its pair (in one bucket only) and, for each side, whether the
+    # segment overlapped something there; a segment without any hit is unmatched.
+    reports = F.array_compact(F.array(
+        F.when(overlap & (F.floor(start / bucket_s) == F.col("_b")), record("both", True, True, F.lit(True))),
+        F.when(has_a, record("a_only", True, False, overlap)),
+        F.when(has_b, record("b_only", False, True, overlap)),
+    ))
+    told = joined.select(*keys, "speaker_id", F.explode(reports).alias("_r")).select(*keys, "speaker_id", "_r.*")
+    bounds = ["a_start", "a_end", "b_start", "b_end"]
+    kept = told.groupBy(*keys, "speaker_id", "side", *bounds).agg(F.max("hit").alias("hit")).filter("side = 'both' or not hit")
+    iou = (end - start) / (F.greatest("a_end", "b_end") - F.least("a_start", "b_start"))
+    near = (F.abs(F.col("a_start") - F.col("b_start")) <= tol) & (F.abs(F.col("a_end") - F.col("b_end")) <= tol)
+    paired = F.col("side") == "both"
+    return kept.select(
+        *keys, "speaker_id", *bounds, F.when(paired, iou).otherwise(F.lit(0.0)).alias("iou"),
+        F.when(paired, near).otherwise(F.lit(False)).alias("same_bounds"), "side",
+    )

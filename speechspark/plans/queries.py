@@ -609,11 +609,13 @@ def speakers(spark, d):
 
 
 def _model_results(spark, d):
-    segs, results = scoring.compare_models(fx.frame_scores(spark, d), _model_runs(SUMMARY_MODELS))
-    n = fx.frame_scores(spark, d).groupBy("clip_id").agg((F.max("frame_idx") + 1).alias("n"))
-    steps = presets.presets(spark).select("model", "step_ms")
-    runs = results.join(n, "clip_id").join(steps, "model")
-    return segs, runs.select("clip_id", "model", (F.col("n") * F.col("step_ms") / 1000.0).alias("duration_s"))
+    """Segments of several models from one pass, and one row per (clip, model) with its duration."""
+    frames_ = fx.frame_scores(spark, d)
+    segs = seg.segment_models(frames_, SUMMARY_MODELS)
+    n = frames_.groupBy("clip_id").agg((F.max("frame_idx") + 1).alias("n"))
+    listed = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(seg.PRESETS[m].step_ms)).alias("step_ms")) for m in SUMMARY_MODELS]))
+    runs = n.select("clip_id", "n", listed.alias("_m"))
+    return segs, runs.select("clip_id", "_m.model", (F.col("n") * F.col("_m.step_ms") / 1000.0).alias("duration_s"))
 
 
 @query
