@@ -20,7 +20,8 @@ MSG_ALIGN = "samples length %d is not a multiple of 4 (expected float32 little-e
 def read_pcm(spark: SparkSession, path: str, glob: str = f"*{CLIP_SUFFIX}") -> DataFrame:
     """Raw float32 files as clips: clip_id (file name without suffix), sample_rate, pcm.
 
-    The name filter is applied while listing, so other files are never opened.
+    The name filter is applied while listing, so other files are never opened.  Spark leaves out
+    files of length zero.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
