@@ -266,9 +266,9 @@ def _bank(kind: str, n_mels: int, nfft: int, rate: float, low_hz: float, high_hz
 def _rows(pdf: pd.DataFrame, keys, first: list, mats: list, dtype) -> pd.DataFrame:
     counts = [len(m) for m in mats]
     cols = {k: np.repeat(pdf[k].to_numpy(), counts) for k in keys}
-    idx = np.concatenate([np.arange(f, f + c, dtype=np.int64) for f, c in zip(first, counts)]) if counts else []
+    idx = np.concatenate([np.arange(f, f + c, dtype=np.int64) for f, c in zip(first, counts)] or [np.zeros(0, np.int64)])
     flat = [row for m in mats for row in m.astype(dtype)]
-    return pd.DataFrame({**cols, "frame_idx": idx, "mel": flat})
+    return pd.DataFrame({**cols, "frame_idx": idx, "mel": pd.Series(flat, dtype=object)})
 
 
 def _run_features(ctx: DataFrame, compute, keys, precision: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """PCM as bounded blocks, and sample-level operators.
 
 ``pcm_blocks`` is the working form of audio: clip_id, block_idx, n_samples (of the clip),
-samples (at most ``BLOCK_SAMPLES``).  It is made without a shuffle, keeps rows small enough
-for Arrow batches and lets one long recording run in many tasks.
+samples (at most ``BLOCK_SAMPLES``) and up to ``CONTEXT`` samples of both neighbours (before,
+after).  It is made without a shuffle, keeps rows small enough for Arrow batches and lets one
+long recording run in many tasks; operators that look across a block edge read the context
+columns instead of exchanging audio.  Change sample values with ``map_samples``, which keeps
+the context in step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +23,7 @@ from speechspark.functions.numeric import SAMPLE_RATE
 
 KEYS = ("clip_id",)
 BLOCK_SAMPLES = 160_000  # 10 s at 16 kHz, also the window of the class-score model
+CONTEXT = 512
 MODEL_CHUNK = 512
 STREAM_CHUNK = 1_600
 
@@ -44,27 +48,50 @@ def encode_f32(samples: pd.Series) -> pd.Series:
 def pcm_blocks(clips: DataFrame, block_samples: int = BLOCK_SAMPLES, keys: Sequence[str] = KEYS,
                samples: str = "samples") -> DataFrame:
     """Split clips (``samples`` array, or raw float32 bytes in ``pcm``) into blocks."""
-    if samples in clips.columns:
-        n = F.size(samples).cast("bigint")
-    else:
-        n = F.floor(F.length("pcm") / 4).cast("bigint")
+    raw = samples not in clips.columns
+    n = F.floor(F.length("pcm") / 4).cast("bigint") if raw else F.size(samples).cast("bigint")
     split = clips.withColumn("n_samples", n).filter("n_samples > 0")
     split = split.withColumn(
         "block_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_samples - 1) div {block_samples}")))
     )
     at = F.col("block_idx") * block_samples
-    if samples in clips.columns:
-        body = F.slice(samples, (at + 1).cast("int"), F.lit(block_samples))
+    first = F.greatest(at - CONTEXT, F.lit(0).cast("bigint"))  # start of the context
+    length = (at - first) + block_samples + CONTEXT
+    if raw:
+        wide = decode_f32(F.substring(F.col("pcm"), (first * 4 + 1).cast("int"), (length * 4).cast("int")))
     else:
-        body = decode_f32(F.substring(F.col("pcm"), (at * 4 + 1).cast("int"), F.lit(block_samples * 4)))
-    return split.select(*keys, "block_idx", "n_samples", body.alias("samples"))
+        wide = F.slice(samples, (first + 1).cast("int"), length.cast("int"))
+    cut = split.select(*keys, "block_idx", "n_samples", (at - first).cast("int").alias("_lead"), wide.alias("_x"))
+    lead = F.col("_lead")
+    return cut.select(
+        *keys, "block_idx", "n_samples", F.slice("_x", lead + 1, F.lit(block_samples)).alias("samples"),
+        F.slice("_x", F.lit(1), lead).alias("before"), F.slice("_x", lead + 1 + block_samples, F.lit(CONTEXT)).alias("after"),
+    )
+
+
+def map_samples(blocks: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    """Apply a function of one sample to the samples and, if present, to the context."""
+    held = [c for c in ("samples", "before", "after") if c in blocks.columns]
+    return blocks.withColumns({c: F.transform(c, change) for c in held})
+
+
+def without_context(blocks: DataFrame) -> DataFrame:
+    return blocks.drop("before", "after")
 
 
 def with_context(blocks: DataFrame, left: int, right: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Add ``before`` / ``after``: the last ``left`` and first ``right`` samples of the neighbours.
+    """Exactly the last ``left`` and first ``right`` samples of the neighbours as ``before`` / ``after``.
 
-    Only those edges are sent on; groups hold one row per neighbour.
+    Context that came with the blocks is cut to size in place.  Blocks without it (or a longer
+    reach) send their edges to the neighbours; groups then hold one row per neighbour.
     """
+    if "before" in blocks.columns and max(left, right) <= CONTEXT:
+        keep = F.least(F.lit(left), F.size("before"))
+        return blocks.select(
+            *keys, "block_idx", "n_samples", "samples",
+            F.slice("before", F.size("before") - keep + 1, keep).alias("before"),
+            F.slice("after", F.lit(1), F.lit(right)).alias("after"),
+        )
     body = F.struct(
         F.col("block_idx").alias("b"), F.lit(0).alias("role"), F.col("n_samples").alias("n"), F.col("samples").alias("x")
     )
@@ -77,7 +104,10 @@ def with_context(blocks: DataFrame, left: int, right: int, keys: Sequence[str] =
         F.slice("samples", 1, right).alias("x"),
     )
     sent = blocks.select(*keys, F.explode(F.array(body, tail, head)).alias("_m")).select(*keys, "_m.*")
-    part = lambda role: F.max(F.when(F.col("role") == role, F.struct("x")))["x"]
+
+    def part(role: int) -> Column:
+        return F.max(F.when(F.col("role") == role, F.struct("x")))["x"]
+
     none = F.array().cast("array<float>")
     return (
         sent.groupBy(*keys, F.col("b").alias("block_idx"))
@@ -131,7 +161,7 @@ def mono_mix(blocks: DataFrame, channels: int = 2) -> DataFrame:
     for part in parts[1:]:
         total = F.zip_with(total, part, lambda a, x: a + x.cast("double"))
     mixed = F.transform(total, lambda a: (a / channels).cast("float"))
-    return blocks.withColumn("samples", mixed).withColumn(
+    return without_context(blocks).withColumn("samples", mixed).withColumn(
         "n_samples", F.expr(f"n_samples div {channels}")
     )
 
@@ -205,7 +235,7 @@ def truncate(blocks: DataFrame, seconds: float, rate: int = SAMPLE_RATE, block_s
     n = int(rate * seconds)
     left = F.lit(n) - F.col("block_idx") * block_samples
     return (
-        blocks.filter(F.col("block_idx") * block_samples < n)
+        without_context(blocks).filter(F.col("block_idx") * block_samples < n)
         .withColumn("samples", F.slice("samples", 1, F.least(left, F.lit(block_samples)).cast("int")))
         .withColumn("n_samples", F.least("n_samples", F.lit(n).cast("bigint")))
     )

@@ -94,7 +94,7 @@ def events_json(spark, d):
 
 @query
 def transcode(spark, d):
-    b = blocks(spark, d).withColumn("samples", pcm.decode_f32(pcm.encode_f32("samples")))
+    b = pcm.without_context(blocks(spark, d)).withColumn("samples", pcm.decode_f32(pcm.encode_f32("samples")))
     return pcm.to_long(b).select("clip_id", "sample_idx", r5("x").alias("x"))
 
 
@@ -116,14 +116,13 @@ def envelope(spark, d):
 
 @query
 def scale_pcm(spark, d):
-    b = blocks(spark, d).withColumn("samples", F.transform("samples", num.to_int16_scale))
+    b = pcm.map_samples(blocks(spark, d), num.to_int16_scale)
     return pcm.to_long(b).select("clip_id", "sample_idx", r5("x").alias("x"))
 
 
 @query
 def pcm16(spark, d):
-    b = blocks(spark, d)
-    long = pcm.to_long(b.withColumn("samples", F.transform("samples", lambda x: x * F.lit(3.0).cast("float"))))
+    long = pcm.to_long(pcm.map_samples(blocks(spark, d), lambda x: x * F.lit(3.0).cast("float")))
     return long.select("clip_id", "sample_idx", num.to_pcm16("x").alias("asymmetric"), num.to_pcm16("x", "symmetric").alias("symmetric"))
 
 

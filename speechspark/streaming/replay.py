@@ -71,7 +71,8 @@ def analyses(frames: DataFrame, preset: str | SegmentParams, chunk_frames: int,
                     cols["eos"].append(now == stop)
                     cols["starts"].append([begin + s for s, _ in found])
                     cols["ends"].append([begin + e for _, e in found])
-            yield pd.DataFrame(cols)
+            if cols["analysis"]:
+                yield pd.DataFrame(cols)
 
     kt = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys)
     return grouped.mapInPandas(
