@@ -143,7 +143,7 @@ def _rows(key_values: Mapping, frames, p, error, ms) -> pd.DataFrame:
     n = len(frames)
     return pd.DataFrame({
         **{k: [v] * n for k, v in key_values.items()}, "frame_idx": pd.array(frames, dtype="Int64"),
-        "p": pd.array(p, dtype="Float32"), "error": [error] * n, "elapsed_ms": [ms / max(n, 1)] * n,
+        "p": pd.array(p, dtype="Float32"), "error": pd.Series([error] * n, dtype=object), "elapsed_ms": [ms / max(n, 1)] * n,
     })
 
 
@@ -182,7 +182,8 @@ def score_frames(features: DataFrame, scorer: Scorer, frames_per_part: int = 3_0
                     continue
                 keep = np.asarray(pdf.own.iat[i])[: len(out) * ratio : ratio]
                 idx = np.asarray(pdf.idx.iat[i])[: len(out) * ratio : ratio] // ratio
-                yield _rows(key, idx[keep], out[keep], None, ms)
+                if keep.any():
+                    yield _rows(key, idx[keep], out[keep], None, ms)
 
     return parts.mapInPandas(run, f"{_key_types(features, keys)}, frame_idx bigint, p float, error string, elapsed_ms double")
 
