@@ -97,24 +97,38 @@ def at_most(p, theta: float) -> Column:
     return p.cast("float") <= F.lit(theta).cast("float")
 
 
-def _count(flag: Column) -> Column:
-    return F.sum(flag.cast("int"))
-
-
 def mean_over(w, p: str, width: int) -> Column:
     return F.avg(F.col(p).cast("double")).over(w.rowsBetween(-(width - 1), 0))
 
 
-def run_over(w, flag: Column, k: int) -> Column:
-    """True where ``flag`` held on this and the k-1 rows before it."""
-    return flag if k == 1 else _count(flag).over(w.rowsBetween(-(k - 1), 0)) == k
+def run_over(w, flag: Column, k: int, order: str) -> Column:
+    """True where ``flag`` held on this and the k-1 rows before it.
+
+    Measured from the last row where it did not hold: a growing frame costs one step per row,
+    a sliding count would cost k.
+    """
+    if k == 1:
+        return flag
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    broken = F.last(F.when(~flag, F.col(order)), ignorenulls=True).over(so_far)
+    return F.col(order) - F.coalesce(broken, F.first(order).over(so_far) - 1) >= k
+
 
+def with_vote(df: DataFrame, w, flag: str, half: int, need: int, out: str) -> DataFrame:
+    """Adds ``out``: at least ``need`` of the rows [i - half, i + half) hold ``flag``.
 
-def vote_over(w, flag: Column, half: int, need: int) -> Column:
-    return _count(flag).over(w.rowsBetween(-half, half - 1)) >= need
+    The count is a difference of running counts, two steps per row whatever the width.
+    """
+    hits = F.col(flag).cast("int")
+    df = df.withColumns({
+        "_run": F.sum(hits).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_all": F.sum(hits).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+    upto = F.coalesce(F.lead("_run", half - 1).over(w), F.col("_all"))
+    return df.withColumn(out, upto - F.lag("_run", half + 1, 0).over(w) >= need).drop("_run", "_all")
 
 
-def _with_switch(df: DataFrame, w, params: SegmentParams, p: str, tag: str = "") -> DataFrame:
+def _with_switch(df: DataFrame, w, params: SegmentParams, p: str, order: str, tag: str = "") -> DataFrame:
     """Adds ``_ev{tag}``: 1 where speech may switch on, 0 where it may switch off, else null.
 
     Each step gets its own column: a framed sum cannot nest another one.
@@ -125,9 +139,9 @@ def _with_switch(df: DataFrame, w, params: SegmentParams, p: str, tag: str = "")
         p = f"_s{tag}"
     df = df.withColumn(on_c, at_most(p, params.on) if params.invert else at_least(p, params.on))
     if params.vote_half:
-        df = df.withColumn(on_c, vote_over(w, F.col(on_c), params.vote_half, params.vote_need))
+        df = with_vote(df, w, on_c, params.vote_half, params.vote_need, on_c)
     df = df.withColumn(off_c, ~F.col(on_c) if params.off is None else below(p, params.off))
-    on, off = run_over(w, F.col(on_c), params.k), run_over(w, F.col(off_c), params.m)
+    on, off = run_over(w, F.col(on_c), params.k, order), run_over(w, F.col(off_c), params.m, order)
     return df.withColumn(f"_ev{tag}", F.when(on, 1).when(off, 0))
 
 
@@ -141,13 +155,13 @@ def boxcar(df, width=5, p="p", out="p_mean", keys=KEYS, order="frame_idx", block
 
 def vote(df, flag: Column, half=10, need=15, out="voted", keys=KEYS, order="frame_idx", block=BLOCK):
     """Centred vote over [i - half, i + half); frames outside the clip never count."""
-    return framed(
-        df, keys, order, {out: lambda w: vote_over(w, flag, half, need)}, back=half, ahead=half - 1, block=block
-    )
+    w = halo_window(keys, order)
+    own = with_halo(df.withColumn("_flag", flag), order, half, half - 1, block)
+    return with_vote(own, w, "_flag", half, need, out).filter("_own").drop("_flag", "_blk", "_own")
 
 
 def run_length(df, flag: Column, k: int, out="run_done", keys=KEYS, order="frame_idx", block=BLOCK):
-    return framed(df, keys, order, {out: lambda w: run_over(w, flag, k)}, back=k - 1, block=block)
+    return framed(df, keys, order, {out: lambda w: run_over(w, flag, k, order)}, back=k - 1, block=block)
 
 
 def speech_state(
@@ -158,7 +172,7 @@ def speech_state(
     params = resolve(preset)
     w = halo_window(keys, order)
     base = df.columns
-    ev = _with_switch(with_halo(df, order, params.back, params.ahead, block), w, params, p).filter("_own")
+    ev = _with_switch(with_halo(df, order, params.back, params.ahead, block), w, params, p, order).filter("_own")
     # State inside the block, then the carried state of earlier blocks for the frames
     # that precede the block's first switch.
     seen = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -202,7 +216,7 @@ def block_switches(df, models: Mapping[str, SegmentParams], scores: Mapping[str,
     ev = with_halo(df.select(*keys, order, *sorted(set(scores.values()))), order, back, ahead, block)
     lists = []
     for i, (name, params) in enumerate(models.items()):
-        ev = _with_switch(ev, w, params, scores[name], str(i))
+        ev = _with_switch(ev, w, params, scores[name], order, str(i))
     names = [f"_ev{i}" for i in range(len(models))]
     ev = ev.withColumns({c: F.when(F.col("_own"), F.col(c)) for c in names})
     ev = ev.withColumns({f"_was{c}": F.last(c, ignorenulls=True).over(before) for c in names})
