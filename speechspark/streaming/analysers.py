@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -69,6 +70,63 @@ class ScoreAnalyser:
         return [(s * step, e * step, 0, 1.0) for s, e in self.frames(p)]
 
 
+class BufferedScores:
+    """The segments of many buffers cut from one array, without re-reading each buffer.
+
+    A switch at position i depends on ``back`` values before it and ``ahead`` after it, so only
+    the edges of a buffer can differ from the switches of the whole array.  The edges are worked
+    out per buffer; in between, the precomputed change points are used.
+    """
+
+    def __init__(self, x: np.ndarray, params: SegmentParams):
+        self.x, self.params = x, params
+        self.full = ScoreAnalyser(params)
+        ev = switch_points(x, params)
+        at = np.flatnonzero(ev >= 0)
+        value = ev[at]
+        self.changes = at[1:][value[1:] != value[:-1]].tolist()
+        self.at, self.value = at.tolist(), value.tolist()
+        self.back, self.ahead = params.back, params.ahead
+        self.plain = params.smooth == 1 and not params.vote_half
+        self.held = (params.m - 1, params.k - 1)
+
+    def _head(self, lo: int, left: int, first: int) -> list[int]:
+        """State changes among the first ``back`` positions of a buffer."""
+        if not self.plain:
+            head = switch_points(self.x[lo:left + self.ahead], self.params)[: self.back]
+            return (lo + alternate(head)).tolist()
+        flips, state = [], 0
+        for j in range(bisect_left(self.at, lo), first):
+            # A run counts if all of it lies inside the buffer.
+            if self.value[j] != state and self.at[j] >= lo + self.held[self.value[j]]:
+                state = self.value[j]
+                flips.append(self.at[j])
+        return flips
+
+    def frames(self, lo: int, hi: int) -> list[tuple[int, int]]:
+        """As ``ScoreAnalyser.frames(x[lo:hi])``, with positions counted in the whole array."""
+        pr = self.params
+        left, right = lo + self.back, hi - self.ahead
+        if right - left <= self.back:
+            return [(lo + s, lo + e) for s, e in self.full.frames(self.x[lo:hi])]
+        first = bisect_left(self.at, left)
+        flips = self._head(lo, left, first)
+        if first < len(self.at) and self.at[first] < right:
+            if self.value[first] != len(flips) % 2:
+                flips.append(self.at[first])
+            flips += self.changes[bisect_right(self.changes, self.at[first]):bisect_left(self.changes, right)]
+        if self.ahead:
+            tail = switch_points(self.x[right - self.back:hi], pr)[self.back:]
+            flips += (right + alternate(tail, len(flips) % 2)).tolist()
+        starts = [max(f - pr.k + 1 - pr.backfill, lo) for f in flips[::2]]
+        ends = [f - pr.m + 1 for f in flips[1::2]]
+        if len(ends) < len(starts):
+            ends.append(hi)
+        if pr.backfill > pr.m:
+            starts[1:] = [max(s, e) for s, e in zip(starts[1:], ends)]
+        return list(zip(starts, ends))
+
+
 class EnergyAnalyser:
     """Weight-free PCM analyser: level of 10 ms steps against a threshold, then hysteresis."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from speechspark.functions.blocks import BLOCK, framed
 from speechspark.operators.segmenting import SegmentParams, resolve, speech_state
-from speechspark.streaming.analysers import ScoreAnalyser
+from speechspark.streaming.analysers import BufferedScores
 from speechspark.streaming.params import StreamParams
 
 KEYS = ("clip_id",)
@@ -29,9 +29,11 @@ def frame_stream_params(preset: str | SegmentParams, **changes) -> StreamParams:
 
 
 def analyses(frames: DataFrame, preset: str | SegmentParams, chunk_frames: int, params: StreamParams | None = None,
-             keys: Sequence[str] = KEYS, order: str = "frame_idx", p: str = "p", per_block: int = 64) -> DataFrame:
-    """One row per buffer analysis: keys, analysis, buf_start, now_frame, eos, starts[], ends[].
+             keys: Sequence[str] = KEYS, order: str = "frame_idx", p: str = "p", per_block: int = 256) -> DataFrame:
+    """One row per buffer analysis: keys, analysis, buf_start, now_frame, eos, active, starts[], ends[].
 
+    ``starts`` / ``ends`` are the segments that became final, without those that an earlier
+    analysis of the same block already reported; ``active`` tells whether speech reaches the end.
     Chunks hold ``chunk_frames`` frames (the last may be shorter), so an analysis happens every
     ceil(min / chunk) chunks and at the end of the stream.  Frame numbers are absolute.
     """
@@ -40,43 +42,50 @@ def analyses(frames: DataFrame, preset: str | SegmentParams, chunk_frames: int,
     per = max(1, math.ceil(params.min_values / chunk_frames)) * chunk_frames
     cap = params.max_values
     span = per * per_block
-    analyse = ScoreAnalyser(seg)
     # A block reads from one buffer length before its first analysis to one frame past its
     # last one; that extra frame tells whether the stream goes on.
     first, last = F.expr(f"greatest({order} - 1, 0) div {span}"), F.expr(f"({order} + {cap + per}) div {span}")
-    grouped = (
-        frames.select(*keys, order, p, F.explode(F.sequence(first, last)).alias("_blk"))
-        .groupBy(*keys, "_blk")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("i"), F.col(p).cast("double").alias("p")))).alias("_f"))
-        .select(*keys, "_blk", F.col("_f.i")[0].alias("_first"), F.col("_f.p").alias("_p"))
+    spread = frames.select(
+        *keys, F.col(order).alias("_i"), F.col(p).cast("double").alias("_p"), F.explode(F.sequence(first, last)).alias("_blk")
     )
 
-    def run(batches):
-        for pdf in batches:
-            cols = {c: [] for c in (*keys, "analysis", "buf_start", "now_frame", "eos", "starts", "ends")}
-            for i in range(len(pdf)):
-                blk, first, x = int(pdf["_blk"].iat[i]), int(pdf["_first"].iat[i]), np.asarray(pdf["_p"].iat[i])
-                stop = first + len(x)  # one past the last frame this block can see
-                for k in range(blk * per_block, (blk + 1) * per_block):
-                    if k * per >= stop:
-                        break
-                    now = min((k + 1) * per, stop)
-                    begin = max(0, now - cap)
-                    found = analyse.frames(x[begin - first:now - first])
-                    for name in keys:
-                        cols[name].append(pdf[name].iat[i])
-                    cols["analysis"].append(k)
-                    cols["buf_start"].append(begin)
-                    cols["now_frame"].append(now)
-                    cols["eos"].append(now == stop)
-                    cols["starts"].append([begin + s for s, _ in found])
-                    cols["ends"].append([begin + e for _, e in found])
-            if cols["analysis"]:
-                yield pd.DataFrame(cols)
+    step_ms, tol, wait = seg.step_ms, params.active_tol_s * 1000 + 1e-6, params.finalize_s * 1000 - 1e-6
+
+    def start_key(frame: int) -> int:
+        return params.start_key(frame * step_ms / 1000) if params.dedupe == "bucket" else frame
+
+    def run(group, pdf):
+        blk = int(group[-1])
+        pdf = pdf.sort_values("_i")
+        first, x = int(pdf["_i"].iat[0]), pdf["_p"].to_numpy()
+        stop = first + len(x)  # one past the last frame this block can see
+        buffers = BufferedScores(x, seg)
+        ks = np.arange(blk * per_block, (blk + 1) * per_block)
+        ks = ks[ks * per < stop]
+        now = np.minimum((ks + 1) * per, stop)
+        begin = np.maximum(now - cap, 0)
+        seen: set[int] = set()
+        active, starts, ends = [], [], []
+        for lo, hi in zip(begin.tolist(), now.tolist()):
+            found = [(first + s, first + e) for s, e in buffers.frames(lo - first, hi - first)]
+            active.append(any((hi - e) * step_ms <= tol for _, e in found))
+            fresh = []
+            for s, e in found:
+                cut = params.suppress_left_edge and s <= lo and lo > 0
+                if not cut and (hi == stop or (hi - e) * step_ms >= wait) and start_key(s) not in seen:
+                    seen.add(start_key(s))
+                    fresh.append((s, e))
+            starts.append([s for s, _ in fresh])
+            ends.append([e for _, e in fresh])
+        out = pd.DataFrame({"analysis": ks, "buf_start": begin, "now_frame": now, "eos": now == stop, "active": active})
+        out["starts"], out["ends"] = pd.Series(starts, dtype=object), pd.Series(ends, dtype=object)
+        for name, value in zip(keys, group):
+            out[name] = pd.Series([value] * len(ks), dtype=pdf[name].dtype)
+        return out
 
     kt = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys)
-    return grouped.mapInPandas(
-        run, f"{kt}, analysis bigint, buf_start bigint, now_frame bigint, eos boolean, starts array<bigint>, ends array<bigint>"
+    return spread.groupBy(*keys, "_blk").applyInPandas(
+        run, f"{kt}, analysis bigint, buf_start bigint, now_frame bigint, eos boolean, active boolean, starts array<bigint>, ends array<bigint>"
     )
 
 
@@ -86,7 +95,7 @@ def abs_time(rel_s: Column, buf_start: Column, rate: float) -> Column:
 
 
 def replay_stream(frames: DataFrame, preset: str | SegmentParams, chunk_frames: int, params: StreamParams | None = None,
-                  keys: Sequence[str] = KEYS, order: str = "frame_idx", p: str = "p", per_block: int = 64) -> DataFrame:
+                  keys: Sequence[str] = KEYS, order: str = "frame_idx", p: str = "p", per_block: int = 256) -> DataFrame:
     """Events of the streaming segmenter: keys, analysis, event_type, timestamp, emitted_at_s,
     speech_active, start_s, end_s."""
     seg = resolve(preset)
@@ -95,12 +104,9 @@ def replay_stream(frames: DataFrame, preset: str | SegmentParams, chunk_frames:
     runs = analyses(frames, seg, chunk_frames, params, keys, order, p, per_block)
     ms = lambda frame: F.col(frame).cast("double") * step
 
-    listed = runs.select(*keys, "analysis", "buf_start", "now_frame", "eos", F.explode(F.arrays_zip("starts", "ends")).alias("_s"))
-    listed = listed.select(*keys, "analysis", "buf_start", "now_frame", "eos",
-                           F.col("_s.starts").alias("start_frame"), F.col("_s.ends").alias("end_frame"))
-    done = listed.filter("eos" if params.finalize_s == math.inf else F.col("eos") | (ms("now_frame") - ms("end_frame") >= params.finalize_s * 1000.0))
-    if params.suppress_left_edge:
-        done = done.filter("buf_start = 0 or start_frame > buf_start")
+    done = runs.select(*keys, "analysis", "now_frame", F.explode(F.arrays_zip("starts", "ends")).alias("_s")).select(
+        *keys, "analysis", "now_frame", F.col("_s.starts").alias("start_frame"), F.col("_s.ends").alias("end_frame")
+    )
     start_key = F.col("start_frame")
     if params.dedupe == "bucket":
         start_key = F.floor(F.round(ms("start_frame") / 1000.0 / params.bucket_s, 6)).cast("bigint")
@@ -112,10 +118,8 @@ def replay_stream(frames: DataFrame, preset: str | SegmentParams, chunk_frames:
         F.lit(None).cast("boolean").alias("speech_active"),
         (ms("_e.start_frame") / 1000.0).alias("start_s"), (ms("_e.end_frame") / 1000.0).alias("end_s"),
     )
-    tol = params.active_tol_s * 1000.0
-    reaches = F.coalesce(F.array_max("ends").cast("double") * step >= ms("now_frame") - F.lit(tol), F.lit(False))
     activity = framed(
-        runs.select(*keys, "analysis", "now_frame", "eos", reaches.alias("speech_active")), keys, "analysis",
+        runs.select(*keys, "analysis", "now_frame", "eos", F.col("active").alias("speech_active")), keys, "analysis",
         {"_was": lambda w: F.lag("speech_active", 1, False).over(w)}, back=1,
     )
     # A change is one event; the end of the stream forces one more if speech is still active.
@@ -137,10 +141,7 @@ def activity_series(frames: DataFrame, preset, chunk_frames: int, params: Stream
     seg = resolve(preset)
     params = params or frame_stream_params(seg)
     runs = analyses(frames, seg, chunk_frames, params, **kw)
-    step = F.lit(float(seg.step_ms))
-    reaches = F.array_max("ends").cast("double") * step >= F.col("now_frame").cast("double") * step - F.lit(params.active_tol_s * 1000.0)
-    keys = kw.get("keys", KEYS)
-    return runs.select(*keys, "analysis", "now_frame", F.coalesce(reaches, F.lit(False)).alias("speech_active"))
+    return runs.select(*kw.get("keys", KEYS), "analysis", "now_frame", F.col("active").alias("speech_active"))
 
 
 def debounce(series: DataFrame, hold: int, keys: Sequence[str] = KEYS, order: str = "analysis", flag: str = "speech_active",

@@ -14,7 +14,7 @@ from speechspark.schemas import CHUNKS
 from speechspark.sources.chunks import read_chunks, validate_chunks
 from speechspark.sources.sinks import events_to_json
 from speechspark.streaming import replay
-from speechspark.streaming.analysers import EnergyAnalyser, ScoreAnalyser
+from speechspark.streaming.analysers import BufferedScores, EnergyAnalyser, ScoreAnalyser
 from speechspark.streaming.params import StreamParams
 from speechspark.streaming.segmenter import segment_stream, segment_stream_incremental
 
@@ -112,6 +112,19 @@ def test_replay_equals_plain_rules(spark, scores, per_block, preset):
         assert told(out, c) == sorted(plain.stream_events(lists[c], ScoreAnalyser(prm), params)), c
 
 
+@pytest.mark.parametrize("name", ["silero", "marblenet", "firered", "fsmn", "wide"])
+def test_buffers_of_one_array(name):
+    prm = seg.SegmentParams(step_ms=10, on=0.5, min_on=3, min_off=2, backfill=15, smooth=3) if name == "wide" else seg.resolve(name)
+    prm = seg.resolve("fsmn", min_off=9, on=0.45) if name == "fsmn" else prm
+    rng = np.random.default_rng(21)
+    x = series(rng, 3_000)
+    many = BufferedScores(x, prm)
+    for _ in range(400):
+        lo = int(rng.integers(0, 2_990))
+        hi = int(min(len(x), lo + rng.integers(1, 900)))
+        assert many.frames(lo, hi) == [(lo + s, lo + e) for s, e in plain.segments(x[lo:hi], prm)]
+
+
 def test_options_bucket_and_left_edge(spark, scores):
     rows = pd.DataFrame({"clip_id": 2, "frame_idx": np.arange(STREAMS[2]), "p": 0.9})  # one endless segment
     df = spark.createDataFrame(rows)
