@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from speechspark.functions.numeric import SAMPLE_RATE
 from speechspark.operators.pcm import encode_f32
+from speechspark.session import checkpoint_dir
 
 KEYS = ("clip_id",)
 
@@ -133,3 +134,13 @@ def events_to_json(events: DataFrame, keys: Sequence[str] = ("stream_id",)) -> D
         F.col("event_type").alias("type"),
     )
     return events.select(*keys, F.to_json(body).alias("json"))
+
+
+def write_events(events: DataFrame, path: str, name: str, trigger: dict | None = None):
+    """Start appending streaming events to ``path``; progress is kept under the shared
+    checkpoint folder in ``name``, so the same name resumes after a restart."""
+    writer = (
+        events.writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", f"{checkpoint_dir(events.sparkSession)}/{name}")
+    )
+    return (writer.trigger(**trigger) if trigger else writer).start(path)

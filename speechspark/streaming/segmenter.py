@@ -29,9 +29,11 @@ class _OrderedChunks(StatefulProcessor):
     repeat and is dropped.  After the end of a stream, or an invalid chunk, the rest is ignored.
     """
 
+    ttl_ms: int | None = None  # forget a stream that has been idle this long; nothing is emitted
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "next_seq bigint, done boolean")
-        self.waiting = handle.getMapState("waiting", "seq bigint", "payload binary, eos boolean, error string")
+        self.place = handle.getValueState("place", "next_seq bigint, done boolean", self.ttl_ms)
+        self.waiting = handle.getMapState("waiting", "seq bigint", "payload binary, eos boolean, error string", self.ttl_ms)
         self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -107,7 +109,8 @@ class RollingSegmenter(_OrderedChunks):
 
     def open(self, handle):
         self.state = handle.getValueState(
-            "buffer", "values binary, start bigint, fresh bigint, analysis bigint, active boolean, emitted array<bigint>"
+            "buffer", "values binary, start bigint, fresh bigint, analysis bigint, active boolean, emitted array<bigint>",
+            self.ttl_ms,
         )
         self.live = None
 
@@ -178,7 +181,8 @@ class IncrementalSegmenter(_OrderedChunks):
 
     def open(self, handle):
         self.state = handle.getValueState(
-            "machine", "tail binary, seen bigint, decided bigint, speech boolean, start bigint, last_end bigint"
+            "machine", "tail binary, seen bigint, decided bigint, speech boolean, start bigint, last_end bigint",
+            self.ttl_ms,
         )
         self.live = None
 
@@ -233,7 +237,9 @@ class IncrementalSegmenter(_OrderedChunks):
         live[0], live[1] = x[-keep:] if keep < len(x) else x, seen
 
 
-def _run(chunks: DataFrame, processor: StatefulProcessor) -> DataFrame:
+def _run(chunks: DataFrame, processor: _OrderedChunks, idle_ttl_s: float | None) -> DataFrame:
+    if idle_ttl_s is not None:
+        processor.ttl_ms = int(idle_ttl_s * 1000)
     if "error" not in chunks.columns:
         from speechspark.sources.chunks import validate_chunks
 
@@ -242,15 +248,21 @@ def _run(chunks: DataFrame, processor: StatefulProcessor) -> DataFrame:
     _ = chunks.sparkSession.streams.active
     columns = ["stream_id", "seq", "samples", "end_of_stream", "error"]
     return chunks.select(*columns).groupBy("stream_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=EVENTS, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=EVENTS, outputMode="Append",
+        timeMode="None" if idle_ttl_s is None else "ProcessingTime",
     )
 
 
-def segment_stream(chunks: DataFrame, analyser: Analyser, params: StreamParams = StreamParams()) -> DataFrame:
-    """Rolling-buffer events of every stream."""
-    return _run(chunks, RollingSegmenter(analyser, params))
+def segment_stream(chunks: DataFrame, analyser: Analyser, params: StreamParams = StreamParams(),
+                   idle_ttl_s: float | None = None) -> DataFrame:
+    """Rolling-buffer events of every stream.
+
+    Only the end-of-stream flag finalises a stream.  ``idle_ttl_s`` drops the state of streams
+    that stopped without it.
+    """
+    return _run(chunks, RollingSegmenter(analyser, params), idle_ttl_s)
 
 
-def segment_stream_incremental(chunks: DataFrame, preset: str | SegmentParams) -> DataFrame:
+def segment_stream_incremental(chunks: DataFrame, preset: str | SegmentParams, idle_ttl_s: float | None = None) -> DataFrame:
     """Events from frame scores without re-analysis."""
-    return _run(chunks, IncrementalSegmenter(preset))
+    return _run(chunks, IncrementalSegmenter(preset), idle_ttl_s)

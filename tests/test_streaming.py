@@ -12,6 +12,7 @@ from test_segmenting import series
 from speechspark.operators import segmenting as seg
 from speechspark.schemas import CHUNKS
 from speechspark.sources.chunks import read_chunks, validate_chunks
+from speechspark.sources import sinks
 from speechspark.sources.sinks import events_to_json
 from speechspark.streaming import replay
 from speechspark.streaming.analysers import BufferedScores, EnergyAnalyser, ScoreAnalyser
@@ -50,7 +51,9 @@ def write_files(spark, rows, folder, n, seed):
 
 def run_stream(spark, build, folder, tmp, files=1):
     chunks = read_chunks(spark, f"{folder}/*", maxFilesPerTrigger=str(files))
-    q = build(chunks).writeStream.format("parquet").option("checkpointLocation", f"{tmp}/ckpt").trigger(availableNow=True).start(f"{tmp}/out")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sinks, "checkpoint_dir", lambda _: f"{tmp}/ckpt")
+        q = sinks.write_events(build(chunks), f"{tmp}/out", "events", {"availableNow": True})
     q.awaitTermination(120)
     assert q.exception() is None
     return spark.read.parquet(f"{tmp}/out")
@@ -94,7 +97,8 @@ def test_incremental_vote_over_micro_batches(spark, scores, tmp_path):
     prm = seg.resolve("fsmn", min_off=9, on=0.45)
     rows, _ = chunk_rows(scores, np.random.default_rng(9))
     write_files(spark, rows, f"{tmp_path}/in", 4, 3)
-    out = run_stream(spark, lambda ch: segment_stream_incremental(ch, prm), f"{tmp_path}/in", tmp_path).filter("event_type = 'segment'")
+    build = lambda ch: segment_stream_incremental(ch, prm, idle_ttl_s=3600)
+    out = run_stream(spark, build, f"{tmp_path}/in", tmp_path).filter("event_type = 'segment'")
     for c, p in scores.items():
         mine = sorted((round(r.start_s * 100), round(r.end_s * 100)) for r in out.filter(F.col("stream_id") == c).collect())
         assert mine == plain.segments(p, prm)
