@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEYS = ("clip_id",)
 MAX_DIMS = 4_096
 # Fixed value: the smallest variance used.
 VARIANCE_FLOOR = 1e-20

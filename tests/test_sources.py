@@ -5,7 +5,6 @@ import wave
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from test_features import clip_table
 
 from speechspark.operators import pcm, segments
