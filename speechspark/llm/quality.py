@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechspark.llm.common import SPACES, content_key, words
+from speechspark.llm.common import SPACES, content_key, stored, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -31,7 +31,9 @@ def _lines(text: Column) -> Column:
 
 
 def base_counts(rows: DataFrame) -> DataFrame:
-    """Counts over the whole column ``t`` of a frame (``i``, ``h``, ``c``, ``t``); ``t`` goes.
+    """Counts and lines over the whole column ``t`` of a frame (``i``, ``h``, ``c``, ``t``); ``t`` goes.
+
+    ``lines`` holds the key and the number of words of each line with a word, in order.
 
     ``n_repeat_words`` counts the words inside 3-word windows that occur at least twice in the text.
     Windows are compared by a 64-bit hash within one text; only texts in which a hash repeats are
@@ -43,6 +45,8 @@ def base_counts(rows: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(t, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
     )
+    line = lambda x: F.struct(
+        F.xxhash64(F.col("h"), _normal(x)).alias("k"), F.size(words(x)).cast("long").alias("n"))
     keep = ["i", "h", "c", "word_chars", "n_symbols"]
     n = F.size("w")
     at = lambda k: F.get(F.col("w"), k)
@@ -53,9 +57,9 @@ def base_counts(rows: DataFrame) -> DataFrame:
     out = out.select(
         *keep, n.cast("long").alias("n_words"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        window.alias("x"),
+        F.transform("l", line).alias("lines"), window.alias("x"),
     )
-    keep += ["n_words", "n_dup_lines"]
+    keep += ["n_words", "n_dup_lines", "lines"]
     ordered = F.when(
         F.size(F.array_distinct("x")) < F.size("x"),
         F.sort_array(F.transform("x", lambda v, k: F.struct(v.alias("v"), k.alias("k")))),
@@ -71,9 +75,9 @@ def base_counts(rows: DataFrame) -> DataFrame:
     return out.select(*keep, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(``k``, ``n_docs``) of the lines above their host's limit, from rows (``h``, ``c``, ``k``)."""
-    docs = lines.select("h", "c").distinct().groupBy("h").agg(F.count("*").alias("n_host"))
+def frequent_lines(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(``k``, ``n_docs``) of the lines above their host's limit, from documents (``h``, ``c``) and lines (``h``, ``c``, ``k``)."""
+    docs = docs.distinct().groupBy("h").agg(F.count("*").alias("n_host"))
     freq = lines.select("h", "c", "k").distinct().groupBy("h", "k").agg(F.count("*").alias("n_docs"))
     freq = freq.filter(F.col("n_docs") > min_docs)
     docs = docs.withColumnRenamed("h", "hh")
@@ -99,25 +103,22 @@ def quality_rules(
         F.col(id_col).alias("i"), F.col(host_col).alias("h"),
         F.coalesce(F.col(text_col), F.lit("")).alias("t"),
     ).withColumn("c", content_key(F.col("t")))
-    n_words = lambda x: F.size(words(x)).cast("long")
-    lines = rows.select(
-        "i", "h", "c",
-        F.explode(F.transform(_lines(F.col("t")), lambda x: F.struct(
-            F.xxhash64(F.col("h"), _normal(x)).alias("k"), n_words(x).alias("n")))).alias("x"),
-    ).select("i", "h", "c", "x.k", "x.n")
-    # Equal lines of one document are one row, so that repeated rows of a document can't count twice.
-    hits = lines.join(frequent_lines(lines, min_docs, max_share).select("k"), "k")
-    per_line = hits.groupBy("i", "c", "k").agg(F.sum("n").alias("n"))
-    copies = rows.groupBy("i", "c").agg(F.count("*").alias("copies")).filter("copies > 1")
-    per_doc = per_line.groupBy("i", "c").agg(F.sum("n").alias("removed"))
-    per_doc = (
-        per_doc.join(copies.withColumnsRenamed({"i": "ci", "c": "cc"}),
-                     F.col("i").eqNullSafe(F.col("ci")) & (F.col("c") == F.col("cc")), "left")
-        .select(F.col("i").alias("ri"), F.col("c").alias("rc"),
-                (F.col("removed") / F.coalesce("copies", F.lit(1))).cast("long").alias("removed"))
-    )
-    base = base_counts(rows)
-    joined = base.join(per_doc, F.col("i").eqNullSafe(F.col("ri")) & (F.col("c") == F.col("rc")), "left")
+    # One pass over the texts; everything after it reads narrow rows.
+    base = stored(base_counts(rows), "base")
+    lines = base.select("i", "h", "c", F.explode("lines").alias("x")).select("i", "h", "c", "x.k", "x.n")
+    often = frequent_lines(base.select("h", "c"), lines, min_docs, max_share)
+    # Repeated rows of a document have its lines several times.
+    row = ["i", "h", "c"]
+    copies = base.groupBy(*row).agg(F.count("*").alias("copies")).filter("copies > 1")
+    removed = lines.join(often.select("k"), "k").groupBy(*row).agg(F.sum("n").alias("removed"))
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.withColumnsRenamed({x: f"r{x}" for x in row})
+        same = F.col("i").eqNullSafe(F.col("ri")) & F.col("h").eqNullSafe(F.col("rh")) & (F.col("c") == F.col("rc"))
+        return left.join(right, same, "left").drop("ri", "rh", "rc")
+
+    per_doc = beside(removed, copies).select(*row, (F.col("removed") / F.coalesce("copies", F.lit(1))).cast("long").alias("removed"))
+    joined = beside(base.drop("lines"), per_doc)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     removed = F.coalesce("removed", F.lit(0))
     return joined.select(
@@ -142,7 +143,7 @@ def without_frequent_lines(
     key = lambda x: F.xxhash64(F.col("h"), _normal(x))
     lines = rows.select("i", "h", "c", F.explode(F.transform(_lines(F.col("t")), key)).alias("k"))
     gone = (
-        lines.join(frequent_lines(lines, min_docs, max_share).select("k"), "k")
+        lines.join(frequent_lines(rows.select("h", "c"), lines, min_docs, max_share).select("k"), "k")
         .groupBy("i", "c").agg(F.collect_set("k").alias("gone"))
         .withColumnsRenamed({"i": "ri", "c": "rc"})
     )
