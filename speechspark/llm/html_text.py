@@ -52,7 +52,9 @@ WALLS = frozenset("table ul ol dl div article section main aside body html block
 
 _TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|(?<=[\s\"'/]))(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"'>]|$)", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: A class with one of these describes a layout around the text, such as "content-with-sidebar".
+LAYOUT = frozenset("with has no without layout".split())
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WHITE = re.compile(r"\s+")
 
@@ -72,10 +74,13 @@ def _boilerplate(name: str, attributes: str) -> bool:
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
+        key, raw = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+        value = raw.lower()
         if key in ("class", "id"):
-            if not MARKED.isdisjoint(_NAME.findall(value)):
-                return True
+            for one in raw.split():
+                parts = {one.lower(), *(x.lower() for x in _NAME.findall(one))}
+                if not MARKED.isdisjoint(parts) and LAYOUT.isdisjoint(parts):
+                    return True
         elif key == "role":
             if value.strip() in ROLES:
                 return True
@@ -104,13 +109,11 @@ def parse(page: str) -> Node:
             if name == skipped and name not in VOID:
                 depth += -1 if closing else 1
                 skipped = skipped if depth else None
-            elif name in ("article", "main") and not closing and skipped in ("head", "p", "li"):
-                skipped = None
+            elif name in ("article", "main") and not closing and skipped in ("head", "nav", "header", "form", "p", "li", "ul"):
+                skipped = None  # its end tag is missing
             elif skipped == "head" and name == "body":
                 skipped = None
-            if skipped is not None:
-                continue
-            if closing:
+            if skipped is not None or closing:
                 continue
         if closing:
             node = here

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a splitting tree over exact block quotas.
 
 A source's documents fall into ``BLOCKS`` blocks by a hash.  Its target in words is met by whole passes
-over its blocks plus a part of one more pass: leading blocks in permuted order, and the one further
-block that comes nearest to what is left.  That fixes how many block draws each source has.  A binary
+over its blocks plus a part of one more pass: blocks in permuted order as long as they fit, and the one
+further block that comes nearest to what is left.  That fixes how many block draws each source has.  A binary
 tree over the output shards splits these quotas by the multivariate hypergeometric law, so every shard
 holds an exact share; each source then deals its permuted draws to the shards in disjoint runs, and a
 shard is shuffled on its own.  All randomness comes from the seed: reruns agree.
@@ -13,14 +13,16 @@ part only in the one join that hands them out.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from speechspark.llm.common import content_key, stored, words
+from speechspark.llm.common import checkpointed, content_key, stored, words
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -66,6 +68,42 @@ def _block(seed: int) -> Column:
     return F.pmod(F.xxhash64("i", "c", F.lit(seed)), F.lit(BLOCKS)).cast("int")
 
 
+def _exchange(sizes: list[int], extra: list[int], left: float, rounds: int = 8) -> None:
+    """Swap a taken block for one that isn't while that brings the sum nearer to the target."""
+    for _ in range(rounds):
+        out = sorted((n, k) for k, n in enumerate(sizes) if not extra[k])
+        best = (abs(left), -1, -1)
+        for k, n in enumerate(sizes):
+            if extra[k]:
+                at = bisect_left(out, (n + left, -1))
+                best = min([best, *((abs(left + n - m), k, j) for m, j in out[max(at - 1, 0):at + 1])])
+        if best[1] < 0:
+            return
+        extra[best[1]], extra[best[2]] = 0, 1
+        left += sizes[best[1]] - sizes[best[2]]
+
+
+def _choose(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Copies of each block of one source: its whole passes, and a part of one more pass.
+
+    In permuted order a block is taken where it still fits, then the one block that brings the sum
+    nearer to the target; at last a few swaps bring it nearer still.
+    """
+    blocks = blocks.sort_values("b")
+    first = blocks.iloc[0]
+    left = first["target"] - int(first["passes"]) * int(first["source_size"])
+    sizes, extra = blocks["n"].tolist(), [0] * len(blocks)
+    if left > 0:
+        for k, n in enumerate(sizes):
+            if n <= left:
+                extra[k], left = 1, left - n
+        beyond = [(abs(left - n), k) for k, n in enumerate(sizes) if not extra[k] and abs(left - n) < left]
+        if beyond:
+            extra[min(beyond)[1]], left = 1, left - sizes[min(beyond)[1]]
+        _exchange(sizes, extra, left)
+    return blocks.assign(copies=[int(first["passes"]) + x for x in extra])[["rank", "b", "copies"]]
+
+
 def _plan(sizes: DataFrame, weights: Sequence[float], shards: int, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Sources (``s``, ``source_size``, ``target``) and draws (``s``, ``b``, ``copy``, ``shard``) of (``s``, ``b``, ``n``)."""
     spark = sizes.sparkSession
@@ -82,19 +120,9 @@ def _plan(sizes: DataFrame, weights: Sequence[float], shards: int, most: int, se
         [(r["s"], n, g, p, k) for k, (r, n, g, p) in enumerate(zip(per_source, size, goal, passes, strict=True))], kind)
 
     left = sources.withColumnRenamed("s", "ss")
-    placed = blocks.join(left, F.col("s").eqNullSafe(F.col("ss"))).drop("ss")
-    in_order = Window.partitionBy("rank").orderBy("b")
-    want = F.col("target") - F.col("passes") * F.col("source_size")
-    placed = placed.withColumn("upto", F.sum("n").over(in_order)).withColumn("lead", (F.col("upto") <= want) & (want > 0))
-    whole = Window.partitionBy("rank")
-    rest = want - F.coalesce(F.max(F.when(F.col("lead"), F.col("upto"))).over(whole), F.lit(0))
-    placed = placed.withColumn("rest", rest).withColumn("miss", F.when(~F.col("lead") & (want > 0), F.abs(F.col("rest") - F.col("n"))))
-    nearest = F.min(F.struct(F.col("miss").isNull(), "miss", "b")).over(whole)
-    placed = placed.withColumn("near", nearest)
-    extra = (F.col("near.miss") < F.col("rest")) & (F.col("near.b") == F.col("b")) & F.col("miss").isNotNull()
-    placed = placed.withColumn("copies", F.col("passes") + F.when(F.col("lead") | extra, 1).otherwise(0))
-    drawn = placed.filter("copies > 0").select(
-        "rank", "s", "b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    placed = blocks.join(left, F.col("s").eqNullSafe(F.col("ss"))).select("rank", "b", "n", "passes", "source_size", "target")
+    placed = checkpointed(placed.groupBy("rank").applyInPandas(_choose, "rank int, b int, copies int"))  # BLOCKS rows a group at most
+    drawn = placed.filter("copies > 0").select("rank", "b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     place = Window.partitionBy("rank").orderBy("copy", F.xxhash64("rank", "copy", "b", F.lit(seed)))
     drawn = drawn.withColumn("place", F.row_number().over(place) - 1)
 
@@ -103,7 +131,7 @@ def _plan(sizes: DataFrame, weights: Sequence[float], shards: int, most: int, se
     ends = [[sum(shares[j][k] for j in range(i + 1)) for i in range(shards)] for k in range(len(size))]
     table = spark.createDataFrame(list(enumerate(ends)), "rank int, ends array<long>")
     shard = F.size(F.filter("ends", lambda e: e <= F.col("place")))
-    draws = drawn.join(table, "rank").select("s", "b", "copy", shard.alias("shard"))
+    draws = drawn.join(table, "rank").join(sources.select("rank", "s"), "rank").select("s", "b", "copy", shard.alias("shard"))
     return sources.select("s", "source_size", "target"), draws
 
 

@@ -71,10 +71,10 @@ def word_hashes(data: bytes):
             if not len(gaps):  # one word longer than a piece
                 rest = np.flatnonzero(space[raw[end:]])
                 end = end + int(rest[0]) if len(rest) else len(raw)
-                total = np.uint64(0)
+                total = 0
                 for k in range(at, end, _PIECE):
                     part = values[raw[k:min(k + _PIECE, end)]] * power[:min(_PIECE, end - k)]
-                    total = total * np.uint64(0xD6E8FEB86659FD93) + part.sum(dtype=np.uint64)
+                    total = (total * 0xD6E8FEB86659FD93 + int(part.sum(dtype=np.uint64))) % (1 << 64)
                 out.append(np.array([total], dtype=np.uint64))
                 at = end
                 continue
