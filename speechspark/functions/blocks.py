@@ -86,6 +86,7 @@ def carry(
     after: Mapping[str, str] | None = None,
     running: Mapping[str, str] | None = None,
     final: Mapping[str, str] | None = None,
+    total: Mapping[str, str] | None = None,
     fan: int = FAN,
 ) -> DataFrame:
     """Pass values between the block rows of one key.
@@ -94,11 +95,12 @@ def carry(
     after:   out -> column, first non-null value in later blocks
     running: out -> column, sum over earlier blocks (0 for the first)
     final:   out -> column, last non-null value over all blocks of the key
+    total:   out -> column, sum over all blocks of the key
 
     Blocks are grouped by ``fan``; each group is summarised on one of its rows, only
     those rows meet in a per-key window, and the outcome is spread over the group again.
     """
-    before, after, running, final = (dict(m or {}) for m in (before, after, running, final))
+    before, after, running, final, total = (dict(m or {}) for m in (before, after, running, final, total))
     group = Window.partitionBy(*keys, "_grp")
     ordered = group.orderBy(pos)
     prior = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -117,6 +119,8 @@ def carry(
         local[f"_g_{out}"] = F.sum(c).over(whole)
     for out, c in final.items():
         local[f"_g_{out}"] = F.last(c, ignorenulls=True).over(whole)
+    for out, c in total.items():
+        local[f"_g_{out}"] = F.sum(c).over(whole)
     bt = bt.withColumn("_grp", F.expr(f"`{pos}` div {fan}")).withColumns(local)
 
     # Only the group leaders share a window group; every other row is alone in its own.
@@ -134,6 +138,8 @@ def carry(
         lead[f"_c_{out}"] = F.sum(f"_g_{out}").over(prior)
     for out in final:
         lead[f"_c_{out}"] = F.last(f"_g_{out}", ignorenulls=True).over(whole)
+    for out in total:
+        lead[f"_c_{out}"] = F.sum(f"_g_{out}").over(whole)
     bt = bt.withColumn("_lane", lane).withColumns(lead)
 
     spread = {
@@ -146,7 +152,7 @@ def carry(
         done[out] = F.coalesce(f"_l_{out}", f"_c_{out}")
     for out in running:
         done[out] = F.col(f"_l_{out}") + F.coalesce(f"_c_{out}", F.lit(0))
-    for out in final:
+    for out in [*final, *total]:
         done[out] = F.col(f"_c_{out}")
     bt = bt.withColumns(done)
     return bt.drop(*[c for c in bt.columns if c.startswith(("_l_", "_g_", "_c_"))], "_lead", "_lane", "_grp")

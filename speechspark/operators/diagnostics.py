@@ -102,8 +102,11 @@ def top_frames(df: DataFrame, k: int = 5, keys: Sequence[str] = KEYS) -> DataFra
 
 
 def window_inventory(blocks: DataFrame, window: int = 160_000, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Samples, seconds and number of analysis windows per clip."""
-    n = blocks.groupBy(*keys).agg(F.sum(F.size("samples").cast("bigint")).alias("n_samples"))
+    """Samples, seconds and number of analysis windows per clip; empty clips have none of each.
+
+    Every block knows its clip's length, so the first one tells all and nothing is exchanged.
+    """
+    n = blocks.filter("block_idx = 0").select(*keys, "n_samples")
     return n.withColumn("duration_s", duration("n_samples")).withColumn(
         "n_windows", F.expr(f"(n_samples + {window - 1}) div {window}")
     )

@@ -120,7 +120,7 @@ def melbank_table(spark, kind: str, n_mels: int, nfft: int, rate: float, low_hz:
         edge(F.col("bin")).alias("l"), edge(F.col("bin") + 1).alias("c"), edge(F.col("bin") + 2).alias("r"),
     )
     rise, fall = (F.col("hz") - F.col("l")) / (F.col("c") - F.col("l")), (F.col("r") - F.col("hz")) / (F.col("r") - F.col("c"))
-    w = F.when((F.col("hz") < F.col("l")) | (F.col("hz") > F.col("r")), F.lit(0.0)).when(F.col("hz") <= F.col("c"), rise).otherwise(fall)
+    w = F.greatest(F.least(rise, fall), F.lit(0.0))
     if kind == "slaney":
         w = w * F.lit(2.0) / (F.col("r") - F.col("l"))
     return grid.select("bin", "k", w.alias("w")).filter("w > 0")
@@ -136,7 +136,7 @@ def frames(blocks: DataFrame, length: int, shift: int, block_samples: int = BLOC
     """
     if block_samples % shift or length - shift > block_samples:
         raise ValueError("blocks must hold a whole number of frame shifts and one frame")
-    ctx = with_context(blocks, 0, max(length - shift, 0), keys)
+    ctx = with_context(blocks, 0, max(length - shift, 0), keys, block_samples)
     x = F.concat("samples", "after")
     count = F.least(
         F.floor((F.size("_x") - length) / shift).cast("int") + 1, F.ceil(F.size("samples") / shift).cast("int")
@@ -226,9 +226,24 @@ def power_spectrum(frames_df: DataFrame, frame: str = "frame") -> DataFrame:
 
 
 def mel_project(spectra: DataFrame, bank: DataFrame, keys: Sequence[str] = KEYS, order: str = "frame_idx") -> DataFrame:
-    """Filterbank times power, long form: keys, frame, bin, energy."""
-    long = spectra.select(*keys, order, F.posexplode("power").alias("k", "pw"))
-    return long.join(bank, "k").groupBy(*keys, order, "bin").agg(F.sum(F.col("w") * F.col("pw")).alias("energy"))
+    """Filterbank times power, long form: keys, frame, bin, energy.
+
+    The bank, whose size is set by the number of filters and bins alone, becomes constants of the
+    expression, so every spectrum is projected inside its row.
+    """
+    filters: dict[int, list[tuple[int, float]]] = {}
+    for r in bank.orderBy("bin", "k").collect():
+        filters.setdefault(r["bin"], []).append((r["k"], r["w"]))
+
+    def energy(taps: list[tuple[int, float]]) -> Column:
+        first, last = taps[0][0], taps[-1][0]
+        weight = dict(taps)
+        row = F.lit([weight.get(k, 0.0) for k in range(first, last + 1)])
+        part = F.zip_with(F.slice("power", F.lit(first + 1), F.lit(last - first + 1)), row, lambda p, w: p * w)
+        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
+
+    rows = F.array(*[F.struct(F.lit(b).alias("bin"), energy(t).alias("energy")) for b, t in sorted(filters.items())])
+    return spectra.select(*keys, order, F.explode(rows).alias("_e")).select(*keys, order, "_e.*")
 
 
 # --- feature jobs -------------------------------------------------------------------
@@ -311,7 +326,7 @@ def log_mel_kaldi(blocks: DataFrame, opts: KaldiOptions = KaldiOptions(), block_
         mel = (spec.real**2 + spec.imag**2) @ bank
         return first, np.log(np.maximum(mel, floor)) if opts.use_log else mel
 
-    ctx = with_context(blocks, 0, max(length - shift, 0), keys)
+    ctx = with_context(blocks, 0, max(length - shift, 0), keys, block_samples)
     return _run_features(ctx, compute, keys, precision)
 
 
@@ -356,7 +371,7 @@ def log_mel_nemo(blocks: DataFrame, opts: NemoOptions = NemoOptions(), block_sam
             mel = np.concatenate([mel, np.zeros((-total % opts.pad_to, opts.n_mels))])
         return first, mel
 
-    ctx = with_context(blocks, reach, reach, keys)
+    ctx = with_context(blocks, reach, reach, keys, block_samples)
     return _run_features(ctx, compute, keys, precision)
 
 
@@ -370,15 +385,16 @@ def nemo_too_short(blocks: DataFrame, opts: NemoOptions = NemoOptions(), keys: S
 # --- feature tables -----------------------------------------------------------------
 
 
-def pad_frames(features: DataFrame, multiple: int = 2, keys: Sequence[str] = KEYS, dims: int = 80) -> DataFrame:
-    """Append literal-zero frames until the frame count is a multiple."""
-    n = features.groupBy(*keys).agg((F.max("frame_idx") + 1).alias("_n"))
+def pad_frames(features: DataFrame, multiple: int = 2, keys: Sequence[str] = KEYS, dims: int | None = None) -> DataFrame:
+    """Append literal-zero frames, ``dims`` wide or else as the clip's own, until the frame count is a multiple."""
+    width = F.max(F.size("mel")) if dims is None else F.max(F.lit(dims))
+    n = features.groupBy(*keys).agg((F.max("frame_idx") + 1).alias("_n"), width.alias("_dims"))
     missing = F.expr(f"({multiple} - _n % {multiple}) % {multiple}")
     kind = features.schema["mel"].dataType
     extra = (
         n.filter(missing > 0)
-        .select(*keys, F.explode(F.sequence(F.col("_n"), F.col("_n") + missing - 1)).alias("frame_idx"))
-        .withColumn("mel", F.array_repeat(F.lit(0.0), dims).cast(kind))
+        .select(*keys, "_dims", F.explode(F.sequence(F.col("_n"), F.col("_n") + missing - 1)).alias("frame_idx"))
+        .select(*keys, "frame_idx", F.array_repeat(F.lit(0.0), F.col("_dims")).cast(kind).alias("mel"))
     )
     return features.select(*keys, "frame_idx", "mel").unionByName(extra)
 

@@ -47,21 +47,33 @@ def encode_f32(samples: pd.Series) -> pd.Series:
 
 def pcm_blocks(clips: DataFrame, block_samples: int = BLOCK_SAMPLES, keys: Sequence[str] = KEYS,
                samples: str = "samples") -> DataFrame:
-    """Split clips (``samples`` array, or raw float32 bytes in ``pcm``) into blocks."""
+    """Split clips (``samples`` array, or raw float32 bytes in ``pcm``) into blocks.
+
+    A clip is cut inside its row, so a block's row never carries the whole clip.  A clip without
+    samples (or with null) gives one empty block.
+    """
     raw = samples not in clips.columns
-    n = F.floor(F.length("pcm") / 4).cast("bigint") if raw else F.size(samples).cast("bigint")
-    split = clips.withColumn("n_samples", n).filter("n_samples > 0")
-    split = split.withColumn(
-        "block_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_samples - 1) div {block_samples}")))
+    n = F.floor(F.length("pcm") / 4) if raw else F.size(samples)
+    n = F.greatest(F.coalesce(n.cast("bigint"), F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
+
+    def context(block: Column) -> Column:
+        return F.least(block * block_samples, F.lit(CONTEXT).cast("bigint"))
+
+    def piece(block: Column) -> Column:
+        first, length = block * block_samples - context(block), context(block) + block_samples + CONTEXT
+        if raw:
+            return F.substring(F.col("pcm"), (first * 4 + 1).cast("int"), (length * 4).cast("int"))
+        return F.slice(samples, (first + 1).cast("int"), length.cast("int"))
+
+    count = F.greatest(F.expr(f"(_n - 1) div {block_samples}"), F.lit(0).cast("bigint"))
+    source = "pcm" if raw else samples
+    pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), count), piece)
+    cut = clips.select(*keys, n.alias("_n"), source).select(*keys, F.col("_n").alias("n_samples"), F.posexplode(pieces).alias("_b", "_x"))
+    none = F.array().cast("array<float>")
+    cut = cut.select(
+        *keys, F.col("_b").cast("bigint").alias("block_idx"), "n_samples", context(F.col("_b").cast("bigint")).cast("int").alias("_lead"),
+        F.coalesce(decode_f32("_x") if raw else F.col("_x"), none).alias("_x"),
     )
-    at = F.col("block_idx") * block_samples
-    first = F.greatest(at - CONTEXT, F.lit(0).cast("bigint"))  # start of the context
-    length = (at - first) + block_samples + CONTEXT
-    if raw:
-        wide = decode_f32(F.substring(F.col("pcm"), (first * 4 + 1).cast("int"), (length * 4).cast("int")))
-    else:
-        wide = F.slice(samples, (first + 1).cast("int"), length.cast("int"))
-    cut = split.select(*keys, "block_idx", "n_samples", (at - first).cast("int").alias("_lead"), wide.alias("_x"))
     lead = F.col("_lead")
     return cut.select(
         *keys, "block_idx", "n_samples", F.slice("_x", lead + 1, F.lit(block_samples)).alias("samples"),
@@ -79,13 +91,17 @@ def without_context(blocks: DataFrame) -> DataFrame:
     return blocks.drop("before", "after")
 
 
-def with_context(blocks: DataFrame, left: int, right: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def with_context(blocks: DataFrame, left: int, right: int, keys: Sequence[str] = KEYS, block_samples: int | None = None) -> DataFrame:
     """Exactly the last ``left`` and first ``right`` samples of the neighbours as ``before`` / ``after``.
 
-    Context that came with the blocks is cut to size in place.  Blocks without it (or a longer
-    reach) send their edges to the neighbours; groups then hold one row per neighbour.
+    Context that came with the blocks is cut to size in place.  Blocks without it send their edges
+    to the neighbours; groups then hold one row per neighbour.  Neither way gives less than asked
+    for: a reach beyond the context or beyond ``block_samples`` is refused.
     """
-    if "before" in blocks.columns and max(left, right) <= CONTEXT:
+    most = CONTEXT if "before" in blocks.columns else block_samples or BLOCK_SAMPLES
+    if max(left, right) > most:
+        raise ValueError(f"a reach of {max(left, right)} samples is longer than {most}")
+    if "before" in blocks.columns:
         keep = F.least(F.lit(left), F.size("before"))
         return blocks.select(
             *keys, "block_idx", "n_samples", "samples",
@@ -133,16 +149,27 @@ def envelope(blocks: DataFrame, width: int, block_samples: int = BLOCK_SAMPLES,
     Every clip gives ``width`` buckets; one without samples keeps (0, 0).
     """
     per = F.col("n_samples").cast("double") / F.lit(float(width))
-    long = blocks.select(*keys, "n_samples", "block_idx", F.posexplode("samples").alias("_i", "x"))
-    i = F.col("block_idx") * block_samples + F.col("_i")
-    # Last bucket whose floor(bucket * n / width) does not exceed the sample index; the
-    # quotient may be off by one in floating point, hence the two checks.
-    guess = F.ceil((i + 1) / per).cast("bigint") - 1
-    guess = F.when(F.floor(guess * per) > i, guess - 1).otherwise(guess)
-    guess = F.when(F.floor((guess + 1) * per) <= i, guess + 1).otherwise(guess)
-    seen = long.select(*keys, guess.alias("bucket"), "x").groupBy(*keys, "bucket").agg(
-        F.least(F.lit(0.0).cast("float"), F.min("x")).alias("lo"),
-        F.greatest(F.lit(0.0).cast("float"), F.max("x")).alias("hi"),
+    base = F.col("block_idx") * block_samples
+
+    def bucket_of(i: Column) -> Column:
+        # Last bucket whose floor(bucket * n / width) does not exceed the sample index; the
+        # quotient may be off by one in floating point, hence the two checks.
+        guess = F.ceil((i + 1) / per).cast("bigint") - 1
+        guess = F.when(F.floor(guess * per) > i, guess - 1).otherwise(guess)
+        return F.when(F.floor((guess + 1) * per) <= i, guess + 1).otherwise(guess)
+
+    def extremes(bucket: Column) -> Column:
+        lo = F.greatest(F.floor(bucket * per).cast("bigint") - base, F.lit(0).cast("bigint"))
+        hi = F.least(F.floor((bucket + 1) * per).cast("bigint") - base, F.size("samples").cast("bigint"))
+        part = F.slice("samples", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0).cast("bigint")).cast("int"))
+        zero = F.lit(0.0).cast("float")
+        return F.struct(bucket.alias("bucket"), F.least(zero, F.array_min(part)).alias("lo"), F.greatest(zero, F.array_max(part)).alias("hi"))
+
+    touched = F.sequence(bucket_of(base), bucket_of(base + F.size("samples") - 1))
+    seen = (
+        blocks.filter(F.size("samples") > 0)
+        .select(*keys, F.explode(F.transform(touched, extremes)).alias("_e")).select(*keys, "_e.*")
+        .groupBy(*keys, "bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
     every = blocks.filter("block_idx = 0").select(
         *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))).alias("bucket")
@@ -169,9 +196,13 @@ def mono_mix(blocks: DataFrame, channels: int = 2) -> DataFrame:
 def decimate(blocks: DataFrame, src_rate: int, block_samples: int = BLOCK_SAMPLES, rate: int = SAMPLE_RATE,
              keys: Sequence[str] = KEYS) -> DataFrame:
     """Keep a sample whenever the stride accumulator reaches src_rate / rate (long form)."""
-    long = to_long(blocks, block_samples, keys)
-    before, after = F.expr(f"sample_idx * {rate} div {src_rate}"), F.expr(f"(sample_idx + 1) * {rate} div {src_rate}")
-    return long.filter(after > before).select(*keys, before.alias("sample_idx"), "x")
+    at = lambda i: F.col("block_idx") * block_samples + i
+    whole = lambda i: (at(i) * rate - F.pmod(at(i) * rate, F.lit(src_rate))) / src_rate
+    kept = F.filter("samples", lambda x, i: whole(i + 1) > whole(i))
+    # The places of a block's kept samples follow each other.
+    first = F.expr(f"block_idx * {block_samples} * {rate} div {src_rate}")
+    return blocks.select(*keys, first.alias("_first"), F.posexplode(kept).alias("_i", "x")).select(
+        *keys, (F.col("_first") + F.col("_i")).alias("sample_idx"), "x")
 
 
 def _fir(up: int, down: int, half_width: int = 10) -> np.ndarray:

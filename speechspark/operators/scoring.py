@@ -13,10 +13,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechspark.functions.blocks import with_halo
+from speechspark.session import kept
 from speechspark.sources.pcm import check_output_length
 
 KEYS = ("clip_id",)
@@ -28,7 +29,10 @@ RNN_STATE_SHAPE, RNN_CONTEXT = (2, 1, 128), 64
 
 
 class Scorer(Protocol):
-    """``score`` maps a [T, D] matrix to one value per ``frames_per_output`` frames."""
+    """``score`` maps a [T, D] matrix to one value per ``frames_per_output`` frames.
+
+    ``context``, if a scorer has it, is its receptive field in frames on either side.
+    """
 
     frames_per_output: int
 
@@ -46,6 +50,8 @@ class OnnxSession:
     """Builds the runtime session once per Python worker from broadcast bytes or a shared path."""
 
     def __init__(self, model):
+        if isinstance(model, bytes) and len(model) > MAX_MODEL_BYTES:
+            raise ValueError(f"model of {len(model)} bytes exceeds {MAX_MODEL_BYTES}")
         self.model = model
         self._session = None
 
@@ -139,111 +145,140 @@ def _key_types(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def _rows(key_values: Mapping, frames, p, error, ms) -> pd.DataFrame:
-    n = len(frames)
-    return pd.DataFrame({
-        **{k: [v] * n for k, v in key_values.items()}, "frame_idx": pd.array(frames, dtype="Int64"),
-        "p": pd.array(p, dtype="Float32"), "error": pd.Series([error] * n, dtype=object), "elapsed_ms": [ms / max(n, 1)] * n,
-    })
-
-
-def score_frames(features: DataFrame, scorer: Scorer, frames_per_part: int = 3_000, context: int = 500,
+def score_frames(features: DataFrame, scorer: Scorer, frames_per_part: int = 3_000, context: int | None = None,
                  keys: Sequence[str] = KEYS, column: str = "mel") -> DataFrame:
     """keys, frame_idx, p, error, elapsed_ms.
 
-    A clip is scored in parts of ``frames_per_part`` frames with ``context`` frames of overlap on
-    both sides; the result equals whole-clip scoring when the context covers the model's
-    receptive field.  A clip shorter than a part is scored in one piece.
+    A scorer that declares its receptive field (``context``, frames on both sides, or the argument)
+    scores a clip in parts of ``frames_per_part`` frames with that overlap, which equals scoring it
+    whole.  Without one, every clip is scored in one piece.  A clip of which any part fails gives
+    one row with ``error`` (that of its first failing part) and no frames.
     """
     ratio = scorer.frames_per_output
-    if frames_per_part % ratio or context % ratio:
-        raise ValueError("part and context must be multiples of the model's stride")
+    context = getattr(scorer, "context", None) if context is None else context
+    rows = features.select(*keys, "frame_idx", column)
+    if context is None:
+        rows = rows.withColumn("_blk", F.lit(0).cast("bigint")).withColumn("_own", F.lit(True))
+    else:
+        context = -(-context // ratio) * ratio
+        if frames_per_part % ratio:
+            raise ValueError("a part must hold whole strides of the model")
+        rows = with_halo(rows, "frame_idx", context, context, frames_per_part)
     parts = (
-        with_halo(features.select(*keys, "frame_idx", column), "frame_idx", context, context, frames_per_part)
-        .groupBy(*keys, "_blk")
+        rows.groupBy(*keys, "_blk")
         .agg(F.sort_array(F.collect_list(F.struct("frame_idx", "_own", column))).alias("_f"))
-        .select(*keys, F.col("_f.frame_idx").alias("idx"), F.col("_f._own").alias("own"), F.col(f"_f.{column}").alias("mat"))
+        .filter(F.exists("_f", lambda x: x["_own"]))
+        .select(*keys, "_blk", F.col("_f.frame_idx").alias("idx"), F.col("_f._own").alias("own"), F.col(f"_f.{column}").alias("mat"))
     )
 
     def run(batches):
         for pdf in batches:
-            for i in range(len(pdf)):
-                key = {k: pdf[k].iat[i] for k in keys}
+            out = {"idx": [], "p": [], "error": [], "ms": []}
+            for indexes, own, frames in zip(pdf.idx, pdf.own, pdf.mat):
                 begin = time.perf_counter()
                 try:
-                    mat = np.stack(pdf.mat.iat[i]).astype(np.float32)
-                    out = np.asarray(scorer.score(mat), dtype=np.float32)
-                    error = check_output_length(out, len(mat) // ratio)
+                    mat = np.stack(frames).astype(np.float32)
+                    p = np.asarray(scorer.score(mat), dtype=np.float32)
+                    error = check_output_length(p, len(mat) // ratio)
                 except Exception as e:  # noqa: BLE001 - one clip must not stop the others
-                    out, error = np.zeros(0), f"{type(e).__name__}: {e}"
+                    p, error = np.zeros(0, np.float32), f"{type(e).__name__}: {e}"
                 ms = (time.perf_counter() - begin) * 1000
-                if error:
-                    yield _rows(key, [None], [None], error, ms)
-                    continue
-                keep = np.asarray(pdf.own.iat[i])[: len(out) * ratio : ratio]
-                idx = np.asarray(pdf.idx.iat[i])[: len(out) * ratio : ratio] // ratio
-                if keep.any():
-                    yield _rows(key, idx[keep], out[keep], None, ms)
-
-    return parts.mapInPandas(run, f"{_key_types(features, keys)}, frame_idx bigint, p float, error string, elapsed_ms double")
+                keep = np.asarray(own, dtype=bool)[: len(p) * ratio : ratio]
+                at = np.asarray(indexes)[: len(p) * ratio : ratio] // ratio
+                out["idx"].append([] if error else at[keep])
+                out["p"].append([] if error else p[keep])
+                out["error"].append(error)
+                out["ms"].append(ms)
+            yield pd.DataFrame({**{k: pdf[k] for k in keys}, "_blk": pdf["_blk"], **out})
+
+    scored = parts.mapInPandas(
+        run, f"{_key_types(features, keys)}, _blk bigint, idx array<bigint>, p array<float>, error string, ms double")
+    # One row per part meets here, not one per frame.
+    clip = Window.partitionBy(*keys)
+    scored = scored.withColumn("_bad", F.min(F.when(F.col("error").isNotNull(), F.struct("_blk", "error"))).over(clip))
+    frames = F.transform(F.arrays_zip("idx", "p"), lambda x: F.struct(x["idx"].alias("frame_idx"), x["p"].alias("p")))
+    void = F.array(F.struct(F.lit(None).cast("bigint").alias("frame_idx"), F.lit(None).cast("float").alias("p")))
+    shown = F.when(F.col("_bad").isNull(), frames).when(F.col("_bad._blk") == F.col("_blk"), void)
+    each = F.col("ms") / F.greatest(F.size("idx"), F.lit(1))
+    return scored.select(*keys, F.explode(shown).alias("_x"), F.col("_bad.error").alias("error"), each.alias("elapsed_ms")).select(
+        *keys, "_x.frame_idx", "_x.p", "error", "elapsed_ms")
 
 
 def score_windows(windows: DataFrame, scorer: WindowClassScorer, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Windows from ``chunk(..., tail="pad")`` -> keys, window_idx, frame_idx, logits."""
+    """Windows from ``chunk(..., tail="pad")`` -> keys, window_idx, frame_idx, logits, error.
+
+    A window that fails gives one row with ``error`` and neither frames nor logits.
+    """
 
     def run(batches):
         for pdf in batches:
             for i in range(len(pdf)):
-                out = scorer.score(np.asarray(pdf.samples.iat[i], dtype=np.float32))
+                try:
+                    out = list(np.asarray(scorer.score(np.asarray(pdf.samples.iat[i], dtype=np.float32)), dtype=np.float32))
+                    at, error = list(range(len(out))), None
+                except Exception as e:  # noqa: BLE001 - one window must not stop the others
+                    at, out, error = [None], [None], f"{type(e).__name__}: {e}"
                 yield pd.DataFrame({
                     **{k: [pdf[k].iat[i]] * len(out) for k in keys}, "window_idx": pdf.chunk_idx.iat[i],
-                    "frame_idx": np.arange(len(out), dtype=np.int64), "logits": list(out.astype(np.float32)),
+                    "frame_idx": pd.array(at, dtype="Int64"), "logits": out, "error": pd.Series([error] * len(out), dtype=object),
                 })
 
     return windows.select(*keys, "chunk_idx", "samples").mapInPandas(
-        run, f"{_key_types(windows, keys)}, window_idx bigint, frame_idx bigint, logits array<float>"
+        run, f"{_key_types(windows, keys)}, window_idx bigint, frame_idx bigint, logits array<float>, error string"
     )
 
 
 def score_chunks(chunks: DataFrame, scorer, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Sequential scoring of a clip's chunks: keys, frame_idx, p.
+    """Sequential scoring of a clip's chunks: keys, frame_idx, p, error.
 
     The state depends on every earlier chunk, so a clip stays in one task; its chunks are sorted
-    by Spark and pass through in batches, never held as a whole.
+    by Spark and pass through in batches, never held as a whole.  From a failing chunk on, a clip
+    has rows with ``error`` and no score, so that the segmenters leave the clip out.
     """
     def run(batches):
-        last, carried = None, None
+        last, carried, failed = None, None, None
         for pdf in batches:
-            p = []
+            p, errors = [], []
             for key, x in zip(pdf[list(keys)].itertuples(index=False, name=None), pdf.samples):
-                if key != last:
-                    last, carried = key, scorer.start()
-                prob, carried = scorer.step(np.asarray(x, dtype=np.float32), carried)
+                prob = None
+                try:
+                    if key != last:
+                        last, failed = key, None
+                        carried = scorer.start()
+                    if failed is None:
+                        prob, carried = scorer.step(np.asarray(x, dtype=np.float32), carried)
+                except Exception as e:  # noqa: BLE001 - one clip must not stop the others
+                    failed = f"{type(e).__name__}: {e}"
                 p.append(prob)
-            yield pd.DataFrame({**{k: pdf[k] for k in keys}, "frame_idx": pdf.chunk_idx, "p": np.asarray(p, dtype=np.float32)})
+                errors.append(failed)
+            yield pd.DataFrame({**{k: pdf[k] for k in keys}, "frame_idx": pdf.chunk_idx, "p": pd.array(p, dtype="Float32"),
+                                "error": pd.Series(errors, dtype=object)})
 
     ordered = chunks.select(*keys, "chunk_idx", "samples").repartition(*keys).sortWithinPartitions(*keys, "chunk_idx")
-    return ordered.mapInPandas(run, f"{_key_types(chunks, keys)}, frame_idx bigint, p float")
+    return ordered.mapInPandas(run, f"{_key_types(chunks, keys)}, frame_idx bigint, p float, error string")
 
 
 def compare_models(clips: DataFrame, models: Mapping[str, Callable[[DataFrame], DataFrame]], keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
     """Run several models over the same clips: (segments with ``model``, results).
 
-    ``models`` maps a name to a function from clips to segments.  A model that cannot be set up
-    gives results with ``error`` and no segments; results have one row per (clip, model).
+    ``models`` maps a name to a function from clips to segments.  Each model is run on its own and
+    its segments are kept in the session's shared folder, so a failure while setting up or running
+    ends that model alone: it gives results with ``error`` and no segments.  Results have one row
+    per (clip, model) with ``n_segments`` and the model's ``elapsed_ms``.
     """
-    spark = clips.sparkSession
     segs, notes = None, []
     for name, run in models.items():
+        begin, error = time.perf_counter(), None
         try:
-            out = run(clips).withColumn("model", F.lit(name))
+            out = kept(run(clips).withColumn("model", F.lit(name)))
             segs = out if segs is None else segs.unionByName(out)
-            notes.append((name, None))
         except Exception as e:  # noqa: BLE001 - reported per model
-            notes.append((name, f"{e}"))
+            error = f"{e}"
+        notes.append((name, error, (time.perf_counter() - begin) * 1000))
     if segs is None:
-        raise ValueError("no model could be set up")
-    listed = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(e).cast("string").alias("error")) for n, e in notes]))
+        raise ValueError("no model could be run")
+    listed = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("model"), F.lit(e).cast("string").alias("error"), F.lit(t).alias("elapsed_ms")) for n, e, t in notes]))
     results = clips.select(*keys).distinct().select(*keys, listed.alias("_m")).select(*keys, "_m.*")
     counts = segs.groupBy(*keys, "model").agg(F.count(F.lit(1)).alias("n_segments"))
     return segs, results.join(counts, [*keys, "model"], "left").fillna(0, ["n_segments"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -218,15 +219,18 @@ def block_switches(df, models: Mapping[str, SegmentParams], scores: Mapping[str,
     for i, (name, params) in enumerate(models.items()):
         ev = _with_switch(ev, w, params, scores[name], order, str(i))
     names = [f"_ev{i}" for i in range(len(models))]
+    scored = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in set(scores.values())])
     ev = ev.withColumns({c: F.when(F.col("_own"), F.col(c)) for c in names})
     ev = ev.withColumns({f"_was{c}": F.last(c, ignorenulls=True).over(before) for c in names})
     for c in names:
         fresh = F.col(c).isNotNull() & (F.col(f"_was{c}").isNull() | (F.col(f"_was{c}") != F.col(c)))
         found = F.collect_list(F.when(fresh, F.struct(F.col(order).alias("at"), F.col(c).alias("ev"))))
         lists.append(F.sort_array(found).alias(c))
-    bt = ev.filter("_own").groupBy(*keys, "_blk").agg((F.max(order) + 1).alias("_end"), *lists)
+    bt = ev.filter("_own").groupBy(*keys, "_blk").agg(
+        (F.max(order) + 1).alias("_end"), F.count(F.when(scored, F.col(order))).alias("_rows"), *lists)
     per_model = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("items")) for n, c in zip(models, names)])
-    return bt.select(*keys, "_blk", "_end", F.explode(per_model).alias("_m")).select(*keys, "_blk", "_end", "_m.*")
+    whole = [*keys, "_blk", "_end", "_rows"]
+    return bt.select(*whole, F.explode(per_model).alias("_m")).select(*whole, "_m.*")
 
 
 def segment_models(
@@ -242,7 +246,8 @@ def segment_models(
 
     ``models`` maps a name to a preset or parameters; ``p`` names the score column, one for all
     or one per model.  Returns keys, model, start_frame, end_frame (first frame after), start_s,
-    end_s, speaker_id, confidence, emit_order (increasing in the order of emission).
+    end_s, speaker_id, confidence, emit_order (increasing in the order of emission).  A clip with
+    missing frames or null scores gets no segments, as a decision must not bridge a hole; ``incomplete_clips`` lists it.
     """
     models = {n: resolve(v) for n, v in (models.items() if isinstance(models, Mapping) else ((n, n) for n in models))}
     scores = {n: p if isinstance(p, str) else p[n] for n in models}
@@ -265,9 +270,9 @@ def segment_models(
     bt = carry(
         bt, unit,
         before={"_prev_ev": "_last_ev"}, after={"_next_off": "_first_off"}, final={"_n": "_end"},
-        fan=fan,
+        total={"_all_rows": "_rows"}, fan=fan,
     )
-    on = bt.select(
+    on = bt.filter("_all_rows = _n").select(
         *unit, "_prev_ev", "_next_off", "_n", "items", F.posexplode("items").alias("_i", "_it")
     ).filter("_it.ev = 1 and (_i > 0 or coalesce(_prev_ev, 0) = 0)")
     # Switches alternate inside a block, so the next item, if any, is the matching "off".
@@ -302,16 +307,25 @@ def _clamp_to_previous(segs: DataFrame, backfill: int, keys: Sequence[str], bloc
 
     Gaps are at least ``min_off`` frames, so this can only bind when the back-fill is longer; and
     then only for a segment that ends within ``backfill`` frames of the next start, which is why
-    a copy of each segment goes to the block that its end could reach.
+    a copy of each segment goes to every block in which such a start can lie.
     """
     size = max(block, 4 * backfill)
     own = F.expr(f"start_frame div {size}")
-    also = F.expr(f"(end_frame + {backfill}) div {size}")
+    reached = F.sequence(F.expr(f"greatest(end_frame - {backfill}, 0) div {size}"), F.expr(f"(end_frame + {backfill}) div {size}"))
     w = halo_window(keys, "start_frame")
-    both = segs.withColumn("_own_blk", own).withColumn("_blk", F.explode(F.array_distinct(F.array(own, also))))
+    both = segs.withColumn("_own_blk", own).withColumn("_blk", F.explode(F.array_union(F.array(own), reached)))
     return (
         both.withColumn("_was_end", F.lag("end_frame").over(w))
         .filter("_blk = _own_blk")
         .withColumn("start_frame", F.greatest("start_frame", F.coalesce("_was_end", F.lit(0))))
         .select(*keys, "start_frame", "end_frame")
     )
+
+
+def incomplete_clips(df: DataFrame, keys: Sequence[str] = KEYS, order: str = "frame_idx") -> DataFrame:
+    """Clips whose frames are not 0 .. n - 1, each once: keys, n_missing, error.  They get no segments."""
+    n = df.groupBy(*keys).agg(
+        F.count(order).alias("_c"), F.sum((F.col(order) >= 0).cast("bigint")).alias("_ok"), (F.max(order) + 1).alias("_n"))
+    missing = F.col("_n") - F.col("_c")
+    return n.filter("_n is null or _c <> _n or _ok <> _c").select(
+        *keys, missing.alias("n_missing"), F.format_string("%d of %d frames are missing", missing, F.col("_n")).alias("error"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from speechspark.functions.blocks import number_rows
 from speechspark.functions.numeric import SAMPLE_RATE
 from speechspark.operators.pcm import BLOCK_SAMPLES
+from speechspark.session import kept
 
 KEYS = ("clip_id",)
 SALTS = 16
@@ -192,22 +193,20 @@ def silent(clips: DataFrame, segs: DataFrame, keys: Sequence[str] = KEYS) -> Dat
     return clips.join(segs.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def nest(clips: DataFrame, segs: DataFrame, keys: Sequence[str] = KEYS, per_record: int = 4_096) -> DataFrame:
-    """Segments as an array per clip with the clip's duration; silent clips get an empty array.
+def nest(clips: DataFrame, segs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One record per clip: its columns and its segments as an array in order of emission.
 
-    A record holds the segments of one ``emit_order`` stretch, so a recording with very many
-    segments gives several records (``part``) instead of one oversized row.
+    Silent clips get an empty array.  A record is one row by definition, so its segments meet in one
+    task; they are a small part of the frames that they come from.
     """
     fields = ["start_s", "end_s", "speaker_id", "confidence"]
     nested = (
-        segs.withColumn("part", F.expr(f"emit_order div {per_record}"))
-        .groupBy(*keys, "part")
+        segs.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("emit_order", *fields))).alias("_s"))
-        .select(*keys, "part", F.transform("_s", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("segments"))
+        .select(*keys, F.transform("_s", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("segments"))
     )
-    joined = clips.join(nested, list(keys), "left").fillna(0, ["part"])
     empty = F.array().cast(nested.schema["segments"].dataType)
-    return joined.withColumn("segments", F.coalesce("segments", empty))
+    return clips.join(nested, list(keys), "left").withColumn("segments", F.coalesce("segments", empty))
 
 
 def realtime_factor(results: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -271,8 +270,9 @@ def compare_tables(a: DataFrame, b: DataFrame, on: Sequence[str], value: str = "
                    tol_p99: float = 5e-2, tol_max: float = 1e-1) -> DataFrame:
     """Parity of two value tables: shape, max / mean / p99 of |a - b|, verdict."""
     both = a.select(*on, F.col(value).alias("_a")).join(b.select(*on, F.col(value).alias("_b")), list(on), "full_outer")
-    # A row that only one side has gives a null difference.
-    diff = both.select(F.abs(F.col("_a") - F.col("_b")).alias("d"))
+    # A row that only one side has gives a null difference.  The narrow column is kept, as the rank
+    # takes several passes over it and the join should run once.
+    diff = kept(both.select(F.abs(F.col("_a") - F.col("_b")).alias("d")))
     return exact_rank(diff, "d", 0.99).select(
         F.col("n").alias("n_compared"), F.col("n_null").alias("n_unmatched"),
         F.col("v_max").alias("max_abs"), F.col("v_mean").alias("mean_abs"), F.col("v_rank").alias("p99_abs"),
@@ -285,12 +285,14 @@ def match_segments(a: DataFrame, b: DataFrame, tol: float = 0.1, bucket_s: float
     """Overlapping pairs of the same speaker with their IoU, and the unmatched rest of both sides.
 
     The interval join is an equi-join on time buckets; a pair is kept in the bucket where the
-    later of the two starts lies, so it appears once.  Identical rows of one side count once.
+    later of the two starts lies, so it appears once.  Identical rows of one side are matched once
+    and given back as often as they (or their combinations) occur.
     """
     def spread(df, tag):
         lo, hi = F.floor(F.col("start_s") / bucket_s), F.floor(F.col("end_s") / bucket_s)
+        df = df.groupBy(*keys, "speaker_id", "start_s", "end_s").agg(F.count(F.lit(1)).alias(f"{tag}_n"))
         return df.select(
-            *keys, "speaker_id", F.col("start_s").alias(f"{tag}_start"), F.col("end_s").alias(f"{tag}_end"),
+            *keys, "speaker_id", F.col("start_s").alias(f"{tag}_start"), F.col("end_s").alias(f"{tag}_end"), f"{tag}_n",
             F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))).alias("_b"),
         )
 
@@ -301,11 +303,14 @@ def match_segments(a: DataFrame, b: DataFrame, tol: float = 0.1, bucket_s: float
     none = F.lit(None).cast("double")
 
     def record(side, a_cols, b_cols, hit):
+        times = F.lit(1).cast("bigint")
+        for tag, used in (("a", a_cols), ("b", b_cols)):
+            times = times * F.col(f"{tag}_n") if used else times
         return F.struct(
             F.lit(side).alias("side"),
             *[(F.col(c) if a_cols else none).alias(c) for c in ("a_start", "a_end")],
             *[(F.col(c) if b_cols else none).alias(c) for c in ("b_start", "b_end")],
-            hit.alias("hit"),
+            hit.alias("hit"), times.alias("times"),
         )
 
     # Every bucket row reports its pair (in one bucket only) and, for each side, whether the
@@ -317,11 +322,13 @@ def match_segments(a: DataFrame, b: DataFrame, tol: float = 0.1, bucket_s: float
     ))
     told = joined.select(*keys, "speaker_id", F.explode(reports).alias("_r")).select(*keys, "speaker_id", "_r.*")
     bounds = ["a_start", "a_end", "b_start", "b_end"]
-    kept = told.groupBy(*keys, "speaker_id", "side", *bounds).agg(F.max("hit").alias("hit")).filter("side = 'both' or not hit")
+    kept_rows = told.groupBy(*keys, "speaker_id", "side", *bounds).agg(
+        F.max("hit").alias("hit"), F.max("times").alias("times")).filter("side = 'both' or not hit")
+    kept_rows = kept_rows.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
     iou = (end - start) / (F.greatest("a_end", "b_end") - F.least("a_start", "b_start"))
     near = (F.abs(F.col("a_start") - F.col("b_start")) <= tol) & (F.abs(F.col("a_end") - F.col("b_end")) <= tol)
     paired = F.col("side") == "both"
-    return kept.select(
+    return kept_rows.select(
         *keys, "speaker_id", *bounds, F.when(paired, iou).otherwise(F.lit(0.0)).alias("iou"),
         F.when(paired, near).otherwise(F.lit(False)).alias("same_bounds"), "side",
     )

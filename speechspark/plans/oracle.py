@@ -139,8 +139,16 @@ ORACLE["seg_firered"] = seg_out(segs(FX1, **P_C), 10)
 ORACLE["backfill"] = seg_out(segs(FX1, **{**P_C, "backfill": 30}), 10)
 ORACLE["seg_fsmn"] = seg_out(segs(f"select clip_id, frame_idx, 1 - p as p from ({FX1_LONG}) z", **P_D), 10)
 ORACLE["seg_custom"] = seg_out(segs(FX1, **P_X), 10)
-ORACLE["stream_incremental"] = f"""with {segs(FX1, **P_C)}
-select clip_id, {r5('start_frame / 100.0::double')} as start_s, {r5('end_frame / 100.0::double')} as end_s from sg"""
+# Chunks of ten frames; a decision is told at the end of the chunk that holds the deciding frame.
+ORACLE["stream_incremental"] = f"""with {segs(FX1, **P_C)},
+told as (
+  select sg.clip_id, 'segment' as event_type, end_frame as told_at, case when end_frame + 19 < n then end_frame + 19 else n end as decided, start_frame as a, end_frame as b, null as active
+  from sg join nn on sg.clip_id = nn.clip_id
+  union all select clip_id, 'activity', frame_idx + 1, frame_idx, null, null, state = 1 from tr
+  union all select s0.clip_id, 'activity', n, n, null, null, false
+  from (select clip_id, arg_max(state, frame_idx) as last from st group by clip_id) s0 join nn on s0.clip_id = nn.clip_id where last = 1)
+select t.clip_id, event_type, {r5("told_at / 100.0::double")} as timestamp, {r5('least(n, (decided // 10 + 1) * 10) / 100.0::double')} as emitted_at_s,
+  {r5('a / 100.0::double')} as start_s, {r5('b / 100.0::double')} as end_s, active as speech_active from told t join nn on t.clip_id = nn.clip_id"""
 
 # --- powerset -----------------------------------------------------------------------
 
@@ -173,7 +181,7 @@ ORACLE["speaker_runs"] = f"select clip_id, window_idx, speaker_id, start_frame,
 ORACLE["run_conf"] = f"select clip_id, window_idx, speaker_id, start_frame, {r5('confidence', 4)} as confidence from ({RUNS}) r"
 ORACLE["window_close"] = f"select clip_id, window_idx, speaker_id, {r5('end_s')} as end_s from ({RUNS_S}) r where end_frame = 125"
 ORACLE["window_offset"] = f"select clip_id, window_idx, speaker_id, start_frame, {r5('start_s')} as start_s from ({RUNS_S}) r"
-ORACLE["merge_adjacent"] = f"select clip_id, speaker_id, {r5('start_s')} as start_s, {r5('end_s')} as end_s from ({merged(2.0)}) m"
+ORACLE["merge_adjacent"] = f"select clip_id, speaker_id, {r5('start_s')} as start_s, {r5('end_s')} as end_s, {r5('confidence', 4)} as confidence from ({merged(2.0)}) m"
 ORACLE["diarize"] = f"""select clip_id, speaker_id, {r5('start_s')} as start_s, {r5('end_s')} as end_s, {r5('confidence', 4)} as confidence
 from ({merged(0.1)}) m"""
 ORACLE["speakers"] = f"select clip_id, cast(count(distinct speaker_id) as integer) as n_speakers from ({merged(0.1)}) m group by clip_id"
@@ -212,7 +220,8 @@ select clip_id, window_idx, frame_idx, cast(rank as integer) as rank, cast(best_
 from (select *, row_number() over (partition by clip_id, window_idx order by best desc, frame_idx) as rank
       from (select clip_id, window_idx, frame_idx, max(round(lp, 9)) as best, arg_min(cls, -w * 100 + cls) as best_cls
             from ({PROBS}) p where cls > 0 group by all) t) x where rank <= 5"""
-ORACLE["window_inventory"] = f"select clip_id, n as n_samples, {r5('n / 16000.0::double')} as duration_s, (n + 999) // 1000 as n_windows from ({LENGTHS}) l"
+WITH_EMPTY = f"select clip_id, n from ({LENGTHS}) l1 union all select -1 - clip_id, 0 from ({LENGTHS}) l2"
+ORACLE["window_inventory"] = f"select clip_id, n as n_samples, {r5('n / 16000.0::double')} as duration_s, (n + 999) // 1000 as n_windows from ({WITH_EMPTY}) l"
 ORACLE["softmax_pair"] = f"""select event_id, {r5('cast(exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) as float)')} as p
 from (select event_id, value / 40 as a, cast(event_id % 7 as double) / 2 as b from events) e"""
 
@@ -231,9 +240,33 @@ ORACLE["sink_names"] = f"""
 select clip_id || '-speaker' || speaker_id || '-segment' || segment_idx || '.f32' as file_name from ({KEPT}) k
 union all select distinct clip_id || '-speaker' || speaker_id || '.f32' from ({CUTS}) c"""
 ORACLE["transcode"] = f"select clip_id, sample_idx, {r5('x')} as x from ({SAMPLES}) s"
-# Header of 1600 float samples: sizes 6436 and 6400, format 3, rate 16000, 64000 bytes per second.
-ORACLE["wav_export"] = f"""select clip_id, 0::bigint as block_idx, cast(44 + 4 * n as integer) as n_bytes,
-  '524946462419000057415645666d74201000000003000100803e000000fa0000040020006461746100190000' as header from ({LENGTHS}) l"""
+
+
+def little(x: str, size: int) -> str:
+    """Little-endian hex of a non-negative integer."""
+    return " || ".join(f"lpad(lower(to_hex(({x} >> {8 * k}) & 255)), 2, '0')" for k in range(size))
+
+
+def wav(fmt: str, tag: str, width: int, body: str) -> str:
+    """Blocks of 480 samples; the first starts with the header of the clip."""
+    header = f"""'52494646' || {little(f'(36 + {width} * n)', 4)} || '57415645666d742010000000' || '{tag}' || '0100803e0000' || {little(f'(16000 * {width})', 4)} || '{width:02x}00' || '{8 * width:02x}00' || '64617461' || {little(f'({width} * n)', 4)}"""
+    return f"""
+select clip_id, '{fmt}' as format, cast(b as bigint) as block_idx, case when b = 0 then {header} else '' end || hexed as payload
+from (select clip_id, sample_idx // 480 as b, string_agg({body}, '' order by sample_idx) as hexed
+      from (select clip_id, sample_idx, cast(x * 3.0::float as float) as y from ({SAMPLES}) s0) s1 group by 1, 2) p join ({LENGTHS}) l using (clip_id)"""
+
+
+def float_bits(y: str) -> str:
+    """IEEE single bits of a float32 below two in size: sign, exponent by log2, 23 bits of fraction."""
+    size = f"abs(cast({y} as double))"
+    e = f"(case when {size} = 0 then 0 else cast(floor(log2({size})) as bigint) end)"
+    exact = f"(case when {size} = 0 then 0 else {e} + (case when {size} >= pow(2.0::double, {e} + 1) then 1 when {size} < pow(2.0::double, {e}) then -1 else 0 end) end)"
+    bits = f"(case when {size} = 0 then 0 else (({exact} + 127) << 23) + cast({size} * pow(2.0::double, 23 - {exact}) as bigint) - (1 << 23) end)"
+    return f"({bits} + case when {y} < 0 then 2147483648 else 0 end)"
+
+
+_PCM = "(65536 + cast(trunc(case when c < 0 then c * 32768 else c * 32767 end) as bigint)) % 65536".replace("c ", "greatest(-1.0::double, least(1.0::double, cast(y as double))) ")
+ORACLE["wav_export"] = wav("float32", "0300", 4, little(float_bits("y"), 4)) + " union all " + wav("pcm16", "0100", 2, little(f"({_PCM})", 2))
 
 # --- PCM ----------------------------------------------------------------------------
 
@@ -246,7 +279,7 @@ from (select *, greatest(-1.0::double, least(1.0::double, y)) as c from (select
 ORACLE["mono_mix"] = f"select clip_id, sample_idx // 2 as sample_idx, {r5('cast(avg(cast(x as double)) as float)')} as x from ({SAMPLES}) s group by clip_id, sample_idx // 2"
 ORACLE["decimate"] = f"""select clip_id, sample_idx * 16000 // 44100 as sample_idx, {r5('x')} as x from ({SAMPLES}) s
 where (sample_idx + 1) * 16000 // 44100 > sample_idx * 16000 // 44100"""
-ORACLE["duration"] = f"select clip_id, n / 16000.0::double as duration_s from ({LENGTHS}) l"
+ORACLE["duration"] = f"select clip_id, n / 16000.0::double as duration_s from ({WITH_EMPTY}) l"
 ORACLE["truncate"] = f"select clip_id, sample_idx, {r5('x')} as x from ({SAMPLES}) s where sample_idx < 640"
 ORACLE["envelope"] = f"""
 select b.clip_id, bucket, {r5('least(0, coalesce(min(x), 0))')} as lo, {r5('greatest(0, coalesce(max(x), 0))')} as hi
@@ -428,8 +461,20 @@ select c.clip_id, m.model, n * m.step / 1000.0::double as duration_s, count(s.st
 from ({CLIP_FRAMES}) c cross join {MODELS} left join ({MODEL_SEGS}) s on s.clip_id = c.clip_id and s.model = m.model
 group by c.clip_id, m.model, n, m.step"""
 ORACLE["compare_models"] = f"""
-select clip_id, model, cast(null as varchar) as error, n_segments from ({SUMMARY}) s
-union all select clip_id, 'pyannote', 'no frame-score segmenter for pyannote', 0 from ({CLIP_FRAMES}) c"""
+select clip_id, model, cast(null as varchar) as error, n_segments, true as timed, cast(null as double) as start_s, cast(null as double) as end_s from ({SUMMARY}) s
+union all select clip_id, m, e, 0, true, null, null from ({CLIP_FRAMES}) c, (values ('pyannote', 'no frame-score segmenter for pyannote'), ('failing', 'model broke')) v(m, e)
+union all select clip_id, model, null, null, null, {r5('start_frame * step / 1000.0::double')}, {r5('end_frame * step / 1000.0::double')} from ({MODEL_SEGS}) g"""
+ORACLE["scorer_failures"] = f"""
+with sc as (select clip_id, frame_idx, 1 / (1 + exp(-avg(cast(v as double)))) as p, max(v) as most from ({VECTORS}) x group by all),
+bad as (select clip_id, max(most) > 0.45::float as failed, count(*) as n from sc group by clip_id),
+{segs("select clip_id, frame_idx, p from sc where clip_id not in (select clip_id from bad where failed)", step=10, on=0.5, k=2, m=2)}
+select clip_id, case when failed then 'ValueError: value out of range' end as error, case when failed then 0 else n end as n_frames,
+  case when failed then 1 else n end as n_rows, (select count(*) from sg where sg.clip_id = bad.clip_id) as n_segments from bad"""
+ORACLE["missing_frames"] = f"""with {segs(f"select * from ({FX1}) f where clip_id % 3 <> 0", **P_A)},
+every as (select clip_id, max(frame_idx) + 1 as n from ({FX1}) g where not (clip_id % 3 = 0 and frame_idx = 40) group by clip_id)
+select clip_id, case when clip_id % 3 = 0 then 1 else 0 end::bigint as n_missing,
+  case when clip_id % 3 = 0 then '1 of ' || n || ' frames are missing' end as error,
+  (select count(*) from sg where sg.clip_id = every.clip_id) as n_segments from every"""
 ORACLE["model_presets"] = """
 select event_id, m.model, m.model_id, m.step_ms, m.on_threshold, m.min_on, m.min_off
 from (select event_id, ['silero', 'firered', 'fsmn', 'marblenet', 'whisper'][event_id % 5 + 1] as model from events) e
@@ -443,11 +488,11 @@ select model, {r5('speech_s')} as speech_s, n_segments, speech_s < lo or speech_
 from (select model, sum(speech_s) as speech_s, cast(sum(n_segments) as bigint) as n_segments from ({SUMMARY}) s group by model) t
 join (values ('silero', 100.0, 200.0, 50), ('marblenet', 150.0, 300.0, 10), ('firered', 1.0, 50.0, 4)) e(model, lo, hi, least_n) using (model)"""
 ORACLE["duration_check"] = f"""select clip_id, model, {r5('reported_s')} as reported_s,
-  reported_s between duration_s * 0.95::double and duration_s * 1.05::double as duration_ok from ({SUMMARY}) s where n_segments > 0"""
+  reported_s between duration_s * 0.95::double and duration_s * 1.05::double as duration_ok from (select clip_id, model, duration_s, coalesce(reported_s, 0) as reported_s from ({SUMMARY}) s1) s"""
 ORACLE["realtime_factor"] = f"""
 select model, {r5('sum(duration_s)')} as audio_s, {r5('sum(wall)')} as wall_s, {r5('sum(duration_s) / sum(wall)', 2)} as realtime_factor
 from ({SUMMARY}) s join (select event_id // 1250 as clip_id, sum(value) / 1e6 as wall from events group by 1) w using (clip_id) group by model"""
-QUIET = segs(FX1_LONG, step=10, on=0.5, k=340, m=80)
+QUIET = segs(FX1_LONG, step=10, on=0.84, k=3, m=80)
 ORACLE["silent_clips"] = f"with {QUIET} select clip_id from nn where clip_id not in (select clip_id from sg)"
 ORACLE["voiced_clips"] = f"with {QUIET} select distinct clip_id from sg"
 
@@ -471,10 +516,10 @@ union all select clip_id, 'cut', emit_order, 'confidence_out_of_range' from ({AU
 union all select clip_id, 'cut', null, 'speech_fraction'
 from (select clip_id, sum(end_s - start_s) as s from ({AUDITED}) a group by clip_id) t join ({LENGTHS}) l using (clip_id)
 where not (s / (n / 16000.0::double)) between 0.2 and 0.95"""
-ORACLE["nested_segments"] = f"""
-select clip_id, 0::bigint as part, {r5('any_value(n) / 16000.0::double')} as duration_s, cast(count(*) as integer) as n_segments,
-  {r5('max_by(start_s, emit_order)')} as last_start_s, {r5('sum(end_s - start_s)')} as total_s
-from ({CUTS}) c join ({LENGTHS}) l using (clip_id) group by clip_id"""
+ORACLE["nested_segments"] = f"""with {segs(FX1, **P_C)}
+select nn.clip_id, {r5('any_value(nn.n) * 10 / 1000.0::double')} as duration_s, cast(count(start_frame) as integer) as n_segments,
+  coalesce(string_agg(start_frame * 10 || '-' || end_frame * 10 || '-0-1000', ',' order by start_frame), '') as segments
+from nn left join sg on nn.clip_id = sg.clip_id group by nn.clip_id"""
 
 
 def parity(diffs: str, tol_p99: float, tol_max: float) -> str:
@@ -524,14 +569,31 @@ select clip_id, analysis, 'activity', now * 32 / 1000.0::double, now * 32 / 1000
 
 ORACLE["stream_replay"] = f"""select clip_id, analysis, event_type, {r5('ts')} as timestamp, {r5('emitted')} as emitted_at_s, {r5('s0')} as start_s, {r5('s1')} as end_s,
   active as speech_active from ({EVENTS}) e"""
-ORACLE["segment_stream"] = f"""select clip_id, analysis, event_type, {r5('ts')} as timestamp, {r5('s0')} as start_s, {r5('s1')} as end_s,
-  active as speech_active from ({EVENTS}) e"""
+ORACLE["segment_stream"] = ORACLE["stream_replay"]
+# Sound in the chunks 2, 3, 4 and 7 of 0.1 s: 0.2-0.5 closes when twenty silent steps have passed and is
+# told 0.3 s after its end, 0.7-0.8 at the end of the stream.
+ORACLE["stream_pcm"] = """
+with streams as (select vec_id // 250 as stream_id, max(vec_id // 25 % 10) as last, (vec_id // 250) % 5 = 1 as bad from embeddings group by all),
+told as (select * from (values
+  (2, 'activity', 0.3, 0.3, null, null, true), (6, 'activity', 0.7, 0.7, null, null, false), (7, 'segment', 0.5, 0.8, 0.2, 0.5, null),
+  (7, 'activity', 0.8, 0.8, null, null, true), (9, 'segment', 0.8, 1.0, 0.7, 0.8, null), (9, 'activity', 1.0, 1.0, null, null, false)
+  ) v(k, event_type, ts, emitted, s0, s1, active))
+select stream_id, cast(k as bigint) as analysis, event_type, ts::double as timestamp, emitted::double as emitted_at_s, s0::double as start_s,
+  s1::double as end_s, active as speech_active, cast(null as varchar) as message
+from streams, told where k <= last and not (bad and k >= 6)
+union all select stream_id, -1, 'error', 0.6, 0.6, null, null, null, 'sample rate must be 16000, got 8000' from streams where bad and last >= 6"""
 ORACLE["abs_time"] = f"select clip_id, analysis, eos, {r5('base * 32 / 1000.0::double')} as buf_start_s, {r5('now * 32 / 1000.0::double')} as now_s from ({ANALYSES}) a"
 ORACLE["dedupe_bucket"] = f"""
 select clip_id, bucket, min(analysis) as analysis, {r5('arg_min(s0, analysis * 100000 + s0)')} as start_s, {r5('arg_min(s1, analysis * 100000 + s0)')} as end_s
 from (select *, cast(floor(round(s0, 6)) as bigint) as bucket from ({EVENTS}) e where event_type = 'segment') b group by clip_id, bucket"""
 ORACLE["debounce"] = f"""with {machine(f"select clip_id, analysis as frame_idx, cast(active as double) as p from ({ACTIVE}) x", on=0.5, k=2, m=2)}
 select f0.clip_id, f0.frame_idx as analysis, f0.p = 1 as speech_active, state = 1 as debounced from f0 join st using (clip_id, frame_idx)"""
+ORACLE["stream_hold"] = f"""with {machine(f"select clip_id, analysis as frame_idx, cast(active as double) as p from ({ACTIVE}) x", on=0.5, k=2, m=2)},
+ends as (select clip_id, analysis, now from ({ANALYSES}) a0 where eos)
+select 's' || t.clip_id as stream_id, t.frame_idx as analysis, {r5('now * 32 / 1000.0::double')} as timestamp, state = 1 as speech_active
+from tr t join ({ANALYSES}) a on a.clip_id = t.clip_id and a.analysis = t.frame_idx
+union all select 's' || e.clip_id, e.analysis, {r5('now * 32 / 1000.0::double')}, false
+from ends e join st on st.clip_id = e.clip_id and st.frame_idx = e.analysis where state = 1"""
 ORACLE["stream_latency"] = f"""select clip_id, event_type, count(*) as n_events, {r5('avg(emitted - ts)')} as avg_delay_s, {r5('max(emitted - ts)')} as max_delay_s
 from ({EVENTS}) e group by clip_id, event_type"""
 ORACLE["events_json"] = f"""

@@ -34,6 +34,12 @@ SUMMARY_MODELS = ("silero", "marblenet", "firered")
 EXPECTED_TOTALS = [("silero", 100.0, 200.0, 50), ("marblenet", 150.0, 300.0, 10), ("firered", 1.0, 50.0, 4)]
 
 
+# Frame blocks, groups of blocks and PCM blocks far below a clip's length, so that halos, carried state
+# and context take part in the results that are compared.
+EDGES = {"block": 200, "fan": 3}
+PIECE = 480
+
+
 def query(fn: Query) -> Query:
     REGISTRY[fn.__name__] = fn
     return fn
@@ -48,6 +54,13 @@ def blocks(spark, d, size: int = pcm.BLOCK_SAMPLES) -> DataFrame:
     return pcm.pcm_blocks(fx.clips(spark, d), size)
 
 
+def blocks_with_empty(spark, d, size: int) -> DataFrame:
+    """Small blocks of every clip, and of a clip without samples (id -1 - clip_id) beside each."""
+    c = fx.clips(spark, d)
+    empty = c.select((-1 - F.col("clip_id")).alias("clip_id"), F.slice("samples", 1, 0).alias("samples"))
+    return pcm.pcm_blocks(c.unionByName(empty), size)
+
+
 # --- sources and sinks --------------------------------------------------------------
 
 
@@ -94,15 +107,20 @@ def events_json(spark, d):
 
 @query
 def transcode(spark, d):
-    b = pcm.without_context(blocks(spark, d)).withColumn("samples", pcm.decode_f32(pcm.encode_f32("samples")))
-    return pcm.to_long(b).select("clip_id", "sample_idx", r5("x").alias("x"))
+    """Samples to raw bytes, and those through the block path of raw recordings."""
+    raw = fx.clips(spark, d).select("clip_id", pcm.encode_f32("samples").alias("pcm"))
+    return pcm.to_long(pcm.pcm_blocks(raw, PIECE), PIECE).select("clip_id", "sample_idx", r5("x").alias("x"))
 
 
 @query
 def wav_export(spark, d):
-    wav = sinks.export_wav(blocks(spark, d))
-    return wav.select("clip_id", "block_idx", F.length("payload").alias("n_bytes"),
-                      F.lower(F.hex(F.substring("payload", 1, 44))).alias("header"))
+    """Header and whole body (as hex) of both formats."""
+    out = None
+    for fmt in ("float32", "pcm16"):
+        wav = sinks.export_wav(pcm.map_samples(blocks(spark, d, PIECE), lambda x: x * F.lit(3.0).cast("float")), fmt)
+        rows = wav.select("clip_id", F.lit(fmt).alias("format"), "block_idx", F.lower(F.hex("payload")).alias("payload"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # --- PCM ----------------------------------------------------------------------------
@@ -110,7 +128,7 @@ def wav_export(spark, d):
 
 @query
 def envelope(spark, d):
-    out = pcm.envelope(blocks(spark, d), 48)
+    out = pcm.envelope(blocks(spark, d, PIECE), 48, PIECE)
     return out.select("clip_id", "bucket", r5("lo").alias("lo"), r5("hi").alias("hi"))
 
 
@@ -134,24 +152,24 @@ def mono_mix(spark, d):
 
 @query
 def decimate(spark, d):
-    return pcm.decimate(blocks(spark, d), 44_100).select("clip_id", "sample_idx", r5("x").alias("x"))
+    return pcm.decimate(blocks(spark, d, PIECE), 44_100, PIECE).select("clip_id", "sample_idx", r5("x").alias("x"))
 
 
 @query
 def resample(spark, d):
-    out = pcm.resample(blocks(spark, d), 24_000).select("clip_id", "first_sample", F.posexplode("samples").alias("i", "x"))
+    out = pcm.resample(blocks(spark, d, PIECE), 24_000, block_samples=PIECE).select("clip_id", "first_sample", F.posexplode("samples").alias("i", "x"))
     return out.select("clip_id", (F.col("first_sample") + F.col("i")).alias("sample_idx"), (F.round(F.col("x").cast("double"), 4) + F.lit(0.0)).alias("x"))
 
 
 @query
 def duration(spark, d):
-    return diag.window_inventory(blocks(spark, d)).select("clip_id", "duration_s")
+    return diag.window_inventory(blocks_with_empty(spark, d, 700)).select("clip_id", "duration_s")
 
 
 @query
 def truncate(spark, d):
-    cut = pcm.truncate(blocks(spark, d), 0.04)
-    return pcm.to_long(cut).select("clip_id", "sample_idx", r5("x").alias("x"))
+    cut = pcm.truncate(blocks(spark, d, PIECE), 0.04, block_samples=PIECE)
+    return pcm.to_long(cut, PIECE).select("clip_id", "sample_idx", r5("x").alias("x"))
 
 
 def _chunk_rows(df):
@@ -189,7 +207,7 @@ def frame_counts(spark, d):
 
 
 def _frames(spark, d):
-    return feat.frames(blocks(spark, d), 400, 160)
+    return feat.frames(blocks(spark, d, PIECE), 400, 160, PIECE)
 
 
 def _frame_rows(df, column="frame"):
@@ -213,7 +231,7 @@ def preemph_frame(spark, d):
 
 @query
 def preemph_signal(spark, d):
-    return pcm.to_long(feat.preemphasis_signal(blocks(spark, d))).select("clip_id", "sample_idx", r5("x").alias("x"))
+    return pcm.to_long(feat.preemphasis_signal(blocks(spark, d, PIECE)), PIECE).select("clip_id", "sample_idx", r5("x").alias("x"))
 
 
 @query
@@ -225,7 +243,7 @@ def window_tables(spark, d):
 
 @query
 def reflect_pad(spark, d):
-    return feat.reflect_pad(blocks(spark, d), 256).select("clip_id", "pos", r5("x").alias("x"))
+    return feat.reflect_pad(blocks(spark, d, PIECE), 256, PIECE).select("clip_id", "pos", r5("x").alias("x"))
 
 
 @query
@@ -236,7 +254,7 @@ def zero_pad(spark, d):
 
 
 def _small_frames(spark, d):
-    return feat.frames(blocks(spark, d), SMALL.length, SMALL.shift)
+    return feat.frames(blocks(spark, d, PIECE), SMALL.length, SMALL.shift, PIECE)
 
 
 def _plain_power(spark, d):
@@ -309,17 +327,17 @@ def _mel_rows(df):
 
 @query
 def log_mel_kaldi(spark, d):
-    return _mel_rows(feat.log_mel_kaldi(blocks(spark, d), precision="double"))
+    return _mel_rows(feat.log_mel_kaldi(blocks(spark, d, PIECE), block_samples=PIECE, precision="double"))
 
 
 @query
 def log_mel_nemo(spark, d):
-    return _mel_rows(feat.log_mel_nemo(blocks(spark, d), precision="double"))
+    return _mel_rows(feat.log_mel_nemo(blocks(spark, d, 640), block_samples=640, precision="double"))
 
 
 @query
 def pad_frames(spark, d):
-    return _mel_rows(feat.pad_frames(fx.vector_features(spark, d), 2, dims=64))
+    return _mel_rows(feat.pad_frames(fx.vector_features(spark, d), 2))
 
 
 @query
@@ -354,9 +372,9 @@ def norm_add(spark, d):
 
 
 class MeanScorer:
-    """Stand-in model: logistic of the frame mean."""
+    """Stand-in model: logistic of the frame mean; looks at no other frame."""
 
-    frames_per_output = 1
+    frames_per_output, context = 1, 0
 
     def score(self, features):
         return 1.0 / (1.0 + np.exp(-features.astype(np.float64).mean(axis=1)))
@@ -364,10 +382,40 @@ class MeanScorer:
 
 @query
 def score_stub(spark, d):
-    out = scoring.score_frames(fx.vector_features(spark, d), MeanScorer())
+    out = scoring.score_frames(fx.vector_features(spark, d), MeanScorer(), frames_per_part=7)
     return out.select("clip_id", "frame_idx", F.round(F.col("p").cast("double"), 4).alias("p"), "error")
 
 
+class FragileScorer(MeanScorer):
+    """Fails on a stretch that holds a value above ``most``; looks ``context`` frames around a frame."""
+
+    context, most = 2, 0.45
+
+    def score(self, features):
+        if features.max() > self.most:
+            raise ValueError("value out of range")
+        return super().score(features)
+
+
+@query
+def scorer_failures(spark, d):
+    """A clip of which one stretch fails gives one error and no frames; the others are scored whole."""
+    out = scoring.score_frames(fx.vector_features(spark, d), FragileScorer(), frames_per_part=5)
+    per = out.groupBy("clip_id", "error").agg(F.count("frame_idx").alias("n_frames"), F.count(F.lit(1)).alias("n_rows"))
+    segs = seg.segment_frames(out.filter("error is null"), seg.SegmentParams(step_ms=10, on=0.5, min_on=2, min_off=2), **EDGES)
+    return per.join(segs.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_segments")), "clip_id", "left").fillna(0, ["n_segments"])
+
+
+@query
+def missing_frames(spark, d):
+    """Every third clip lacks a frame: it is listed, and has no segments."""
+    lost = (F.col("clip_id") % 3 == 0) & (F.col("frame_idx") == 40)
+    scores = fx.frame_scores(spark, d).filter(~lost)
+    segs = seg.segment_frames(scores, "silero", **EDGES).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_segments"))
+    clips = scores.select("clip_id").distinct().join(seg.incomplete_clips(scores), "clip_id", "left")
+    return clips.join(segs, "clip_id", "left").fillna(0, ["n_missing", "n_segments"]).select("clip_id", "n_missing", "error", "n_segments")
+
+
 @query
 def energy_score(spark, d):
     out = scoring.energy_score(fx.vector_features(spark, d), mid=0.0, slope=10.0)
@@ -386,10 +434,19 @@ def _model_runs(names):
     return {n: run(n) for n in names}
 
 
+def _failing(df):
+    """Segments whose computing fails in the executors."""
+    return seg.segment_frames(df, "silero").withColumn("start_s", F.raise_error(F.lit("model broke")).cast("double"))
+
+
 @query
 def compare_models(spark, d):
-    _, results = scoring.compare_models(fx.frame_scores(spark, d), _model_runs([*SUMMARY_MODELS, "pyannote"]))
-    return results
+    """Results and segments of three models, one that cannot be set up and one that fails while running."""
+    runs = {**_model_runs([*SUMMARY_MODELS, "pyannote"]), "failing": _failing}
+    segs, results = scoring.compare_models(fx.frame_scores(spark, d), runs)
+    told = F.when(F.col("error").contains("model broke"), "model broke").otherwise(F.col("error"))
+    notes = results.select("clip_id", "model", told.alias("error"), "n_segments", (F.col("elapsed_ms") > 0).alias("timed"))
+    return notes.unionByName(segs.select("clip_id", "model", r5("start_s").alias("start_s"), r5("end_s").alias("end_s")), allowMissingColumns=True)
 
 
 @query
@@ -436,32 +493,32 @@ def inverse_threshold(spark, d):
 
 @query
 def boxcar(spark, d):
-    return seg.boxcar(fx.frame_scores(spark, d)).select("clip_id", "frame_idx", r5("p_mean").alias("p_mean"))
+    return seg.boxcar(fx.frame_scores(spark, d), block=EDGES["block"]).select("clip_id", "frame_idx", r5("p_mean").alias("p_mean"))
 
 
 @query
 def vote(spark, d):
-    return seg.vote(fx.frame_scores(spark, d), seg.at_most("p", 0.2)).select("clip_id", "frame_idx", "voted")
+    return seg.vote(fx.frame_scores(spark, d), seg.at_most("p", 0.2), block=EDGES["block"]).select("clip_id", "frame_idx", "voted")
 
 
 @query
 def run_length(spark, d):
-    return seg.run_length(fx.frame_scores(spark, d), seg.at_least("p", 0.5), 4).select("clip_id", "frame_idx", F.col("run_done"))
+    return seg.run_length(fx.frame_scores(spark, d), seg.at_least("p", 0.5), 4, block=EDGES["block"]).select("clip_id", "frame_idx", F.col("run_done"))
 
 
 @query
 def hysteresis(spark, d):
-    return seg.speech_state(fx.frame_scores(spark, d), "marblenet").select("clip_id", "frame_idx", "speech")
+    return seg.speech_state(fx.frame_scores(spark, d), "marblenet", **EDGES).select("clip_id", "frame_idx", "speech")
 
 
 @query
 def transitions(spark, d):
-    return seg.transitions(seg.speech_state(fx.frame_scores(spark, d), "silero")).select("clip_id", "frame_idx", "speech")
+    return seg.transitions(seg.speech_state(fx.frame_scores(spark, d), "silero", **EDGES), block=EDGES["block"]).select("clip_id", "frame_idx", "speech")
 
 
 @query
 def backdate(spark, d):
-    moves = seg.transitions(seg.speech_state(fx.frame_scores(spark, d), "silero"))
+    moves = seg.transitions(seg.speech_state(fx.frame_scores(spark, d), "silero", **EDGES), block=EDGES["block"])
     return seg.backdate(moves, "silero").select("clip_id", "frame_idx", "speech", "boundary_frame")
 
 
@@ -473,7 +530,7 @@ def _seg_rows(df):
 @query
 def backfill(spark, d):
     wide = seg.resolve("firered", backfill=30)
-    return _seg_rows(seg.segment_frames(fx.frame_scores(spark, d), wide))
+    return _seg_rows(seg.segment_frames(fx.frame_scores(spark, d), wide, **EDGES))
 
 
 @query
@@ -481,7 +538,7 @@ def tail_flush(spark, d):
     """Segments that are still open at the end of their clip."""
     frames_ = fx.frame_scores(spark, d)
     ends = frames_.groupBy("clip_id").agg((F.max("frame_idx") + 1).alias("end_frame"))
-    segs = seg.segment_frames(frames_, "silero")
+    segs = seg.segment_frames(frames_, "silero", **EDGES)
     return segs.join(ends, ["clip_id", "end_frame"]).select("clip_id", "start_frame", "end_frame")
 
 
@@ -494,28 +551,28 @@ def frame_time(spark, d):
 
 @query
 def seg_silero(spark, d):
-    return _seg_rows(seg.segment_frames(fx.frame_scores(spark, d), "silero"))
+    return _seg_rows(seg.segment_frames(fx.frame_scores(spark, d), "silero", **EDGES))
 
 
 @query
 def seg_marblenet(spark, d):
-    return _seg_rows(seg.segment_frames(fx.frame_scores(spark, d), "marblenet"))
+    return _seg_rows(seg.segment_frames(fx.frame_scores(spark, d), "marblenet", **EDGES))
 
 
 @query
 def seg_firered(spark, d):
-    return _seg_rows(seg.segment_frames(fx.frame_scores(spark, d), "firered"))
+    return _seg_rows(seg.segment_frames(fx.frame_scores(spark, d), "firered", **EDGES))
 
 
 @query
 def seg_fsmn(spark, d):
     silence = fx.long_wave_scores(spark, d).withColumn("p", 1 - F.col("p"))
-    return _seg_rows(seg.segment_frames(silence, seg.resolve("fsmn", on=0.4)))
+    return _seg_rows(seg.segment_frames(silence, seg.resolve("fsmn", on=0.4), **EDGES))
 
 
 @query
 def seg_custom(spark, d):
-    return _seg_rows(seg.segment_frames(fx.frame_scores(spark, d), CUSTOM))
+    return _seg_rows(seg.segment_frames(fx.frame_scores(spark, d), CUSTOM, **EDGES))
 
 
 # --- powerset -----------------------------------------------------------------------
@@ -557,13 +614,14 @@ def window_offset(spark, d):
 
 @query
 def merge_adjacent(spark, d):
-    out = powerset.merge_adjacent(_runs(spark, d), merge_gap=2.0)
-    return out.select("clip_id", "speaker_id", r5("start_s").alias("start_s"), r5("end_s").alias("end_s"))
+    out = powerset.merge_adjacent(_runs(spark, d), merge_gap=2.0, fan=EDGES["fan"])
+    return out.select("clip_id", "speaker_id", r5("start_s").alias("start_s"), r5("end_s").alias("end_s"),
+                      F.round(F.col("confidence").cast("double"), 4).alias("confidence"))
 
 
 @query
 def diarize(spark, d):
-    out = powerset.diarize(fx.class_scores(spark, d), frames_per_window=FPW)
+    out = powerset.diarize(fx.class_scores(spark, d), frames_per_window=FPW, fan=EDGES["fan"])
     return out.select("clip_id", "speaker_id", r5("start_s").alias("start_s"), r5("end_s").alias("end_s"),
                       F.round(F.col("confidence").cast("double"), 4).alias("confidence"))
 
@@ -573,33 +631,33 @@ def diarize(spark, d):
 
 @query
 def speaker_numbering(spark, d):
-    kept = segments.number_segments(segments.kept_segments(blocks(spark, d), fx.cut_list(spark, d)))
+    kept = segments.number_segments(segments.kept_segments(blocks(spark, d, PIECE), fx.cut_list(spark, d), block_samples=PIECE))
     return kept.select("clip_id", "emit_order", "speaker_id", "segment_idx", "start_sample", "end_sample")
 
 
 @query
 def cut_segments(spark, d):
-    pieces = segments.cut_segments(blocks(spark, d), fx.cut_list(spark, d))
+    pieces = segments.cut_segments(blocks(spark, d, PIECE), fx.cut_list(spark, d), block_samples=PIECE)
     long = pieces.select("clip_id", "speaker_id", "segment_idx", "start_sample", "piece_idx", F.posexplode("samples").alias("i", "x"))
     # A piece after the first starts at a block edge.
     at = F.when(F.col("piece_idx") == 0, F.col("start_sample")).otherwise(
-        (F.expr(f"start_sample div {pcm.BLOCK_SAMPLES}") + F.col("piece_idx")) * pcm.BLOCK_SAMPLES
+        (F.expr(f"start_sample div {PIECE}") + F.col("piece_idx")) * PIECE
     )
     return long.select("clip_id", "speaker_id", "segment_idx", (at + F.col("i")).alias("sample_idx"), r5("x").alias("x"))
 
 
 @query
 def range_extract(spark, d):
-    out = segments.extract_range(blocks(spark, d), 0.01003, 0.0301)
+    out = segments.extract_range(blocks(spark, d, PIECE), 0.01003, 0.0301, block_samples=PIECE)
     long = out.select("clip_id", "first_sample", F.posexplode("samples").alias("i", "x"))
     return long.select("clip_id", (F.col("first_sample") + F.col("i")).alias("sample_idx"), r5("x").alias("x"))
 
 
 @query
 def mask_streams(spark, d):
-    out = segments.mask_streams(blocks(spark, d), fx.cut_list(spark, d))
+    out = segments.mask_streams(blocks(spark, d, PIECE), fx.cut_list(spark, d), block_samples=PIECE)
     long = out.select("clip_id", "speaker_id", "block_idx", F.posexplode("samples").alias("i", "x"))
-    return long.select("clip_id", "speaker_id", (F.col("block_idx") * pcm.BLOCK_SAMPLES + F.col("i")).alias("sample_idx"), r5("x").alias("x"))
+    return long.select("clip_id", "speaker_id", (F.col("block_idx") * PIECE + F.col("i")).alias("sample_idx"), r5("x").alias("x"))
 
 
 @query
@@ -647,14 +705,14 @@ def duration_check(spark, d):
     """Reported length (end of the last segment) against the clip's length."""
     segs, runs = _model_results(spark, d)
     last = segs.groupBy("clip_id", "model").agg(F.max("end_s").alias("reported_s"))
-    both = runs.join(last, ["clip_id", "model"])
+    both = runs.join(last, ["clip_id", "model"], "left").fillna(0.0, ["reported_s"])
     out = segments.check_duration(both, "reported_s", "duration_s")
     return out.select("clip_id", "model", r5("reported_s").alias("reported_s"), "duration_ok")
 
 
 def _quiet_setup(spark, d):
     clips = fx.frame_scores(spark, d).select("clip_id").distinct()
-    segs = seg.segment_frames(fx.long_wave_scores(spark, d), seg.SegmentParams(step_ms=10, on=0.5, min_on=340, min_off=80))
+    segs = seg.segment_frames(fx.long_wave_scores(spark, d), seg.SegmentParams(step_ms=10, on=0.84, min_on=3, min_off=80))
     return clips, segs
 
 
@@ -670,12 +728,13 @@ def voiced_clips(spark, d):
 
 @query
 def nested_segments(spark, d):
-    clips = diag.window_inventory(blocks(spark, d)).select("clip_id", "duration_s")
-    segs = fx.cut_list(spark, d).withColumn("confidence", F.lit(1.0).cast("float"))
-    nested = segments.nest(clips, segs)
-    total = F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["end_s"] - s["start_s"])
-    return nested.select("clip_id", "part", r5("duration_s").alias("duration_s"), F.size("segments").alias("n_segments"),
-                         r5(F.element_at("segments", -1)["start_s"]).alias("last_start_s"), r5(total).alias("total_s"))
+    """Real segments of one model, one record per clip, with all nested values in milliseconds."""
+    segs, runs = _model_results(spark, d)
+    clips = runs.filter("model = 'firered'").select("clip_id", "duration_s")
+    nested = segments.nest(clips, segs.filter("model = 'firered'").drop("model"))
+    ms = lambda x: F.round(x * 1000).cast("bigint").cast("string")
+    shown = F.transform("segments", lambda x: F.concat_ws("-", ms(x["start_s"]), ms(x["end_s"]), x["speaker_id"].cast("string"), ms(x["confidence"])))
+    return nested.select("clip_id", r5("duration_s").alias("duration_s"), F.size("segments").alias("n_segments"), F.array_join(shown, ",").alias("segments"))
 
 
 @query
@@ -706,9 +765,9 @@ def realtime_factor(spark, d):
 
 @query
 def match_segments(spark, d):
-    a = seg.segment_frames(fx.frame_scores(spark, d), "silero")
-    b = seg.segment_frames(fx.frame_scores(spark, d), seg.SegmentParams(step_ms=32, on=0.9, off=0.5, min_on=2, min_off=3))
-    out = segments.match_segments(a, b)
+    other = seg.SegmentParams(step_ms=32, on=0.9, off=0.5, min_on=2, min_off=3)
+    both = seg.segment_models(fx.frame_scores(spark, d), {"a": "silero", "b": other})  # one pass over the frames
+    out = segments.match_segments(*[both.filter(F.col("model") == m).drop("model") for m in "ab"])
     return out.select("clip_id", "speaker_id", *[r5(c).alias(c) for c in ("a_start", "a_end", "b_start", "b_end", "iou")], "same_bounds", "side")
 
 
@@ -761,7 +820,7 @@ def _rounded_scores(spark, d):
 
 @query
 def window_inventory(spark, d):
-    out = diag.window_inventory(blocks(spark, d), window=1_000)
+    out = diag.window_inventory(blocks_with_empty(spark, d, 700), window=1_000)
     return out.select("clip_id", "n_samples", r5("duration_s").alias("duration_s"), "n_windows")
 
 
@@ -818,13 +877,41 @@ def segment_stream(spark, d):
 
     params = replay.frame_stream_params("silero", max_buffer_s=9.6)
     out = run(fx.chunks(spark, d), ScoreAnalyser("silero"), params)
-    return out.select(F.col("stream_id").alias("clip_id"), "analysis", "event_type",
-                      *[r5(c).alias(c) for c in ("timestamp", "start_s", "end_s")], "speech_active")
+    return _event_rows(out.withColumnRenamed("stream_id", "clip_id"))
+
+
+@query
+def stream_hold(spark, d):
+    """Live activity events that wait for two analyses in a row, of streams with text ids."""
+    from speechspark.streaming.segmenter import segment_stream as run
+
+    params = replay.frame_stream_params("silero", max_buffer_s=9.6, hold=2)
+    named = fx.chunks(spark, d).withColumn("stream_id", F.concat(F.lit("s"), F.col("stream_id").cast("string")))
+    out = run(named, ScoreAnalyser("silero"), params).filter("event_type = 'activity'")
+    return out.select("stream_id", "analysis", r5("timestamp").alias("timestamp"), "speech_active")
+
+
+@query
+def stream_pcm(spark, d):
+    """Raw PCM chunks of 1 600 samples, ten clips a stream; every fifth stream has a chunk of a wrong rate."""
+    from speechspark.streaming.analysers import EnergyAnalyser
+    from speechspark.streaming.params import StreamParams
+    from speechspark.streaming.segmenter import segment_stream as run
+
+    seq = F.col("clip_id") % 10
+    raw = fx.clips(spark, d).select(
+        F.expr("clip_id div 10").alias("stream_id"), seq.alias("seq"),
+        pcm.encode_f32(F.transform("samples", lambda x: F.when(seq.isin(2, 3, 4, 7), x).otherwise(F.lit(0.0)).cast("float"))).alias("pcm"),
+        F.when((F.expr("clip_id div 10") % 5 == 1) & (seq == 6), 8_000).otherwise(16_000).alias("sample_rate"),
+        (seq == 9).alias("end_of_stream"))
+    out = run(raw, EnergyAnalyser(), StreamParams(min_analyze_s=0.1, finalize_s=0.3))
+    return out.select("stream_id", "analysis", "event_type", *[r5(c).alias(c) for c in ("timestamp", "emitted_at_s", "start_s", "end_s")],
+                      "speech_active", "message")
 
 
 @query
 def stream_incremental(spark, d):
     from speechspark.streaming.segmenter import segment_stream_incremental as run
 
-    out = run(fx.chunks(spark, d), "firered").filter("event_type = 'segment'")
-    return out.select(F.col("stream_id").alias("clip_id"), r5("start_s").alias("start_s"), r5("end_s").alias("end_s"))
+    out = run(fx.chunks(spark, d), "firered")
+    return _event_rows(out.withColumnRenamed("stream_id", "clip_id")).drop("analysis")

@@ -6,6 +6,6 @@ CHUNKS = (
 )
 RAW_CHUNKS = "stream_id bigint, seq bigint, pcm binary, sample_rate int, end_of_stream boolean, ts timestamp"
 EVENTS = (
-    "stream_id bigint, analysis bigint, timestamp double, event_type string, speech_active boolean, "
+    "stream_id bigint, analysis bigint, timestamp double, emitted_at_s double, event_type string, speech_active boolean, "
     "start_s double, end_s double, speaker_id int, confidence float, message string"
 )

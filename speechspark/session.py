@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -42,6 +42,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="speechspark-")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the session's folder, or in our own where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers that do not share the driver's path."""
     import speechspark

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,27 +19,60 @@ MSG_EMPTY = "samples cannot be empty"
 MSG_ALIGN = "samples length %d is not a multiple of 4 (expected float32 little-endian)"
 
 
-def read_pcm(spark: SparkSession, path: str, glob: str = f"*{CLIP_SUFFIX}") -> DataFrame:
+MSG_LARGE = "samples do not fit into one row"
+#: Arrays of the JVM end at 2 GiB.
+MAX_CLIP_BYTES = (1 << 31) - (1 << 20)
+
+
+def _empty_files(spark: SparkSession, path: str, glob: str, recursive: bool) -> DataFrame:
+    """Paths of the files of length zero, which Spark's file source leaves out; listed on the driver, as Spark lists."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system, todo, found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), [folder], []
+    while todo:
+        for x in system.listStatus(todo.pop()):
+            if x.isDirectory() and recursive:
+                todo.append(x.getPath())
+            elif x.isFile() and x.getLen() == 0 and fnmatch(x.getPath().getName(), glob):
+                found.append((x.getPath().toString(),))
+    return spark.createDataFrame(found, "path string")
+
+
+def read_pcm(spark: SparkSession, path: str, glob: str = f"*{CLIP_SUFFIX}", recursive: bool = False) -> DataFrame:
     """Raw float32 files as clips: clip_id (file name without suffix), sample_rate, pcm.
 
-    The name filter is applied while listing, so other files are never opened.  Spark leaves out
-    files of length zero.
+    The name filter is applied while listing, so other files are never opened.  One folder is read;
+    with ``recursive`` also those below, and clip ids then hold the path from ``path`` on, so that
+    equal names stay apart.  Files of length zero give an empty ``pcm``.  A file too large for one
+    row gives a null one, without being opened, and is quarantined by ``validate_clips``.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    fits = F.col("length") <= MAX_CLIP_BYTES
+    rows = (
+        files.filter(fits).select("path", F.col("content").alias("pcm"))
+        .unionByName(files.filter(~fits).select("path", F.lit(None).cast("binary").alias("pcm")))
+        .unionByName(_empty_files(spark, path, glob, recursive).select("path", F.lit(b"").alias("pcm")))
+    )
+    if recursive:
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+        name = F.element_at(F.split("path", re.escape(root) + "/", 2), -1)
+    else:
+        name = F.element_at(F.split("path", "/"), -1)
+    return rows.select(
         F.regexp_replace(name, F.lit(CLIP_SUFFIX.replace(".", r"\.") + "$"), F.lit("")).alias("clip_id"),
-        F.lit(SAMPLE_RATE).alias("sample_rate"),
-        F.col("content").alias("pcm"),
+        F.lit(SAMPLE_RATE).alias("sample_rate"), "pcm",
     )
 
 
 def input_error(rate: Column, n_bytes: Column, allow_empty: bool = False, strict: bool = True) -> Column:
-    """Message of the first failed check, or null.  Rate 0 (or null) means the default rate."""
+    """Message of the first failed check, or null.  Rate 0 (or null) means the default rate; a null
+    length, that the payload did not fit into a row."""
     bad_rate = F.coalesce(rate, F.lit(0)).isin(0, SAMPLE_RATE) == F.lit(False)
     out = F.when(bad_rate, F.format_string(MSG_RATE, rate))
     if not allow_empty:
         out = out.when(n_bytes == 0, F.lit(MSG_EMPTY))
+    out = out.when(n_bytes.isNull(), F.lit(MSG_LARGE))
     if strict:
         out = out.when(n_bytes % 4 != 0, F.format_string(MSG_ALIGN, n_bytes))
     return out
@@ -81,15 +116,15 @@ def read_f32_matrix(spark: SparkSession, path: str, ncols: int, glob: str = "*.f
         F.when(n % row_bytes != 0, F.format_string(f"length %d is not a multiple of {row_bytes}", n)).alias("error"),
     )
     last = F.expr(f"greatest((_n div {row_bytes} - 1) div {rows_per_part}, 0)")
-    parts = files.filter("error is null and _n > 0").select(
-        "name", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_p"), "content"
-    )
-    body = decode_f32(F.substring("content", (F.col("_p") * (rows_per_part * row_bytes) + 1).cast("int"), F.lit(rows_per_part * row_bytes)))
-    rows = parts.select("name", "_p", body.alias("_v")).select(
+    # Cut inside the row, so that no part's row carries the whole file.
+    size = rows_per_part * row_bytes
+    pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda p: F.substring(F.col("content"), (p * size + 1).cast("int"), F.lit(size)))
+    parts = files.filter("error is null and _n > 0").select("name", F.posexplode(pieces).alias("_p", "_bytes"))
+    rows = parts.select("name", "_p", decode_f32("_bytes").alias("_v")).select(
         "name", "_p", "_v", F.explode(F.sequence(F.lit(0), (F.size("_v") / ncols).cast("int") - 1)).alias("_r")
     )
     good = rows.select(
-        "name", (F.col("_p") * rows_per_part + F.col("_r")).alias("row_idx"),
+        "name", (F.col("_p").cast("bigint") * rows_per_part + F.col("_r")).alias("row_idx"),
         F.slice("_v", F.col("_r") * ncols + 1, F.lit(ncols)).alias("row"), F.lit(None).cast("string").alias("error"),
     )
     bad = files.filter("error is not null").select(

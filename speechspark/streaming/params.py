@@ -15,6 +15,7 @@ class StreamParams:
     active_tol_s: float = 0.1
     dedupe: str = "exact"  # or "bucket": starts within one bucket count as the same segment
     bucket_s: float = 0.1
+    hold: int = 1  # an activity flag changes after so many analyses in a row agree
     suppress_left_edge: bool = False  # drop segments cut by the start of a buffer that has slid
 
     @property

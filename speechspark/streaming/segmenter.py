@@ -2,7 +2,10 @@
 
 Two modes.  ``rolling`` re-analyses a bounded buffer (parity with the unary rules);
 ``incremental`` carries the state of the on/off machine and looks at each value once.
-State lives in the state store, keyed by stream, and is bounded by the buffer length.
+State lives in the state store, keyed by stream.  It is bounded by the buffer length, plus at most
+``max_waiting`` chunks that arrived ahead of a missing one; a stream that would need more ends with an
+error event.  What stays of an ended stream is its place, so that late repeats are known; with
+``idle_ttl_s`` that expires too.
 """
 
 from __future__ import annotations
@@ -29,15 +32,16 @@ class _OrderedChunks(StatefulProcessor):
     repeat and is dropped.  After the end of a stream, or an invalid chunk, the rest is ignored.
     """
 
+    max_waiting = 4_096
     ttl_ms: int | None = None  # forget a stream that has been idle this long; nothing is emitted
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "next_seq bigint, done boolean", self.ttl_ms)
+        self.place = handle.getValueState("place", "next_seq bigint, done boolean, n_waiting bigint", self.ttl_ms)
         self.waiting = handle.getMapState("waiting", "seq bigint", "payload binary, eos boolean, error string", self.ttl_ms)
         self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        next_seq, done = self.place.get() if self.place.exists() else (0, False)
+        next_seq, done, n_waiting = self.place.get() if self.place.exists() else (0, False, 0)
         out: list[dict] = []
         for pdf in rows:
             if done:
@@ -52,6 +56,10 @@ class _OrderedChunks(StatefulProcessor):
                 error = None if error is None or error != error else str(error)
                 values = np.zeros(0, np.float32) if x is None else np.asarray(x, dtype=np.float32)
                 if seq > next_seq:
+                    n_waiting += not self.waiting.containsKey((int(seq),))
+                    if n_waiting > self.max_waiting:
+                        done = self._take(values, True, f"chunk {next_seq} is missing and {self.max_waiting} chunks wait for it", out)
+                        break
                     self.waiting.updateValue((int(seq),), (values.tobytes(), bool(eos), error))
                     continue
                 done = self._take(values, bool(eos), error, out)
@@ -59,23 +67,27 @@ class _OrderedChunks(StatefulProcessor):
                 while not done and self.waiting.containsKey((next_seq,)):
                     data, eos2, error2 = self.waiting.getValue((next_seq,))
                     self.waiting.removeKey((next_seq,))
+                    n_waiting -= 1
                     done = self._take(np.frombuffer(data, np.float32), eos2, error2, out)
                     next_seq += 1
-        self.place.update((int(next_seq), bool(done)))
+        self.place.update((int(next_seq), bool(done), 0 if done else int(n_waiting)))
         if done:
             self.waiting.clear()
             self.forget()
         self.flush()
         if out:
-            rows_out = [{"stream_id": int(key[0]), **event} for event in out]
+            rows_out = [{"stream_id": key[0], **event} for event in out]
             yield pd.DataFrame({c: pd.Series([e.get(c) for e in rows_out], dtype=object) for c in EVENT_COLUMNS})
 
     def _take(self, values, eos, error, out) -> bool:
+        first = len(out)
         if error is not None:
-            out.append({"analysis": -1, "event_type": "error", "message": error})
-            return True
-        self.consume(values, eos, out)
-        return eos
+            out.append({"analysis": -1, "timestamp": self.heard(), "event_type": "error", "message": error})
+        else:
+            self.consume(values, eos, out)
+        for event in out[first:]:  # as much of the stream had arrived when it was told
+            event["emitted_at_s"] = self.heard()
+        return eos or error is not None
 
     def close(self) -> None:
         pass
@@ -85,6 +97,8 @@ class _OrderedChunks(StatefulProcessor):
 
     def consume(self, values: np.ndarray, eos: bool, out: list) -> None: ...
 
+    def heard(self) -> float: ...
+
     def flush(self) -> None: ...
 
     def forget(self) -> None: ...
@@ -109,7 +123,7 @@ class RollingSegmenter(_OrderedChunks):
 
     def open(self, handle):
         self.state = handle.getValueState(
-            "buffer", "values binary, start bigint, fresh bigint, analysis bigint, active boolean, emitted array<bigint>",
+            "buffer", "values binary, start bigint, fresh bigint, analysis bigint, active boolean, emitted array<bigint>, streak bigint",
             self.ttl_ms,
         )
         self.live = None
@@ -117,16 +131,21 @@ class RollingSegmenter(_OrderedChunks):
     def _load(self):
         if self.live is None:
             if self.state.exists():
-                data, start, fresh, analysis, active, emitted = self.state.get()
-                self.live = [np.frombuffer(data, np.float32), start, fresh, analysis, active, set(emitted)]
+                data, start, fresh, analysis, active, emitted, streak = self.state.get()
+                self.live = [np.frombuffer(data, np.float32), start, fresh, analysis, active, set(emitted), streak]
             else:
-                self.live = [np.zeros(0, np.float32), 0, 0, 0, False, set()]
+                # values, place of the first, new values, analyses, active, emitted starts, analyses against ``active``
+                self.live = [np.zeros(0, np.float32), 0, 0, 0, False, set(), 0]
         return self.live
 
+    def heard(self):
+        live = self._load()
+        return (live[1] + len(live[0])) / self.params.rate
+
     def flush(self):
         if self.live is not None:
-            buf, start, fresh, analysis, active, emitted = self.live
-            self.state.update((np.ascontiguousarray(buf).tobytes(), int(start), int(fresh), int(analysis), bool(active), sorted(emitted)))
+            buf, start, fresh, analysis, active, emitted, streak = self.live
+            self.state.update((np.ascontiguousarray(buf).tobytes(), int(start), int(fresh), int(analysis), bool(active), sorted(emitted), int(streak)))
             self.live = None
 
     def forget(self):
@@ -165,8 +184,9 @@ class RollingSegmenter(_OrderedChunks):
         # A later buffer cannot contain an earlier start, so older keys are of no use.
         oldest = pr.start_key(base) - 1
         live[5] = {x for x in emitted if x >= oldest}
-        if active != live[4]:
-            live[4] = active
+        live[6] = live[6] + 1 if active != live[4] else 0
+        if live[6] >= pr.hold:
+            live[4], live[6] = active, 0
             out.append(_activity(k, now, active))
         if eos and live[4]:
             live[4] = False
@@ -207,6 +227,9 @@ class IncrementalSegmenter(_OrderedChunks):
         self.live = None
         self.state.clear()
 
+    def heard(self):
+        return self._load()[1] * self.params.step_ms / 1000.0
+
     def consume(self, values, eos, out):
         live, pr = self._load(), self.params
         x = np.concatenate([live[0], values.astype(np.float64)])
@@ -237,7 +260,8 @@ class IncrementalSegmenter(_OrderedChunks):
         live[0], live[1] = x[-keep:] if keep < len(x) else x, seen
 
 
-def _run(chunks: DataFrame, processor: _OrderedChunks, idle_ttl_s: float | None) -> DataFrame:
+def _run(chunks: DataFrame, processor: _OrderedChunks, idle_ttl_s: float | None, max_waiting: int) -> DataFrame:
+    processor.max_waiting = max_waiting
     if idle_ttl_s is not None:
         processor.ttl_ms = int(idle_ttl_s * 1000)
     if "error" not in chunks.columns:
@@ -247,22 +271,24 @@ def _run(chunks: DataFrame, processor: _OrderedChunks, idle_ttl_s: float | None)
     # A batch run needs the state store coordinator, which the stream manager brings up.
     _ = chunks.sparkSession.streams.active
     columns = ["stream_id", "seq", "samples", "end_of_stream", "error"]
+    kind = chunks.schema["stream_id"].dataType.simpleString()
     return chunks.select(*columns).groupBy("stream_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=EVENTS, outputMode="Append",
+        statefulProcessor=processor, outputStructType=EVENTS.replace("stream_id bigint", f"stream_id {kind}"), outputMode="Append",
         timeMode="None" if idle_ttl_s is None else "ProcessingTime",
     )
 
 
 def segment_stream(chunks: DataFrame, analyser: Analyser, params: StreamParams = StreamParams(),
-                   idle_ttl_s: float | None = None) -> DataFrame:
+                   idle_ttl_s: float | None = None, max_waiting: int = 4_096) -> DataFrame:
     """Rolling-buffer events of every stream.
 
     Only the end-of-stream flag finalises a stream.  ``idle_ttl_s`` drops the state of streams
     that stopped without it.
     """
-    return _run(chunks, RollingSegmenter(analyser, params), idle_ttl_s)
+    return _run(chunks, RollingSegmenter(analyser, params), idle_ttl_s, max_waiting)
 
 
-def segment_stream_incremental(chunks: DataFrame, preset: str | SegmentParams, idle_ttl_s: float | None = None) -> DataFrame:
+def segment_stream_incremental(chunks: DataFrame, preset: str | SegmentParams, idle_ttl_s: float | None = None,
+                               max_waiting: int = 4_096) -> DataFrame:
     """Events from frame scores without re-analysis."""
-    return _run(chunks, IncrementalSegmenter(preset), idle_ttl_s)
+    return _run(chunks, IncrementalSegmenter(preset), idle_ttl_s, max_waiting)

@@ -148,7 +148,7 @@ def test_invalid_chunk_ends_its_stream_only(spark):
     got = {r.stream_id: r.message for r in out.collect()}
     assert got == {1: "samples length 41 is not a multiple of 4 (expected float32 little-endian)", 2: "sample rate must be 16000, got 44100"}
     line = events_to_json(out).filter("stream_id = 2").collect()[0].json
-    assert line == '{"message":"sample rate must be 16000, got 44100","type":"error"}'
+    assert line == '{"message":"sample rate must be 16000, got 44100","timestamp":0.0,"type":"error"}'
 
 
 def test_pcm_stream_with_energy(spark):
@@ -166,3 +166,15 @@ def test_debounce(spark):
     df = spark.createDataFrame([(0, i, bool(v)) for i, v in enumerate(flags)], "clip_id int, analysis bigint, speech_active boolean")
     got = [r.debounced for r in replay.debounce(df, 2).orderBy("analysis").collect()]
     assert [int(v) for v in got] == [0, 0, 0, 0, 1, 1, 1, 1, 1, 0, 0]
+
+
+def test_a_missing_chunk_ends_a_stream_that_waits_too_long(spark):
+    """At most ``max_waiting`` chunks wait; a stream beyond that ends with an error, others go on."""
+    rows = [(s, k, [0.9] * 10, 16_000, k == 30) for s in ("whole", "gap") for k in range(31) if not (s == "gap" and k == 4)]
+    chunks = spark.createDataFrame(rows, "stream_id string, seq bigint, samples array<float>, sample_rate int, end_of_stream boolean")
+    out = segment_stream_incremental(chunks, "firered", max_waiting=8)
+    errors = out.filter("event_type = 'error'").select("stream_id", "message", "timestamp", "emitted_at_s").collect()
+    assert [tuple(r) for r in errors] == [("gap", "chunk 4 is missing and 8 chunks wait for it", 0.4, 0.4)]
+    assert out.filter("stream_id = 'whole' and event_type = 'segment'").count() == 1
+    patient = segment_stream_incremental(chunks, "firered").filter("event_type = 'error'")
+    assert patient.count() == 0
