@@ -10,11 +10,12 @@ the context in step.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,11 +70,14 @@ def pcm_blocks(clips: DataFrame, block_samples: int = BLOCK_SAMPLES, keys: Seque
     source = "pcm" if raw else samples
     pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), count), piece)
     cut = clips.select(*keys, n.alias("_n"), source).select(*keys, F.col("_n").alias("n_samples"), F.posexplode(pieces).alias("_b", "_x"))
-    none = F.array().cast("array<float>")
-    cut = cut.select(
-        *keys, F.col("_b").cast("bigint").alias("block_idx"), "n_samples", context(F.col("_b").cast("bigint")).cast("int").alias("_lead"),
-        F.coalesce(decode_f32("_x") if raw else F.col("_x"), none).alias("_x"),
-    )
+    lead = context(F.col("_b").cast("bigint")).cast("int")
+    cut = cut.select(*keys, F.col("_b").cast("bigint").alias("block_idx"), "n_samples", lead.alias("_lead"), "_x")
+    if raw:
+        kept = [*keys, "block_idx", "n_samples"]
+        kinds = ", ".join(f"`{k}` {cut.schema[k].dataType.simpleString()}" for k in kept)
+        return cut.mapInArrow(
+            lambda batches: _decoded(batches, block_samples), f"{kinds}, samples array<float>, before array<float>, after array<float>")
+    cut = cut.withColumn("_x", F.coalesce("_x", F.array().cast("array<float>")))
     lead = F.col("_lead")
     return cut.select(
         *keys, "block_idx", "n_samples", F.slice("_x", lead + 1, F.lit(block_samples)).alias("samples"),
@@ -81,6 +85,25 @@ def pcm_blocks(clips: DataFrame, block_samples: int = BLOCK_SAMPLES, keys: Seque
     )
 
 
+def _decoded(batches: Iterator[pa.RecordBatch], block_samples: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of raw bytes (the last two columns: lead and bytes) with samples and context as float arrays."""
+    for b in batches:
+        parts: tuple[list, list, list] = ([], [], [])
+        for lead, data in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1), strict=True):
+            raw = data.as_buffer() if data.is_valid else b""
+            x = np.frombuffer(raw, dtype="<f4", count=len(raw) // 4) if len(raw) >= 4 else np.zeros(0, "<f4")
+            parts[0].append(x[lead:lead + block_samples])
+            parts[1].append(x[:lead])
+            parts[2].append(x[lead + block_samples:lead + block_samples + CONTEXT])
+        lists = []
+        for part in parts:
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32)
+            values = np.concatenate(part) if part else np.zeros(0, "<f4")
+            lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.float32, copy=False))))
+        names = [*b.schema.names[:-2], "samples", "before", "after"]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], *lists], names=names)
+
+
 def map_samples(blocks: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
     """Apply a function of one sample to the samples and, if present, to the context."""
     held = [c for c in ("samples", "before", "after") if c in blocks.columns]

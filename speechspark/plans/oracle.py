@@ -522,6 +522,28 @@ select nn.clip_id, {r5('any_value(nn.n) * 10 / 1000.0::double')} as duration_s,
 from nn left join sg on nn.clip_id = sg.clip_id group by nn.clip_id"""
 
 
+MEL_K = f"select clip_id, frame_idx, bin, ln(greatest(e, {EPS23})) as v from ({project(power(chain(400, 160, POVEY(400)), 512), bank('htk', 80, 512, 16000, 20))}) e"
+MEL_N = f"select clip_id, frame_idx, bin, ln(e + {EPS24}) as v from ({project(power(NEMO_FRAMES, 512), bank('slaney', 80, 512, 16000, 0))}) e"
+STACKED = f"""select m.clip_id, m.frame_idx - j as frame_idx, j * 80 + bin as dim, v
+from ({MEL_K}) m, range(3) r(j), (select clip_id, (n - 400) // 160 + 1 as t from ({LENGTHS}) l) c
+where c.clip_id = m.clip_id and m.frame_idx - j between 0 and t - 3"""
+NORMED = f"select clip_id, frame_idx, (v - avg(v) over (partition by dim)) / sqrt(greatest(avg(v * v) over (partition by dim) - pow(avg(v) over (partition by dim), 2), 1e-20)) as v from ({STACKED}) s"
+
+
+def records(frames: str, **kw) -> str:
+    """One record per clip, and the errors of the empty and short clips beside each."""
+    return f"""with {segs(frames, step=10, **kw)}
+select l.clip_id, {r5('any_value(l.n) / 16000.0::double')} as duration_s,
+  coalesce(string_agg(start_frame * 10 || '-' || end_frame * 10, ',' order by start_frame), '') as segments, cast(null as varchar) as error
+from ({LENGTHS}) l left join sg on l.clip_id = sg.clip_id group by l.clip_id
+union all select -1 - clip_id, 0, '', 'samples cannot be empty' from ({LENGTHS}) l
+union all select -1001 - clip_id, {r5('200 / 16000.0::double')}, '', 'clip too short for one frame' from ({LENGTHS}) l"""
+
+
+ORACLE["detect_kaldi"] = records(f"select clip_id, frame_idx, 1 / (1 + exp(-avg(v))) as p from ({NORMED}) q group by all", on=0.5, k=1, m=2)
+ORACLE["detect_nemo"] = records(f"select clip_id, frame_idx, 1 / (1 + exp(-20.0::double * (avg(v) + 4.08::double))) as p from ({MEL_N}) q group by all", on=0.5, off=0.4, k=2, m=1)
+
+
 def parity(diffs: str, tol_p99: float, tol_max: float) -> str:
     return f"""
 select n as n_compared, 0::bigint as n_unmatched, {r5('mx')} as max_abs, {r5('mn')} as mean_abs, {r5('d')} as p99_abs, mx <= {tol_max} and d <= {tol_p99} as passed
