@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Sequence
 
@@ -31,46 +30,51 @@ def stream_name(clip: Column, speaker: Column) -> Column:
     return F.format_string(STREAM_NAME, clip.cast("string"), speaker)
 
 
-def _write(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
-    """Parquet, partitioned by a hash of the clip so that the folder count stays fixed."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    df.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def _write(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str]) -> None:
+    """Parquet sorted by clip: rows are ranged over the clips, so a clip lies in few files and a filter on
+    it reads few row groups; the number of files follows the data and large clips are split."""
+    df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).write.mode("overwrite").parquet(path)
 
 
-def write_speaker_chunks(pieces: DataFrame, path: str, keys: Sequence[str] = KEYS, buckets: int = 64) -> None:
+def write_speaker_chunks(pieces: DataFrame, path: str, keys: Sequence[str] = KEYS) -> None:
     """Output of ``cut_segments``: one row per piece of a segment, with its file name."""
     named = pieces.withColumn("file_name", segment_name(F.col(keys[0]), F.col("speaker_id"), F.col("segment_idx")))
-    _write(named, path, keys, buckets)
+    _write(named, path, keys, ["speaker_id", "segment_idx", "piece_idx"])
 
 
-def write_speaker_streams(streams: DataFrame, path: str, keys: Sequence[str] = KEYS, buckets: int = 64) -> None:
+def write_speaker_streams(streams: DataFrame, path: str, keys: Sequence[str] = KEYS) -> None:
     """Output of ``mask_streams``: one row per block of a speaker's stream, with its file name."""
-    _write(streams.withColumn("file_name", stream_name(F.col(keys[0]), F.col("speaker_id"))), path, keys, buckets)
+    _write(streams.withColumn("file_name", stream_name(F.col(keys[0]), F.col("speaker_id"))), path, keys, ["speaker_id", "block_idx"])
 
 
 def export_raw(named: DataFrame, folder: str, order: str) -> None:
-    """Write every ``file_name`` as a raw float32 file in ``folder``, shared by all executors.
+    """Write every ``file_name`` as a raw float32 file in ``folder``, any URI that pyarrow opens.
 
     The pieces of one file are appended in ``order`` while streaming through the partition; the
     file gets its final name only when complete, so a retried task replaces it whole.
     """
     def save(rows):
+        from pyarrow import fs
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
+        system, root = fs.FileSystem.from_uri(folder)
         suffix = f".part-{ctx.partitionId()}-{ctx.taskAttemptId()}"
         current, out = None, None
+
+        def finish():
+            out.close()
+            system.move(f"{root}/{current}{suffix}", f"{root}/{current}")
+
         for row in rows:
             if row.file_name != current:
                 if out:
-                    out.close()
-                    os.replace(out.name, os.path.join(folder, current))
+                    finish()
                 current = row.file_name
-                out = open(os.path.join(folder, current + suffix), "wb")
+                out = system.open_output_stream(f"{root}/{current}{suffix}")
             out.write(row.payload)
         if out:
-            out.close()
-            os.replace(out.name, os.path.join(folder, current))
+            finish()
 
     (
         named.select("file_name", order, encode_f32("samples").alias("payload"))

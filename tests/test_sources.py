@@ -47,7 +47,7 @@ def test_raw_export_and_parquet_sinks(spark, tmp_path):
         [(0, 0, 1, 0.001, 0.02), (0, 1, 1, 0.021, 0.03)], "clip_id bigint, emit_order bigint, speaker_id int, start_s double, end_s double"
     )
     pieces = segments.cut_segments(b, segs, block_samples=100)
-    sinks.write_speaker_chunks(pieces, str(tmp_path / "chunks"), buckets=4)
+    sinks.write_speaker_chunks(pieces, str(tmp_path / "chunks"))
     back = spark.read.parquet(str(tmp_path / "chunks"))
     assert {r.file_name for r in back.select("file_name").distinct().collect()} == {"0-speaker1-segment0.f32", "0-speaker1-segment1.f32"}
     os.mkdir(tmp_path / "raw")
