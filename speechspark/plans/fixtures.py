@@ -39,16 +39,17 @@ def long_wave_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clip_id, window_idx, frame_idx (in window), w: integer weight of each class."""
+    """clip_id, window_idx, frame_idx (in window), w: integer weight of each class, with noise from ``events.value``."""
     f = F.col("f")
     ev = table(spark, sf_dir, "events").select(
         F.expr(f"event_id div {FRAMES_PER_CLIP}").alias("clip_id"),
         F.expr(f"event_id % {FRAMES_PER_CLIP}").alias("f"),
+        F.floor("value").cast("bigint").alias("v"),
     )
     turn = (F.expr("f div 23") + F.col("clip_id")) % N_CLASSES
 
     def weight(c: int):
-        noise = (f * (c + 3) + 7 * c + F.col("clip_id")) % 11
+        noise = (f * (c + 3) + 7 * c + F.col("clip_id") + F.col("v")) % 11
         return F.when(f % 97 == 0, F.lit(1)).otherwise(1 + noise + F.when(turn == c, 40).otherwise(0)).cast("double")
 
     return ev.select(

@@ -31,8 +31,8 @@ FX1_LONG = scores(611, 340)
 WEIGHTS = """
 select clip_id, f // 125 as window_idx, f % 125 as frame_idx, c as cls,
   case when f % 97 = 0 then 1
-       else 1 + (f * (c + 3) + 7 * c + clip_id) % 11 + case when (f // 23 + clip_id) % 7 = c then 40 else 0 end end as w
-from (select event_id // 1250 as clip_id, event_id % 1250 as f from events) t, range(7) r(c)"""
+       else 1 + (f * (c + 3) + 7 * c + clip_id + v) % 11 + case when (f // 23 + clip_id) % 7 = c then 40 else 0 end end as w
+from (select event_id // 1250 as clip_id, event_id % 1250 as f, cast(floor(value) as bigint) as v from events) t, range(7) r(c)"""
 
 PROBS = f"""
 select clip_id, window_idx, frame_idx, cls, w, ln(w / sum(w) over (partition by clip_id, window_idx, frame_idx)) as lp
