@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,21 +23,24 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
+#: What identifies a message made from a table's row.
+MESSAGE = ("content", "copy")
 
 
-def fold_events(events: DataFrame) -> DataFrame:
+def fold_events(events: DataFrame, message: Sequence[str] = ("message",)) -> DataFrame:
     """(``conv``, ``seq``, ``message``, ``role``, ``text``) of the final messages.
 
+    ``message`` names the columns that identify a message of a conversation.
     Events are ordered by sequence number (null first), then kind and text.  Identical events count once,
     as a log may deliver an event again.  Null texts are empty; a message's role is the first that is not
     null, else empty; deltas before any setting event build on an empty text.  Events whose kind is not
     one of the four are ignored.  Only the latest version's events reach the concatenation.
     """
-    e = events.select("conv", "seq", "message", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
+    e = events.select("conv", "seq", *message, "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
     e = e.filter(F.col("kind").isin("message", "edit", "regenerate", "delta"))
     order = F.struct(F.col("seq").alias("seq"), (F.col("kind") == "delta").alias("late"), F.col("text").alias("text"))
     whole = (
-        e.groupBy("conv", "message")
+        e.groupBy("conv", *message)
         .agg(
             F.array_sort(F.collect_set(order)).alias("all"),
             F.max(F.when(F.col("kind") != "delta", F.struct(order.alias("o")))).alias("reset"),
@@ -51,7 +54,8 @@ def fold_events(events: DataFrame) -> DataFrame:
         lambda x: F.col("reset").isNull() | (x >= F.col("reset.o")) & (x["late"] | (x == F.col("reset.o"))),
     )
     return whole.select(
-        "conv", F.when(~F.col("unplaced"), F.col("seq")).alias("seq"), "message",
+        "conv", F.when(~F.col("unplaced"), F.col("seq")).alias("seq"),
+        (F.struct(*message) if len(message) > 1 else F.col(message[0])).alias("message"),
         F.coalesce("role.role", F.lit("")).alias("role"),
         F.array_join(F.transform(live, lambda x: x["text"]), "").alias("text"),
     )
@@ -161,20 +165,21 @@ def read_back(pieces: DataFrame) -> DataFrame:
 def events_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Event log of a table of finished turns: a learned turn arrives as an opening and one delta.
 
-    Every row is a message of its own, repeated rows too (told apart by a running number); rows with one
-    turn number follow each other by role and text.
+    Every row is a message of its own, repeated rows too (``MESSAGE``: a key of its content and a running
+    number); rows with one turn number follow each other by role and text.  Numbering and folding share
+    one exchange of the texts.
     """
     from pyspark.sql.window import Window
 
     base = rows.select(
         F.col(conv).alias("conv"), F.col(turn).cast("long").alias("seq"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    same = Window.partitionBy("conv", "seq", "role", "text").orderBy("role")
-    base = base.withColumn("copy", F.row_number().over(same))
-    base = base.withColumn("message", F.struct("role", F.substring("text", 1, 64).alias("head"), F.sha2("text", 256).alias("sha"), "seq", "copy"))
+    key = F.struct("role", F.substring("text", 1, 64).alias("head"), F.sha2("text", 256).alias("sha"), "seq")
+    base = base.withColumn("content", key)
+    base = base.withColumn("copy", F.row_number().over(Window.partitionBy("conv", "content").orderBy("role")))
     opening = F.struct(F.lit("message").alias("kind"), F.lit("").alias("text"))
     delta = F.struct(F.lit("delta").alias("kind"), F.col("text").alias("text"))
     whole = F.struct(F.lit("message").alias("kind"), F.col("text").alias("text"))
     events = F.when(F.col("role") == LEARNED, F.array(opening, delta)).otherwise(F.array(whole))
-    return base.select("conv", "seq", "message", "role", F.explode(events).alias("e")).select(
-        "conv", "seq", "message", "role", "e.kind", "e.text")
+    return base.select("conv", "seq", *MESSAGE, "role", F.explode(events).alias("e")).select(
+        "conv", "seq", *MESSAGE, "role", "e.kind", "e.text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechspark.llm.chat import END, START, events_of_rows, fold_events, read_back, render
+from speechspark.llm.chat import END, MESSAGE, START, events_of_rows, fold_events, read_back, render
 from speechspark.llm.common import shared_folder
 from speechspark.llm.contamination import find_contamination
 from speechspark.llm.html_text import extract_text
@@ -47,7 +47,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    pieces = render(fold_events(events_of_rows(rows)))
+    pieces = render(fold_events(events_of_rows(rows), MESSAGE))
     return read_back(pieces).withColumnRenamed("conv", "conv_id")
 
 

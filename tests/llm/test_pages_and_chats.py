@@ -154,12 +154,12 @@ def test_odd_conversations_come_back(spark):
         (3, None, None, None), (None, 0, "user", "a"), (4, 0, "assistant", "same"), (4, 0, "assistant", "same"), (5, 0, "assistant", "long " * 100_000), (6, 0, "assistant", ""),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(9)).withColumn("message", F.lit("clash"))
-    got = {r["conv"]: tuple(r)[1:5] for r in chat.read_back(chat.render(chat.fold_events(chat.events_of_rows(df)))).collect()}
+    got = {r["conv"]: tuple(r)[1:5] for r in chat.read_back(chat.render(chat.fold_events(chat.events_of_rows(df), chat.MESSAGE))).collect()}
     want = defaultdict(list)
     for c, n, r, t in sorted(rows, key=lambda x: (x[0] or 0, x[1] or 0, x[2] or "", x[3] or "")):
         want[c].append((r or "", t or ""))
     assert got == {c: plain_digest(t) for c, t in want.items()}
-    assert chat.read_back(chat.render(chat.fold_events(chat.events_of_rows(df.limit(0))))).count() == 0
+    assert chat.read_back(chat.render(chat.fold_events(chat.events_of_rows(df.limit(0)), chat.MESSAGE))).count() == 0
 
 
 def test_events_are_folded(spark):
