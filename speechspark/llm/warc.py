@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by id into shards of about equal payload, cut from an exact histogram of at most
-``CELLS`` id ranges (so the cuts are the same in every run).  A shard is written in order, one gzip member
+Records are range-sorted by id into shards of about equal payload, cut from an exact histogram of id
+ranges that is refined where it is crowded (so the cuts are the same in every run).  A shard is written in order, one gzip member
 per record, and rolls to a new file by compressed size.  Headers, ids and digests are made anew from the
 data; the date is a parameter.  Tasks write under temporary names that no other attempt has and return
 manifest rows; only files in the manifest that Spark kept are renamed to their final names, a step that may
@@ -15,16 +15,18 @@ import gzip
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from speechspark.llm.common import stored
 
 CELLS = 16_384
+#: How often a crowded range of ids is cut again.
+LEVELS = 5
 SHARD_MB = 16
 FILE_MB = 8
 LEVEL = 4
@@ -103,6 +105,60 @@ class _Files:
         self.records += 1
 
 
+def _div(a: Column, b: Column) -> Column:
+    """Whole quotient of two longs, towards zero."""
+    return F.call_function("div", a, b)
+
+
+def _sharded(narrow: DataFrame, shard_bytes: int) -> Callable[[DataFrame], DataFrame]:
+    """A step that adds ``shard`` to rows with ``i`` and ``d``; the cuts follow the order (i, d), nulls first.
+
+    ``narrow`` (``i``, ``d``, ``n``) is summed over ``CELLS`` equal ranges of ids.  A range with more than a
+    shard's bytes is cut again between its own least and greatest id, and a single id by the digest, so that
+    far-off ids or an id of many rows don't put everything into one shard.  At most ``CELLS`` ranges are cut
+    at a time, into six times as many at most; these small tables are all that is broadcast.
+    """
+    ends = narrow.agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.sum(F.col("n") + 512).alias("bytes")).first()
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    limit = max(shard_bytes, (ends["bytes"] or 0) // CELLS, 1)
+    width = (hi - lo) // CELLS + 1
+    # Quotients differ by CELLS at most, so extreme ids don't overflow; division towards zero keeps the order.
+    start = F.coalesce(_div(F.col("i"), F.lit(width)) - _div(F.lit(lo), F.lit(width)), F.lit(-1).cast("long"))
+    digest = F.conv(F.substring("d", 1, 8), 16, 10).cast("long")
+    path, cuts = ["c0"], []
+
+    def place(df: DataFrame) -> DataFrame:
+        df = df.withColumn("c0", start)
+        for k, cut in enumerate(cuts):
+            df = df.join(F.broadcast(cut), path[:k + 1], "left")
+            key = F.when(F.col("cut.one_id"), digest).otherwise(F.col("i"))
+            sub = _div(key, F.col("cut.width")) - _div(F.col("cut.least"), F.col("cut.width"))
+            df = df.withColumn(path[k + 1], F.coalesce(sub, F.lit(0).cast("long"))).drop("cut")
+        return df
+
+    while True:
+        spans = lambda c: F.struct(F.min(c).alias("least"), F.max(c).alias("most"))
+        cells = stored(place(narrow).groupBy(*path).agg(
+            F.sum(F.col("n") + 512).alias("bytes"), spans(F.col("i")).alias("ids"), spans(digest).alias("digests")), "cells")
+        one_id = F.coalesce(F.col("ids.least") == F.col("ids.most"), F.lit(True))
+        heavy = (
+            cells.filter(F.col("bytes") > limit)
+            .select(*path, "bytes", one_id.alias("one_id"), F.when(one_id, F.col("digests")).otherwise(F.col("ids")).alias("x"))
+            .filter("x.least < x.most")
+        )
+        parts = _div(F.col("bytes"), F.lit(limit)) * 4 + 2
+        width = _div(F.col("x.most"), parts) - _div(F.col("x.least"), parts) + 1
+        cut = F.struct("one_id", F.col("x.least").alias("least"), width.alias("width"))
+        heavy = stored(heavy.select(*path, cut.alias("cut")), "heavy")
+        if len(path) > LEVELS or heavy.first() is None:
+            break
+        cuts.append(heavy)
+        path = [*path, f"c{len(path)}"]
+    before = F.sum("bytes").over(Window.orderBy(*path)) - F.col("bytes")
+    shards = stored(cells.select(*path, (before / shard_bytes).cast("int").alias("shard")), "shards")
+    return lambda df: place(df).join(F.broadcast(shards), path).drop(*path)
+
+
 def write_archives(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *,
     min_revisit_bytes: int = 0, shard_mb: float = SHARD_MB, file_mb: float = FILE_MB, level: int = LEVEL, date: str = DATE,
@@ -117,25 +173,16 @@ def write_archives(
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).alias("u"), payload.alias("p"))
     rows = rows.withColumns({"d": F.sha2("p", 256), "n": F.octet_length("p").cast("long")})
-    ends = rows.agg(F.min("i").alias("lo"), F.max("i").alias("hi")).first()
-    lo, hi = ends["lo"] or 0, ends["hi"] or 0
-    width = (hi - lo) // CELLS + 1
-    cell = F.coalesce(F.expr(f"(i - {lo}L) div {width}L"), F.lit(0).cast("long"))
-    cells = rows.groupBy(cell.alias("cell")).agg(F.sum(F.col("n") + 512).alias("bytes"))
-    before = F.sum("bytes").over(Window.orderBy("cell")) - F.col("bytes")  # CELLS rows at most
-    shards = cells.select("cell", (before / (shard_mb * 2**20)).cast("int").alias("shard"))
-    shards = F.broadcast(stored(shards, "shards"))
-
-    narrow = rows.select("i", "d", "n", cell.alias("cell"))
+    narrow = stored(rows.select("i", "d", "n"), "narrow")
     first = narrow.groupBy("d").agg(F.min("i").alias("least"))
     revisits = (
         narrow.join(first, "d").filter(~F.col("i").eqNullSafe(F.col("least")) & (F.col("n") >= min_revisit_bytes))
-        .select("i", "d", "cell", "least").distinct()
+        .select("i", "d", "least").distinct()
     )
     void = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    told = revisits.select("cell", "i", "d", F.lit(0).alias("o"), "least", void("u", "string"), void("p", "binary"))
-    full = rows.select(cell.alias("cell"), "i", "d", F.lit(1).alias("o"), void("least", "long"), "u", "p")
-    both = told.unionByName(full).join(shards, "cell").drop("cell")
+    told = revisits.select("i", "d", F.lit(0).alias("o"), "least", void("u", "string"), void("p", "binary"))
+    full = rows.select("i", "d", F.lit(1).alias("o"), void("least", "long"), "u", "p")
+    both = _sharded(narrow, int(shard_mb * 2**20))(told.unionByName(full))
     ordered = both.repartition("shard").sortWithinPartitions("shard", F.col("i").asc_nulls_first(), "d", "o", "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

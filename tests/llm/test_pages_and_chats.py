@@ -213,6 +213,22 @@ def test_archives_of_odd_pages(spark, least_bytes):
     assert none.count() == 0 and warc.read_archives(none, empty).count() == 0
 
 
+def test_far_off_ids_and_crowded_ids_spread_over_shards(spark):
+    ids = [-(2**63), 2**63 - 1, None, *range(400), *[7] * 300, *[None] * 300]
+    rows = [(i, "http://a", f"{k} " * 200) for k, i in enumerate(ids)]
+    folder = tempfile.mkdtemp(prefix="warc-")
+    manifest = warc.write_archives(pages_of(spark, rows), folder, shard_mb=0.03, file_mb=0.01)
+    per_shard = [r["n"] for r in manifest.groupBy("shard").agg(F.sum("records").alias("n")).collect()]
+    assert sum(per_shard) == len(rows) and max(per_shard) < 100
+    names = [r["name"] for r in manifest.orderBy("name").collect()]
+    order = []
+    for name in names:
+        with gzip.open(f"{folder}/{name}") as stream:
+            order += [x["page_id"] for x in warc.read_records(stream)]
+    assert order == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert warc.read_archives(manifest, folder).filter("record_type = 'response'").count() == len(rows)
+
+
 def test_archives_are_the_same_in_every_run(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     seen = []
