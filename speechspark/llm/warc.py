@@ -110,8 +110,10 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def _sharded(narrow: DataFrame, shard_bytes: int) -> Callable[[DataFrame], DataFrame]:
-    """A step that adds ``shard`` to rows with ``i`` and ``d``; the cuts follow the order (i, d), nulls first.
+def _sharded(narrow: DataFrame, shard_bytes: int) -> tuple[int, Callable[[DataFrame], DataFrame]]:
+    """The number of shards, and a step that adds ``shard`` to rows with ``i`` and ``d``.
+
+    The cuts follow the order (i, d), nulls first.
 
     ``narrow`` (``i``, ``d``, ``n``) is summed over ``CELLS`` equal ranges of ids.  A range with more than a
     shard's bytes is cut again between its own least and greatest id, and a single id by the digest, so that
@@ -156,7 +158,8 @@ def _sharded(narrow: DataFrame, shard_bytes: int) -> Callable[[DataFrame], DataF
         path = [*path, f"c{len(path)}"]
     before = F.sum("bytes").over(Window.orderBy(*path)) - F.col("bytes")
     shards = stored(cells.select(*path, (before / shard_bytes).cast("int").alias("shard")), "shards")
-    return lambda df: place(df).join(F.broadcast(shards), path).drop(*path)
+    last = shards.agg(F.max("shard").alias("last")).first()["last"] or 0
+    return last + 1, lambda df: place(df).join(F.broadcast(shards), path).drop(*path)
 
 
 def write_archives(
@@ -182,8 +185,10 @@ def write_archives(
     void = lambda name, kind: F.lit(None).cast(kind).alias(name)
     told = revisits.select("i", "d", F.lit(0).alias("o"), "least", void("u", "string"), void("p", "binary"))
     full = rows.select("i", "d", F.lit(1).alias("o"), void("least", "long"), "u", "p")
-    both = _sharded(narrow, int(shard_mb * 2**20))(told.unionByName(full))
-    ordered = both.repartition("shard").sortWithinPartitions("shard", F.col("i").asc_nulls_first(), "d", "o", "u")
+    n_shards, sharded = _sharded(narrow, int(shard_mb * 2**20))
+    both = sharded(told.unionByName(full))
+    # One task per shard: a partition by size or hash would give some tasks several.
+    ordered = both.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", F.col("i").asc_nulls_first(), "d", "o", "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, told, last = _Files(folder, int(file_mb * 2**20), level), None, None
@@ -260,7 +265,7 @@ def read_records(stream) -> Iterator[dict]:
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """Records of the archives in a manifest without their payloads; files are read as streams, one per task slot."""
+    """Records of the archives in a manifest without their payloads; files are read as streams, about one a task."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()),
                         ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
@@ -279,5 +284,6 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return manifest.select("name").repartition("name").mapInArrow(
+    # Names are few bytes and would be packed into one task by size.
+    return manifest.select("name").repartition(max(manifest.count(), 1)).mapInArrow(
         run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
