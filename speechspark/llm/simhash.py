@@ -26,6 +26,8 @@ from speechspark.llm.common import checkpointed, stored
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
+#: Rows from which masks of 43 instead of 36 bits keep chance meetings rare; results are the same.
+WIDE_MASKS = 1 << 31
 
 
 def masks(radius: int = RADIUS, prime: int = 2, bits: int = 64) -> list[int]:
@@ -135,15 +137,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, prime: int = 2,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, prime: int | None = None,
 ) -> DataFrame:
     """One row per input row: id, ``fingerprint`` (16 hex digits), ``component_id`` (least id reachable).
 
     Texts without words (null or empty too) have fingerprint zero and link like any other.  Equal
     fingerprints are one vertex, so copies cost nothing; repeated rows get equal values.  Null ids take
     part but are never a component's least id unless all of its ids are null.  Other columns are not read.
+    ``prime`` picks the family of masks; by default it follows the number of rows.
     """
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "prints")
+    if prime is None:
+        prime = 2 if prints.count() < WIDE_MASKS else 3
     owners = prints.groupBy("f").agg(F.min("i").alias("least"))
     roots = components(links(owners.select("f"), prime=prime))
     grouped = owners.join(roots.withColumnRenamed("v", "f"), "f", "left").select(

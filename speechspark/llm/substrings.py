@@ -26,6 +26,8 @@ from speechspark.llm.common import sha256_hex
 WINDOW = 35
 BLOCK = 18
 BATCH_MB = 8
+#: Least text per batch and bucket, so that a packed list holds about a hundred hashes.
+LIST_BYTES = 600
 #: Bits of an anchor's hash that are compared; false hits only cost a comparison later.
 ANCHOR_BITS = 46
 _PIECE = 1 << 20
@@ -208,7 +210,7 @@ def remove_repeats(
     Each word covered by a run of ``window`` words that starts anywhere else too (in the same text
     included) is removed; runs are judged on the input.  ``kept_text`` is the rest joined by single
     blanks.  A null or empty text has no words and keeps the empty text; texts shorter than the
-    window lose nothing; repeated rows are documents of their own and so lose all runs; null ids are
+    window lose nothing; ``batch_mb`` is the least text of a batch; repeated rows are documents of their own and so lose all runs; null ids are
     allowed.  Input columns named like a result are replaced.  An empty table gives no rows.
     """
     if window < 2 * block - 1:
@@ -217,7 +219,8 @@ def remove_repeats(
     docs = docs.drop(*[c for c in docs.columns if c.lower() in results])
     at = docs.columns.index(text_col)
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
-    n_batches = int(total / (batch_mb * 2**20)) + 1
+    # Lists grow as the square of the batches; from some 100 GB on, batches grow with the root of the corpus.
+    n_batches = int(total / max(batch_mb * 2**20, (LIST_BYTES * total) ** 0.5)) + 1
     n_buckets = n_batches
     tag = "_batch_of_text"
     while tag in docs.columns:

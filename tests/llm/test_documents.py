@@ -91,7 +91,9 @@ def test_components_of_a_crowd(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
-def test_near_duplicates_of_documents(spark):
+@pytest.mark.parametrize("wide", [1 << 31, 0])
+def test_near_duplicates_of_documents(spark, monkeypatch, wide):
+    monkeypatch.setattr(simhash, "WIDE_MASKS", wide)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     prints = {r["doc_id"]: plain_print(r["text"]) for r in docs.collect()}
     want = plain_components(prints)
