@@ -92,9 +92,12 @@ def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *,
     min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
     min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED,
+    with_lines: bool = False,
 ) -> DataFrame:
     """One row per input row: id, ``content_key``, counts, ``n_removed_words``, ``base_failed``, ``kept``.
 
+    ``with_lines`` adds the host as ``host`` and the keys of the row's frequent lines as ``gone_lines`` (null if none).
+
     A null text counts as an empty one (no words, hence base_failed); null hosts form one host; a null
     id is kept as an id; repeated rows each get a row with the same values.  Other columns are not read.
     An empty table gives no rows.
@@ -110,14 +113,16 @@ def quality_rules(
     # Repeated rows of a document have its lines several times.
     row = ["i", "h", "c"]
     copies = base.groupBy(*row).agg(F.count("*").alias("copies")).filter("copies > 1")
-    removed = lines.join(often.select("k"), "k").groupBy(*row).agg(F.sum("n").alias("removed"))
+    removed = lines.join(often.select("k"), "k").groupBy(*row).agg(
+        F.sum("n").alias("removed"), *[F.collect_set("k").alias("gone_lines")] * with_lines)
+    extra = ["gone_lines"] * with_lines
 
     def beside(left: DataFrame, right: DataFrame) -> DataFrame:
         right = right.withColumnsRenamed({x: f"r{x}" for x in row})
         same = F.col("i").eqNullSafe(F.col("ri")) & F.col("h").eqNullSafe(F.col("rh")) & (F.col("c") == F.col("rc"))
         return left.join(right, same, "left").drop("ri", "rh", "rc")
 
-    per_doc = beside(removed, copies).select(*row, (F.col("removed") / F.coalesce("copies", F.lit(1))).cast("long").alias("removed"))
+    per_doc = beside(removed, copies).select(*row, (F.col("removed") / F.coalesce("copies", F.lit(1))).cast("long").alias("removed"), *extra)
     joined = beside(base.drop("lines"), per_doc)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     removed = F.coalesce("removed", F.lit(0))
@@ -126,9 +131,15 @@ def quality_rules(
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         removed.alias("n_removed_words"), failed.alias("base_failed"),
         (~failed & (removed <= max_removed * F.col("n_words"))).alias("kept"),
+        *[F.col("h").alias("host"), F.col("gone_lines")] * with_lines,
     )
 
 
+def cut_lines(text: Column, host: Column, gone: Column) -> Column:
+    """``text`` without the lines whose keys are in ``gone``; the others keep their order and bytes."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(host, _normal(x)))), "\n")
+
+
 def without_frequent_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *,
     min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
