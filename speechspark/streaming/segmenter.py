@@ -3,8 +3,8 @@
 Two modes.  ``rolling`` re-analyses a bounded buffer (parity with the unary rules);
 ``incremental`` carries the state of the on/off machine and looks at each value once.
 State lives in the state store, keyed by stream.  It is bounded by the buffer length, plus at most
-``max_waiting`` chunks that arrived ahead of a missing one; a stream that would need more ends with an
-error event.  What stays of an ended stream is its place, so that late repeats are known; with
+``max_waiting`` chunks that are ahead of a missing one when a trigger ends; a stream that would need more
+ends with an error event.  What stays of an ended stream is its place, so that late repeats are known; with
 ``idle_ttl_s`` that expires too.
 """
 
@@ -57,9 +57,6 @@ class _OrderedChunks(StatefulProcessor):
                 values = np.zeros(0, np.float32) if x is None else np.asarray(x, dtype=np.float32)
                 if seq > next_seq:
                     n_waiting += not self.waiting.containsKey((int(seq),))
-                    if n_waiting > self.max_waiting:
-                        done = self._take(values, True, f"chunk {next_seq} is missing and {self.max_waiting} chunks wait for it", out)
-                        break
                     self.waiting.updateValue((int(seq),), (values.tobytes(), bool(eos), error))
                     continue
                 done = self._take(values, bool(eos), error, out)
@@ -70,6 +67,9 @@ class _OrderedChunks(StatefulProcessor):
                     n_waiting -= 1
                     done = self._take(np.frombuffer(data, np.float32), eos2, error2, out)
                     next_seq += 1
+        # Rows of one trigger come in any order: only what still waits behind it counts.
+        if not done and n_waiting > self.max_waiting:
+            done = self._take(np.zeros(0, np.float32), True, f"chunk {next_seq} is missing and {self.max_waiting} chunks wait for it", out)
         self.place.update((int(next_seq), bool(done), 0 if done else int(n_waiting)))
         if done:
             self.waiting.clear()
