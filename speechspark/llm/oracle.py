@@ -115,6 +115,90 @@ SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
 FROM n
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: CRC-32 byte by byte: its table is made from the polynomial 0xEDB88320 (3988292384).
+OP11 = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS tab
+  FROM (SELECT i, list_reduce([i] || range(8), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END) AS c
+        FROM (SELECT unnest(range(256)) AS i))
+), runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(0, length(x) // 2), lambda i:
+           ((instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)::BIGINT),
+         lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) AS h
+  FROM (SELECT run, n, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS x FROM runs), crc
+), cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS (
+  SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)
+), one AS (
+  SELECT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM less AS a JOIN words AS b ON a.rest = b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less AS a JOIN less AS b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+), near AS (
+  SELECT a, an, b, bn FROM one UNION SELECT b, bn, a, an FROM one
+), best AS (
+  SELECT a, any_value(an) AS an, count(*) AS n_near, first(b ORDER BY bn DESC, b) AS b, max(bn) AS bn FROM near GROUP BY a
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN bn >= 10 * n THEN b END AS form, CASE WHEN bn >= 10 * n THEN bn END AS form_n
+  FROM words LEFT JOIN best ON word = a
+), up AS (
+  SELECT word, word AS root, form AS after FROM formed
+  UNION ALL SELECT up.word, formed.word, formed.form FROM up JOIN formed ON up.after = formed.word
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM up WHERE after IS NULL) USING (word)
+"""
+
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents
+), q AS (
+  SELECT row_number() OVER () AS q, item_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark
+), totals AS (
+  SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0
+), tfs AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), totals
+), shares AS (
+  SELECT r, doc_id, term, weights.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.w) * docs) // terms))) AS s
+  FROM tfs JOIN d USING (r) JOIN weights USING (term), totals
+), scores AS (
+  SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, sum(s)::BIGINT AS score FROM q JOIN shares USING (term) GROUP BY q, r
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 50
+"""
+
+OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM grams GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM grams AS x JOIN grams AS y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY a, b)
+  JOIN sizes AS s ON s.doc_id = a JOIN sizes AS t ON t.doc_id = b WHERE 100 * shared >= 80 * (s.n + t.n - shared)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM d
+  UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
 #: Boosted trees, 64-bit hashes and seeded draws have no SQL here; op1, op2, op3, op9, op10 and the
 #: pipeline are tested against brute force, held-out accuracy or round trips in tests/llm.
-ORACLE = {"op4_quality": OP4, "op5_chat": OP5, "op6_substrings": OP6, "op7_contamination": OP7, "op8_warc": OP8}
+ORACLE = {"op4_quality": OP4, "op5_chat": OP5, "op6_substrings": OP6, "op7_contamination": OP7, "op8_warc": OP8,
+          "op11_spelling": OP11, "op12_search": OP12, "op13_jaccard": OP13}

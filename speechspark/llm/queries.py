@@ -9,9 +9,12 @@ from speechspark.llm.chat import END, MESSAGE, START, events_of_rows, fold_event
 from speechspark.llm.common import shared_folder
 from speechspark.llm.contamination import find_contamination
 from speechspark.llm.html_text import extract_text
+from speechspark.llm.jaccard_join import jaccard_components
+from speechspark.llm.lexical_search import search
 from speechspark.llm.mixing import mix_amounts
 from speechspark.llm.quality import quality_rules
 from speechspark.llm.simhash import near_duplicates
+from speechspark.llm.spelling import spelling_variants
 from speechspark.llm.substrings import remove_repeats
 from speechspark.llm.token_counts import count_tokens
 from speechspark.llm.url_filter import judge_urls
@@ -78,6 +81,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_amounts(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), drop_every=31)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` at the top of the repository."""
     import corpus_pipeline
@@ -88,5 +103,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     f.__name__: f
     for f in (op1_html_text, op2_url_filter, op3_simhash, op4_quality, op5_chat, op6_substrings, op7_contamination,
-              op8_warc, op9_token_counts, op10_mixing, pipeline)
+              op8_warc, op9_token_counts, op10_mixing, op11_spelling, op12_search, op13_jaccard, pipeline)
 }
