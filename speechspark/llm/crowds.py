@@ -40,20 +40,24 @@ def _open(members: DataFrame) -> DataFrame:
 
 def link_buckets(
     met: DataFrame, extra: list[str], may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], weight: Column,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """(``a``, ``b``), a < b: verified links that join all linked members of the buckets.
 
     ``met`` has the bucket ``k``, the member ``f`` and the columns ``extra``, each ``k`` and ``f`` once.
     ``may(x, y)`` is a cheap condition on ``x_<extra>`` and ``y_<extra>`` that linked members fulfil in one
     common bucket at least; ``verify`` keeps those of distinct pairs (``a``, ``b``) that are links; ``weight``
-    ranks members as first centres, from ``keys``, the number of a member's buckets, and ``extra``.
+    ranks members as first centres, from ``keys``, the number of a member's buckets, and ``extra``.  Members
+    that ``known`` links join already need no comparison.
     """
     side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in extra]
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     held = met.groupBy("f").agg(F.count("*").alias("keys"), *[F.first(c).alias(c) for c in extra])
-    members = stored(
-        met.select("k", "f", *extra).join(held.select("f", weight.alias("w")), "f").withColumn("root", F.col("f")), "members")
-    found: list[DataFrame] = []
+    none = met.select(F.col("f").alias("a"), F.col("f").alias("b")).limit(0)
+    roots = components(none if known is None else known)
+    members = met.select("k", "f", *extra).join(held.select("f", weight.alias("w")), "f")
+    members = stored(_open(members.join(roots.withColumnRenamed("v", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))), "members")
+    found: list[DataFrame] = [] if known is None else [known]
     for turn in range(ROUNDS + 1):
         left, n = _pairs_left(members)
         if not left:
@@ -79,4 +83,4 @@ def link_buckets(
         roots = components(reduce(DataFrame.unionByName, found)).withColumnRenamed("v", "f")
         rest = members.drop("root").join(x.select("k", F.col("x").alias("f")), ["k", "f"], "left_anti")
         members = stored(_open(rest.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))), "members")
-    return reduce(DataFrame.unionByName, found).distinct() if found else met.select(F.col("f").alias("a"), F.col("f").alias("b")).limit(0)
+    return reduce(DataFrame.unionByName, found).distinct() if found else none

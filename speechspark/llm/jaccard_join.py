@@ -14,11 +14,12 @@ entries of the lists and the pairs that these make, measured on all texts of one
 ``SAMPLE``.  The sample also gives the tokens that come last in the order.  It decides cost alone: any
 boundary and any order give the same links.
 
-A key of one set is nothing; the members of the others are linked by ``crowds`` (buckets by key and size
-band).  Where linked sets first meet in the order, both still have as many tokens ahead as they must share,
-which rules most other pairs out: frequent tokens come last, so an edited copy has its own tokens first.
-So a crowd of like texts costs comparisons in proportion to its size.  Every link is verified on whole
-sets.  Equal sets are one vertex, told apart by 128 bits.
+A key of one set is nothing.  The sets of a key with up to ``FEW`` are paired; a pair stays if it meets in
+enough of its first tokens for the limit.  The sets of more frequent keys are linked by ``crowds`` (buckets
+by key and size band).  Where linked sets first meet in the order, both still have as many tokens ahead as
+they must share, which rules most other pairs out: frequent tokens come last, so an edited copy has its own
+tokens first.  So a crowd of like texts costs comparisons in proportion to its size.  Every link is verified
+on whole sets.  Equal sets are one vertex, told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SEED = 42
 SAMPLE = 16
 #: Sightings in the sample that make a token frequent; frequent tokens at most (a broadcast of 1 MB).
 OFTEN, FREQUENT = 6, 1 << 17
+#: Sets of a key that are paired directly.
+FEW = 8
 #: Set sizes between which the boundary is chosen, and what a pair costs against a key.
 STEPS = (0, 8, 12, 18, 27, 40, 60, 90, 135)
 PAIR_COST = 2
@@ -100,14 +103,24 @@ def keys_of(tokens, boundary: int, percent: int):
     return np.concatenate(keys)
 
 
+def _needed(n: Column, percent: int) -> Column:
+    """Tokens of a set of ``n`` that a partner at the limit has as well."""
+    return F.ceil(n * percent / 100)
+
+
+def _listed(boundary: int, percent: int) -> Column:
+    """Keys of a set of ``n`` that are list tokens, its first ones."""
+    n = F.col("n")
+    return F.when(n * 100 >= (boundary + 1) * percent, n - _needed(n, percent) + 1).otherwise(0)
+
+
 def _ahead(boundary: int, percent: int) -> Column:
     """Tokens that a set of ``n`` can share with one that it first meets in its key number ``at``.
 
     A token: those from it on.  A pair of tokens: those from the later one on, and the earlier one.
     """
     n = F.col("n")
-    listed = F.when(n * 100 >= (boundary + 1) * percent, n - F.ceil(n * percent / 100) + 1).otherwise(0)
-    s = F.col("at") - listed
+    s = F.col("at") - _listed(boundary, percent)
     later = F.floor((F.sqrt(1 + 8 * s) + 1) / 2)
     return F.when(s < 0, n - F.col("at")).otherwise(n - later + 1).cast("int")
 
@@ -202,18 +215,40 @@ def _distinct_sets(rows: DataFrame) -> DataFrame:
         "v", F.when(F.col("kept") != F.col("g"), F.xxhash64("f", "g")).otherwise(F.col("f"))).drop("kept")
 
 
+def _paired(met: DataFrame, may, percent: int) -> DataFrame:
+    """(``a``, ``b``): pairs that share a key of few sets and may reach the limit.
+
+    All common tokens among the first ones are counted (at most those in frequent keys are added).  Beyond
+    the end of the shorter of both beginnings, a pair shares no more than what is left of that set.
+    """
+    few = met.filter(F.col("c") <= FEW)
+    side = lambda p, q: few.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("n", "ahead", "token")], F.col("f").alias(q))
+    pairs = side("x", "a").join(side("y", "b"), "key").filter("a < b").groupBy("a", "b").agg(
+        F.max("x_n").alias("x_n"), F.max("y_n").alias("y_n"), F.count_if(F.col("x_token") & F.col("y_token")).alias("both"),
+        F.max(may("x", "y") & ~(F.col("x_token") & F.col("y_token"))).alias("subset"), F.max(may("x", "y")).alias("may")).filter("may")
+    more = met.filter((F.col("c") > FEW) & F.col("token")).groupBy("f").agg(F.count("*").alias("more"))
+    pairs = pairs.join(more.select(F.col("f").alias("a"), F.col("more").alias("ma")), "a", "left").join(
+        more.select(F.col("f").alias("b"), F.col("more").alias("mb")), "b", "left")
+    both = F.col("both") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+    left = F.greatest(_needed(F.col("x_n"), percent), _needed(F.col("y_n"), percent)) - 1
+    return pairs.filter(F.col("subset") | ((both + left) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent)).select("a", "b")
+
+
 def jaccard_links(sets: DataFrame, texts: DataFrame, boundary: int, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(``a``, ``b``), a < b: verified links between vertices that join all which reach the limit."""
     keyed = sets.select(F.col("v").alias("f"), F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("at", "key"))
-    often = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    band = keyed.join(often, "key").withColumn("band", F.explode(F.array(_band(F.col("n"), percent), _band(F.col("n"), percent) + 1)))
-    band = stored(band.select(F.xxhash64("key", "band").alias("k"), "f", "n", _ahead(boundary, percent).alias("ahead")), "banded")
-    crowds = band.groupBy("k").agg(F.count("*").alias("c"), F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo <> hi").select("k")
-    met = stored(band.join(crowds, "k", "left_semi").groupBy("k", "f", "n").agg(F.max("ahead").alias("ahead")), "met")
-    wanted = met.select(F.col("f").alias("v")).distinct()
+    often = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    met = stored(keyed.join(often, "key").select(
+        "key", "c", "f", "n", _ahead(boundary, percent).alias("ahead"), (F.col("at") < _listed(boundary, percent)).alias("token")), "met")
+    may = lambda x, y: F.least(f"{x}_ahead", f"{y}_ahead") * (100 + percent) >= (F.col(f"{x}_n") + F.col(f"{y}_n")) * percent
+    pairs = stored(_paired(met, may, percent), "pairs")
+    band = met.filter(F.col("c") > FEW).withColumn("band", F.explode(F.array(_band(F.col("n"), percent), _band(F.col("n"), percent) + 1)))
+    band = stored(band.select(F.xxhash64("key", "band").alias("k"), "f", "n", "ahead"), "banded")
+    mixed = band.groupBy("k").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo <> hi").select("k")
+    crowded = stored(band.join(mixed, "k", "left_semi").groupBy("k", "f", "n").agg(F.max("ahead").alias("ahead")), "crowded")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).unionByName(crowded.select(F.col("f").alias("v"))).distinct()
     owner = sets.select("v", "c").join(wanted, "v", "left_semi")
-    again = texts.select("c", "t").join(owner, "c").dropDuplicates(["v"])
-    whole = stored(_sets(again, shingle, at="v"), "whole")
+    whole = stored(_sets(texts.select("c", "t").join(owner, "c").dropDuplicates(["v"]), shingle, at="v"), "whole")
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = whole.select(F.col("v").alias("a"), F.col("tokens").alias("ta"))
@@ -221,8 +256,8 @@ def jaccard_links(sets: DataFrame, texts: DataFrame, boundary: int, percent: int
         both = F.size(F.array_intersect("ta", "tb"))
         return pairs.join(one, "a").join(two, "b").filter(both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select("a", "b")
 
-    may = lambda x, y: F.least(f"{x}_ahead", f"{y}_ahead") * (100 + percent) >= (F.col(f"{x}_n") + F.col(f"{y}_n")) * percent
-    return link_buckets(met, ["n", "ahead"], may, verify, F.col("keys") / F.col("n"))
+    few = stored(verify(pairs), "links")
+    return link_buckets(crowded, ["n", "ahead"], may, verify, F.col("keys") / F.col("n"), few)
 
 
 def jaccard_components(

@@ -217,8 +217,8 @@ def test_join_of_a_crowd_takes_few_comparisons(spark, monkeypatch):
     seen = []
     plain = crowds.link_buckets
 
-    def counting(met, extra, may, verify, weight):
-        return plain(met, extra, may, lambda pairs: (seen.append(pairs.count()), verify(pairs))[1], weight)
+    def counting(met, extra, may, verify, *rest):
+        return plain(met, extra, may, lambda pairs: (seen.append(pairs.count()), verify(pairs))[1], *rest)
 
     monkeypatch.setattr("speechspark.llm.jaccard_join.link_buckets", counting)
     rows = list(enumerate(texts))
