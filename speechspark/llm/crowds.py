@@ -2,9 +2,8 @@
 
 A bucket's members are candidates of each other.  Each round takes one member of every bucket that still
 joins several components, compares all others with it and takes it out: its pairs in that bucket are done.
-The first is the member with the largest share of its keys in buckets (the centre of a crowd of copies),
-later ones come from the smallest component of the bucket, so that stragglers are settled one by one.
-As soon as the pairs that are left between components are few for the number of members, they are
+The first is the member of the largest weight (meant for the centre of a crowd of copies), later ones
+come from the smallest component of the bucket, so that stragglers are settled one by one.  As soon as the pairs that are left between components are few for the number of members, they are
 compared as pairs.  Work per round is linear in the members; a bucket whose members are all unlike costs
 one round per member up to ``ROUNDS``, and the rest of its pairs after that.
 """
@@ -22,7 +21,7 @@ from speechspark.llm.simhash import components
 
 #: Star rounds at most; pairs per member that may be left for the last step.
 ROUNDS = 10
-FEW = 4
+FEW = 32
 
 
 def _pairs_left(members: DataFrame) -> tuple[int, int]:
@@ -47,15 +46,15 @@ def link_buckets(
     ``met`` has the bucket ``k``, the member ``f`` and the columns ``extra``, each ``k`` and ``f`` once.
     ``may(x, y)`` is a cheap condition on ``x_<extra>`` and ``y_<extra>`` that linked members fulfil in one
     common bucket at least; ``verify`` keeps those of distinct pairs (``a``, ``b``) that are links; ``weight``
-    ranks members as first centres, from ``keys``, the number of a member's buckets, and ``extra``.  Members
+    ranks a bucket's members as centres, from ``extra`` and ``keys``, the number of a member's buckets.  Members
     that ``known`` links join already need no comparison.
     """
     side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in extra]
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    held = met.groupBy("f").agg(F.count("*").alias("keys"), *[F.first(c).alias(c) for c in extra])
+    held = met.groupBy("f").agg(F.count("*").alias("keys"))
     none = met.select(F.col("f").alias("a"), F.col("f").alias("b")).limit(0)
     roots = components(none if known is None else known)
-    members = met.select("k", "f", *extra).join(held.select("f", weight.alias("w")), "f")
+    members = met.select("k", "f", *extra).join(held, "f").withColumn("w", weight).drop("keys")
     members = stored(_open(members.join(roots.withColumnRenamed("v", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))), "members")
     found: list[DataFrame] = [] if known is None else [known]
     for turn in range(ROUNDS + 1):

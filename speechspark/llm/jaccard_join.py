@@ -40,9 +40,11 @@ SEED = 42
 #: One content hash in so many is read ahead for the order and the boundary.
 SAMPLE = 16
 #: Sightings in the sample that make a token frequent; frequent tokens at most (a broadcast of 1 MB).
-OFTEN, FREQUENT = 6, 1 << 17
+OFTEN, FREQUENT = 4, 1 << 17
 #: Sets of a key that are paired directly.
-FEW = 8
+FEW = 64
+#: Rows of a table of longs that are broadcast at most (16 MB); larger ones are joined by a shuffle.
+BROADCAST = 1 << 20
 #: Set sizes between which the boundary is chosen, and what a pair costs against a key.
 STEPS = (0, 8, 12, 18, 27, 40, 60, 90, 135)
 PAIR_COST = 2
@@ -206,13 +208,23 @@ def keyed_sets(texts: DataFrame, frequent, boundary: int, percent: int, shingle:
     return texts.select("i", "c", "t").mapInArrow(run, f"i {kind}, c long, f long, g long, n long, keys array<long>")
 
 
-def _distinct_sets(rows: DataFrame) -> DataFrame:
-    """One row per set that is not empty, with vertex ``v``: its first hash, or both where two sets share it."""
-    sets = rows.filter("n > 0").groupBy("f", "g").agg(F.min("c").alias("c"), F.min("i").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    sets = stored(sets, "distinct")
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """(``f``, ``g``, ``c``, ``least``, ``v``) of each set that is not empty.
+
+    The vertex ``v`` is the first hash of the set, or a hash of both where two sets share the first.
+    """
+    sets = rows.filter("n > 0").groupBy("f", "g").agg(F.min("c").alias("c"), F.min("i").alias("least"))
     shared = stored(sets.groupBy("f").agg(F.count("*").alias("sets"), F.min("g").alias("kept")).filter("sets > 1").select("f", "kept"), "shared")
-    return sets.join(shared, "f", "left").withColumn(
-        "v", F.when(F.col("kept") != F.col("g"), F.xxhash64("f", "g")).otherwise(F.col("f"))).drop("kept")
+    return sets.join(shared, "f", "left").select("f", "g", "c", "least", _vertex().alias("v"))
+
+
+def _vertex() -> Column:
+    return F.when(F.col("kept") != F.col("g"), F.xxhash64("f", "g")).otherwise(F.col("f"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table, marked for a broadcast if its checked size allows one."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def _paired(met: DataFrame, may, percent: int) -> DataFrame:
@@ -223,7 +235,8 @@ def _paired(met: DataFrame, may, percent: int) -> DataFrame:
     """
     few = met.filter(F.col("c") <= FEW)
     side = lambda p, q: few.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("n", "ahead", "token")], F.col("f").alias(q))
-    pairs = side("x", "a").join(side("y", "b"), "key").filter("a < b").groupBy("a", "b").agg(
+    size = (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
+    pairs = side("x", "a").join(side("y", "b"), "key").filter((F.col("a") < F.col("b")) & size).groupBy("a", "b").agg(
         F.max("x_n").alias("x_n"), F.max("y_n").alias("y_n"), F.count_if(F.col("x_token") & F.col("y_token")).alias("both"),
         F.max(may("x", "y") & ~(F.col("x_token") & F.col("y_token"))).alias("subset"), F.max(may("x", "y")).alias("may")).filter("may")
     more = met.filter((F.col("c") > FEW) & F.col("token")).groupBy("f").agg(F.count("*").alias("more"))
@@ -234,30 +247,44 @@ def _paired(met: DataFrame, may, percent: int) -> DataFrame:
     return pairs.filter(F.col("subset") | ((both + left) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent)).select("a", "b")
 
 
-def jaccard_links(sets: DataFrame, texts: DataFrame, boundary: int, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+def jaccard_links(
+    rows: DataFrame, sets: DataFrame, texts: DataFrame, boundary: int, percent: int = PERCENT, shingle: int = SHINGLE,
+) -> DataFrame:
     """(``a``, ``b``), a < b: verified links between vertices that join all which reach the limit."""
-    keyed = sets.select(F.col("v").alias("f"), F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("at", "key"))
-    often = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    met = stored(keyed.join(often, "key").select(
-        "key", "c", "f", "n", _ahead(boundary, percent).alias("ahead"), (F.col("at") < _listed(boundary, percent)).alias("token")), "met")
+    twins = stored(sets.filter("v <> f").select("f", "g", "v"), "twins")  # sets that share a hash: hardly any
+    keyed = rows.join(twins, ["f", "g"], "left").select(
+        F.coalesce("v", "f").alias("f"), F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("at", "key"))
+    often = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    met = keyed.join(often, "key").groupBy("key", "f", "n").agg(F.min("at").alias("at")).select(
+        "key", "f", "n", _ahead(boundary, percent).alias("ahead"), (F.col("at") < _listed(boundary, percent)).alias("token"))
+    met = stored(met, "met")
+    counts = met.groupBy("key").agg(F.count("*").cast("int").alias("c")).filter("c > 1")
+    met = stored(met.join(counts, "key"), "counted")
     may = lambda x, y: F.least(f"{x}_ahead", f"{y}_ahead") * (100 + percent) >= (F.col(f"{x}_n") + F.col(f"{y}_n")) * percent
     pairs = stored(_paired(met, may, percent), "pairs")
     band = met.filter(F.col("c") > FEW).withColumn("band", F.explode(F.array(_band(F.col("n"), percent), _band(F.col("n"), percent) + 1)))
     band = stored(band.select(F.xxhash64("key", "band").alias("k"), "f", "n", "ahead"), "banded")
-    mixed = band.groupBy("k").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo <> hi").select("k")
-    crowded = stored(band.join(mixed, "k", "left_semi").groupBy("k", "f", "n").agg(F.max("ahead").alias("ahead")), "crowded")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).unionByName(crowded.select(F.col("f").alias("v"))).distinct()
-    owner = sets.select("v", "c").join(wanted, "v", "left_semi")
-    whole = stored(_sets(texts.select("c", "t").join(owner, "c").dropDuplicates(["v"]), shingle, at="v"), "whole")
+    mixed = band.groupBy("k").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.min("n").alias("least")).filter("lo <> hi")
+    # Members with too few tokens ahead for the smallest set of their bucket meet nobody there.
+    alive = band.join(mixed.select("k", "least"), "k").filter(F.col("ahead") * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
+    crowded = stored(alive.groupBy("k", "f", "n").agg(F.max("ahead").alias("ahead")), "crowded")
+
+    def whole_sets(wanted: DataFrame) -> DataFrame:
+        owner = stored(sets.select("v", "c").join(wanted.distinct(), "v", "left_semi"), "owners")
+        again = texts.select("c", "t").join(_small(owner), "c").dropDuplicates(["v"])
+        return stored(_sets(again, shingle, at="v"), "whole")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
         one = whole.select(F.col("v").alias("a"), F.col("tokens").alias("ta"))
         two = whole.select(F.col("v").alias("b"), F.col("tokens").alias("tb"))
         both = F.size(F.array_intersect("ta", "tb"))
-        return pairs.join(one, "a").join(two, "b").filter(both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select("a", "b")
+        return one.join(_small(stored(pairs, "pairs")), "a").join(two, "b").filter(both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select("a", "b")
 
-    few = stored(verify(pairs), "links")
-    return link_buckets(crowded, ["n", "ahead"], may, verify, F.col("keys") / F.col("n"), few)
+    few = stored(verified(pairs, whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("v")))), "links")
+    if crowded.isEmpty():
+        return few
+    held = whole_sets(crowded.select(F.col("f").alias("v")))
+    return link_buckets(crowded, ["n", "ahead"], may, lambda pairs: verified(pairs, held), F.col("ahead") / F.col("n"), few)
 
 
 def jaccard_components(
@@ -277,8 +304,8 @@ def jaccard_components(
     frequent, best = plan(texts, percent, shingle)
     boundary = best if boundary is None else boundary
     rows = stored(keyed_sets(texts, frequent, boundary, percent, shingle), "keyed")
-    sets = _distinct_sets(rows)
-    roots = components(jaccard_links(sets, texts, boundary, percent, shingle))
+    sets = stored(distinct_sets(rows), "sets")
+    roots = components(jaccard_links(rows, sets, texts, boundary, percent, shingle))
     placed = sets.select("f", "g", "v", "least").join(roots, "v", "left").select("f", "g", "least", F.coalesce("root", "v").alias("root"))
     of_root = placed.groupBy("root").agg(F.min("least").alias("component"))
     component = placed.join(of_root, "root").select("f", "g", "component")
