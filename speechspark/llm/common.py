@@ -26,6 +26,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table of a few longs that are broadcast at most (some 16 MB); larger ones are joined by a shuffle.
+BROADCAST = 1 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of a few longs a row, marked for a broadcast if its checked size allows one."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint; the folder is the session's, or our own where none is set."""
     sc = df.sparkSession.sparkContext

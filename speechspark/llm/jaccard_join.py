@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechspark.llm.common import content_key, stored
+from speechspark.llm.common import content_key, small, stored
 from speechspark.llm.crowds import link_buckets
 from speechspark.llm.simhash import components
 
@@ -43,8 +43,6 @@ SAMPLE = 16
 OFTEN, FREQUENT = 4, 1 << 17
 #: Sets of a key that are paired directly.
 FEW = 64
-#: Rows of a table of longs that are broadcast at most (16 MB); larger ones are joined by a shuffle.
-BROADCAST = 1 << 20
 #: Set sizes between which the boundary is chosen, and what a pair costs against a key.
 STEPS = (0, 8, 12, 18, 27, 40, 60, 90, 135)
 PAIR_COST = 2
@@ -222,11 +220,6 @@ def _vertex() -> Column:
     return F.when(F.col("kept") != F.col("g"), F.xxhash64("f", "g")).otherwise(F.col("f"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A stored table, marked for a broadcast if its checked size allows one."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
-
-
 def _paired(met: DataFrame, may, percent: int) -> DataFrame:
     """(``a``, ``b``): pairs that share a key of few sets and may reach the limit.
 
@@ -271,14 +264,14 @@ def jaccard_links(
 
     def whole_sets(wanted: DataFrame) -> DataFrame:
         owner = stored(sets.select("v", "c").join(wanted.distinct(), "v", "left_semi"), "owners")
-        again = texts.select("c", "t").join(_small(owner), "c").dropDuplicates(["v"])
+        again = texts.select("c", "t").join(small(owner), "c").dropDuplicates(["v"])
         return stored(_sets(again, shingle, at="v"), "whole")
 
     def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
         one = whole.select(F.col("v").alias("a"), F.col("tokens").alias("ta"))
         two = whole.select(F.col("v").alias("b"), F.col("tokens").alias("tb"))
         both = F.size(F.array_intersect("ta", "tb"))
-        return one.join(_small(stored(pairs, "pairs")), "a").join(two, "b").filter(both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select("a", "b")
+        return one.join(small(stored(pairs, "pairs")), "a").join(two, "b").filter(both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select("a", "b")
 
     few = stored(verified(pairs, whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("v")))), "links")
     if crowded.isEmpty():
