@@ -252,6 +252,14 @@ def segment_models(
     models = {n: resolve(v) for n, v in (models.items() if isinstance(models, Mapping) else ((n, n) for n in models))}
     scores = {n: p if isinstance(p, str) else p[n] for n in models}
 
+    return segments_of_switches(block_switches(df, models, scores, keys, order, block), models, keys, block, fan)
+
+
+def segments_of_switches(
+    bt: DataFrame, models: Mapping[str, SegmentParams], keys: Sequence[str] = KEYS, block: int = BLOCK, fan: int = FAN,
+) -> DataFrame:
+    """Segments from the switches of consecutive blocks, the result of ``block_switches``."""
+
     def setting(field):
         out = F
         for name, params in models.items():
@@ -259,7 +267,6 @@ def segment_models(
         return out
 
     unit = [*keys, "model"]
-    bt = block_switches(df, models, scores, keys, order, block)
     first_off = F.filter("items", lambda x: x["ev"] == 0)
     bt = bt.withColumns(
         {
@@ -312,7 +319,8 @@ def _clamp_to_previous(segs: DataFrame, backfill: int, keys: Sequence[str], bloc
     size = max(block, 4 * backfill)
     own = F.expr(f"start_frame div {size}")
     reached = F.sequence(F.expr(f"greatest(end_frame - {backfill}, 0) div {size}"), F.expr(f"(end_frame + {backfill}) div {size}"))
-    w = halo_window(keys, "start_frame")
+    # Several back-filled starts may be the clip's first frame.
+    w = Window.partitionBy(*keys, "_blk").orderBy("start_frame", "end_frame")
     both = segs.withColumn("_own_blk", own).withColumn("_blk", F.explode(F.array_union(F.array(own), reached)))
     return (
         both.withColumn("_was_end", F.lag("end_frame").over(w))

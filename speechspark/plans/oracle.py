@@ -138,6 +138,10 @@ ORACLE["seg_marblenet"] = seg_out(segs(FX1, **P_B), 20)
 ORACLE["seg_firered"] = seg_out(segs(FX1, **P_C), 10)
 ORACLE["backfill"] = seg_out(segs(FX1, **{**P_C, "backfill": 30}), 10)
 ORACLE["seg_fsmn"] = seg_out(segs(f"select clip_id, frame_idx, 1 - p as p from ({FX1_LONG}) z", **P_D), 10)
+ORACLE["seg_packed"] = " union all ".join(
+    f"select clip_id, '{name}' as model, start_frame, end_frame, start_s, end_s from ({ORACLE[f'seg_{name}']}) z"
+    for name in ("silero", "marblenet", "firered"))
+ORACLE["seg_packed_vote"] = ORACLE["seg_fsmn"]
 ORACLE["seg_custom"] = seg_out(segs(FX1, **P_X), 10)
 # Chunks of ten frames; a decision is told at the end of the chunk that holds the deciding frame.
 ORACLE["stream_incremental"] = f"""with {segs(FX1, **P_C)},

@@ -16,7 +16,7 @@ from speechspark.functions import numeric as num
 from speechspark.operators import diagnostics as diag
 from speechspark.operators import detect as detection
 from speechspark.operators import features as feat
-from speechspark.operators import normalize, pcm, powerset, presets, scoring, segments
+from speechspark.operators import normalize, packed, pcm, powerset, presets, scoring, segments
 from speechspark.operators import segmenting as seg
 from speechspark.plans import fixtures as fx
 from speechspark.sources import pcm as src
@@ -38,6 +38,7 @@ EXPECTED_TOTALS = [("silero", 100.0, 200.0, 50), ("marblenet", 150.0, 300.0, 10)
 # Frame blocks, groups of blocks and PCM blocks far below a clip's length, so that halos, carried state
 # and context take part in the results that are compared.
 EDGES = {"block": 200, "fan": 3}
+PACKED = {"block": 220, "fan": 3}
 PIECE = 480
 NEMO_MID = -4.08
 
@@ -577,6 +578,21 @@ def seg_custom(spark, d):
     return _seg_rows(seg.segment_frames(fx.frame_scores(spark, d), CUSTOM, **EDGES))
 
 
+@query
+def seg_packed(spark, d):
+    """Four decision rules over one array of scores per block, in one pass without an exchange of frames."""
+    blocks = packed.pack_frames(fx.frame_scores(spark, d), block=PACKED["block"])
+    return packed.segment_packed(blocks, ["silero", "marblenet", "firered"], **PACKED).select(
+        "clip_id", "model", "start_frame", "end_frame", r5("start_s").alias("start_s"), r5("end_s").alias("end_s"))
+
+
+@query
+def seg_packed_vote(spark, d):
+    silence = fx.long_wave_scores(spark, d).withColumn("p", 1 - F.col("p"))
+    blocks = packed.pack_frames(silence, block=PACKED["block"])
+    return _seg_rows(packed.segment_packed(blocks, {"fsmn": seg.resolve("fsmn", on=0.4)}, **PACKED).drop("model"))
+
+
 # --- powerset -----------------------------------------------------------------------
 
 FPW = fx.FRAMES_PER_WINDOW
