@@ -4,7 +4,8 @@ Two modes.  ``rolling`` re-analyses a bounded buffer (parity with the unary rule
 ``incremental`` carries the state of the on/off machine and looks at each value once.
 State lives in the state store, keyed by stream.  It is bounded by the buffer length, plus at most
 ``max_waiting`` chunks that are ahead of a missing one when a trigger ends; a stream that would need more
-ends with an error event.  What stays of an ended stream is its place, so that late repeats are known; with
+ends with an error event.  With None any number waits in the store, and the result is whole however late the
+missing chunk is.  What stays of an ended stream is its place, so that late repeats are known; with
 ``idle_ttl_s`` that expires too.
 """
 
@@ -32,7 +33,7 @@ class _OrderedChunks(StatefulProcessor):
     repeat and is dropped.  After the end of a stream, or an invalid chunk, the rest is ignored.
     """
 
-    max_waiting = 4_096
+    max_waiting: int | None = 4_096
     ttl_ms: int | None = None  # forget a stream that has been idle this long; nothing is emitted
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -68,7 +69,7 @@ class _OrderedChunks(StatefulProcessor):
                     done = self._take(np.frombuffer(data, np.float32), eos2, error2, out)
                     next_seq += 1
         # Rows of one trigger come in any order: only what still waits behind it counts.
-        if not done and n_waiting > self.max_waiting:
+        if not done and self.max_waiting is not None and n_waiting > self.max_waiting:
             done = self._take(np.zeros(0, np.float32), True, f"chunk {next_seq} is missing and {self.max_waiting} chunks wait for it", out)
         self.place.update((int(next_seq), bool(done), 0 if done else int(n_waiting)))
         if done:
@@ -260,7 +261,7 @@ class IncrementalSegmenter(_OrderedChunks):
         live[0], live[1] = x[-keep:] if keep < len(x) else x, seen
 
 
-def _run(chunks: DataFrame, processor: _OrderedChunks, idle_ttl_s: float | None, max_waiting: int) -> DataFrame:
+def _run(chunks: DataFrame, processor: _OrderedChunks, idle_ttl_s: float | None, max_waiting: int | None) -> DataFrame:
     processor.max_waiting = max_waiting
     if idle_ttl_s is not None:
         processor.ttl_ms = int(idle_ttl_s * 1000)
@@ -279,16 +280,16 @@ def _run(chunks: DataFrame, processor: _OrderedChunks, idle_ttl_s: float | None,
 
 
 def segment_stream(chunks: DataFrame, analyser: Analyser, params: StreamParams = StreamParams(),
-                   idle_ttl_s: float | None = None, max_waiting: int = 4_096) -> DataFrame:
+                   idle_ttl_s: float | None = None, max_waiting: int | None = 4_096) -> DataFrame:
     """Rolling-buffer events of every stream.
 
     Only the end-of-stream flag finalises a stream.  ``idle_ttl_s`` drops the state of streams
-    that stopped without it.
+    that stopped without it.  ``max_waiting=None`` lets any number of chunks wait for a missing one.
     """
     return _run(chunks, RollingSegmenter(analyser, params), idle_ttl_s, max_waiting)
 
 
 def segment_stream_incremental(chunks: DataFrame, preset: str | SegmentParams, idle_ttl_s: float | None = None,
-                               max_waiting: int = 4_096) -> DataFrame:
+                               max_waiting: int | None = 4_096) -> DataFrame:
     """Events from frame scores without re-analysis."""
     return _run(chunks, IncrementalSegmenter(preset), idle_ttl_s, max_waiting)

@@ -178,3 +178,11 @@ def test_a_missing_chunk_ends_a_stream_that_waits_too_long(spark):
     assert out.filter("stream_id = 'whole' and event_type = 'segment'").count() == 1
     patient = segment_stream_incremental(chunks, "firered").filter("event_type = 'error'")
     assert patient.count() == 0
+
+
+def test_without_a_bound_any_number_of_chunks_waits(spark):
+    rows = [(s, k, [0.9], 16_000, k == 4_200) for s in ("whole", "late") for k in range(4_201) if not (s == "late" and k == 0)]
+    chunks = spark.createDataFrame(rows, "stream_id string, seq bigint, samples array<float>, sample_rate int, end_of_stream boolean")
+    errors = lambda bound: segment_stream_incremental(chunks, "firered", max_waiting=bound).filter("event_type = 'error'").collect()
+    assert [r["stream_id"] for r in errors(4_096)] == ["late"]
+    assert errors(None) == []
