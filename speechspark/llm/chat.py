@@ -165,8 +165,8 @@ def read_back(pieces: DataFrame) -> DataFrame:
 def events_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Event log of a table of finished turns: a learned turn arrives as an opening and one delta.
 
-    Every row is a message of its own, repeated rows too (``MESSAGE``: a key of its content and a running
-    number); rows with one turn number follow each other by role and text.  Numbering and folding share
+    Every row is a message of its own, repeated rows too (``MESSAGE``: role, beginning of the text and turn,
+    and a number in the order of the whole texts); rows with one turn number follow each other by role and text.  Numbering and folding share
     one exchange of the texts.
     """
     from pyspark.sql.window import Window
@@ -174,9 +174,9 @@ def events_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     base = rows.select(
         F.col(conv).alias("conv"), F.col(turn).cast("long").alias("seq"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    key = F.struct("role", F.substring("text", 1, 64).alias("head"), F.sha2("text", 256).alias("sha"), "seq")
+    key = F.struct("role", F.substring("text", 1, 64).alias("head"), "seq")
     base = base.withColumn("content", key)
-    base = base.withColumn("copy", F.row_number().over(Window.partitionBy("conv", "content").orderBy("role")))
+    base = base.withColumn("copy", F.row_number().over(Window.partitionBy("conv", "content").orderBy("text")))
     opening = F.struct(F.lit("message").alias("kind"), F.lit("").alias("text"))
     delta = F.struct(F.lit("delta").alias("kind"), F.col("text").alias("text"))
     whole = F.struct(F.lit("message").alias("kind"), F.col("text").alias("text"))
