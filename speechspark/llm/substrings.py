@@ -8,12 +8,14 @@ block wherever it stands, so two equal runs meet: the block of one is a rolling
 Only sorted, de-duplicated hashes travel: one packed list per batch and bucket, in which a hash that
 fills a batch counts once, with a bit for "is a block here" and one for "more than once here".  Buckets
 send back a bitmap of the hits.  Hits are extended to all runs of ``window`` words through them; these
-runs are compared over the whole corpus the same way with 64-bit hashes, and the union of the equal
-ones is the maximal repeats.  No pair of occurrences is ever listed.
+runs are compared over the whole corpus the same way, and the union of the equal ones is the maximal
+repeats.  Equal means equal in 96 bits: a rolling 64-bit hash and 32 bits of a chain that is computed
+apart from it, from other hashes of the words.  No pair of occurrences is ever listed.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,24 +33,23 @@ LIST_BYTES = 600
 #: Bits of an anchor's hash that are compared; false hits only cost a comparison later.
 ANCHOR_BITS = 46
 _PIECE = 1 << 20
-_SPACE = (9, 10, 11, 12, 13, 32)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Distinct words whose digests a task remembers at a time.
+_KNOWN = 1 << 16
 
 
 @lru_cache(maxsize=1)
 def _tables():
-    """Random values of bytes, and the powers of an odd base and of its inverse, modulo 2^64."""
+    """The powers of an odd base and of its inverse, modulo 2^64."""
     import numpy as np
 
-    values = np.random.default_rng(20_240_601).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     base = 0x9E3779B97F4A7C15
     powers = []
     for b in (base, pow(base, -1, 1 << 64)):
         p = np.full(_PIECE + 1, b, dtype=np.uint64)
         p[0] = 1
         powers.append(np.multiply.accumulate(p))
-    space = np.zeros(256, dtype=bool)
-    space[list(_SPACE)] = True
-    return values, *powers, space
+    return powers
 
 
 def _mix(x):
@@ -60,43 +61,42 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes):
-    """64-bit hashes of the words of a text, in order; long texts go in pieces cut at white space."""
+class _Digests(dict):
+    """128-bit digests of words; frequent words are looked up instead of hashed again."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        import xxhash
+
+        if len(self) >= _KNOWN:
+            self.clear()
+        self[word] = found = xxhash.xxh3_128_digest(word)
+        return found
+
+
+def word_digests(data: bytes, known: dict | None = None):
+    """Two independent 64-bit hashes of each word of a text, in order; long texts go in pieces cut at white space."""
     import numpy as np
 
-    values, power, inverse, space = _tables()
-    raw, out, at = np.frombuffer(data, dtype=np.uint8), [], 0
-    while at < len(raw):
-        end = min(at + _PIECE, len(raw))
-        if end < len(raw):
-            gaps = np.flatnonzero(space[raw[at:end]])
-            if not len(gaps):  # one word longer than a piece
-                rest = np.flatnonzero(space[raw[end:]])
-                end = end + int(rest[0]) if len(rest) else len(raw)
-                total = 0
-                for k in range(at, end, _PIECE):
-                    part = values[raw[k:min(k + _PIECE, end)]] * power[:min(_PIECE, end - k)]
-                    total = (total * 0xD6E8FEB86659FD93 + int(part.sum(dtype=np.uint64))) % (1 << 64)
-                out.append(np.array([total], dtype=np.uint64))
-                at = end
-                continue
-            end = at + int(gaps[-1]) + 1
-        piece = raw[at:end]
-        gap = space[piece]
-        edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
-        start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
-        np.cumsum(values[piece] * power[:len(piece)], out=sums[1:])
-        out.append((sums[stop] - sums[start]) * inverse[start])
-        at = end
-    return _mix(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
+    digest, out, at = (_Digests() if known is None else known).__getitem__, [], 0
+    while at < len(data):
+        gap = _SPACE.search(data, min(at + _PIECE, len(data)))
+        end = gap.start() if gap else len(data)
+        out.append(np.frombuffer(b"".join(map(digest, data[at:end].split())), dtype="<u8").reshape(-1, 2))
+        at = end + 1
+    both = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.uint64)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def word_hashes(data: bytes):
+    """The first hash of each word."""
+    return word_digests(data)[0]
 
 
 def window_hashes(words, size: int):
     """Hashes of all runs of ``size`` words of one sequence."""
     import numpy as np
 
-    _, power, inverse, _ = _tables()
+    power, inverse = _tables()
     n, out, step = len(words) - size + 1, [], _PIECE - size
     for at in range(0, max(n, 0), step):
         part = words[at:min(at + step, n) + size - 1]
@@ -106,6 +106,24 @@ def window_hashes(words, size: int):
     return _mix(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
 
+def run_checks(words, start, size: int):
+    """32 more bits of the runs of ``size`` words that begin at ``start``: a chain through every word.
+
+    It shares nothing with ``window_hashes``: neither the words' hashes nor the sum of products, whose low bits
+    agree for some sequences of few words in regular order.
+    """
+    import numpy as np
+
+    out = np.zeros(len(start), dtype=np.uint32)
+    for at in range(0, len(start), _PIECE):
+        first = start[at:at + _PIECE]
+        chain = np.zeros(len(first), dtype=np.uint64)
+        for k in range(size):
+            chain = _mix(chain + np.uint64(0x9E3779B97F4A7C15) ^ words[first + k])
+        out[at:at + _PIECE] = (chain >> np.uint64(32)).astype(np.uint32)
+    return out
+
+
 class _Batch:
     """Word hashes of a batch's texts one after the other, with the place where each text begins."""
 
@@ -113,10 +131,12 @@ class _Batch:
         import numpy as np
 
         self.texts = [x.as_py() or b"" for x in texts.cast(pa.binary())]
-        each = [word_hashes(x) for x in self.texts]
-        self.n_words = np.array([len(x) for x in each], dtype=np.int64)
+        known = _Digests()
+        each = [word_digests(x, known) for x in self.texts]
+        self.n_words = np.array([len(x) for x, _ in each], dtype=np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.n_words)))
-        self.words = np.concatenate(each) if each else np.zeros(0, dtype=np.uint64)
+        self.words, self.again = (
+            np.concatenate([x[k] for x in each]) if each else np.zeros(0, dtype=np.uint64) for k in range(2))
 
     def windows(self, size: int):
         """Hashes of the runs that lie within one text, and where they start."""
@@ -156,49 +176,88 @@ def _cuts(values, bits: int, n_buckets: int):
     return np.concatenate(([0], np.searchsorted(values, bounds), [len(values)]))
 
 
-_PARCEL = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("hashes", pa.binary()), ("many", pa.binary()), ("block", pa.binary())])
-_PARCEL_DDL = "bucket int, batch int, hashes binary, many binary, block binary"
-_ANSWER = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("found", pa.binary())])
-_ANSWER_DDL = "batch int, bucket int, found binary"
+_PARCEL = pa.schema([
+    ("bucket", pa.int32()), ("batch", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary()), ("many", pa.binary()), ("block", pa.binary())])
+_PARCEL_DDL = "bucket int, batch int, hashes binary, checks binary, many binary, block binary"
+_ANSWER = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("found", pa.binary()), ("checks", pa.binary())])
+_ANSWER_DDL = "batch int, bucket int, found binary, checks binary"
 
 
-def _parcels(batch: int, hashes, block, bits: int, n_buckets: int) -> pa.Table:
-    """One row per bucket: the batch's distinct hashes, which repeat in it, which are blocks."""
+def _new(hashes, checks):
+    """Where a sorted list takes a new value, told apart by both hashes."""
     import numpy as np
 
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    new = np.flatnonzero(np.diff(ranked, prepend=ranked[:1] ^ np.uint64(1)) != 0) if len(ranked) else np.zeros(0, dtype=np.int64)
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    if checks is not None:
+        new[1:] |= checks[1:] != checks[:-1]
+    return np.flatnonzero(new)
+
+
+def _order(hashes, checks):
+    import numpy as np
+
+    return np.argsort(hashes, kind="stable") if checks is None else np.lexsort((checks, hashes))
+
+
+def _parcels(batch: int, hashes, block, bits: int, n_buckets: int, checks=None) -> pa.Table:
+    """One row per bucket: the batch's distinct hashes, which repeat in it, which are blocks.
+
+    Hashes with ``checks`` are equal only if both agree; a bucket's list is sorted by both.
+    """
+    import numpy as np
+
+    order = _order(hashes, checks)
+    ranked, second = hashes[order], None if checks is None else checks[order]
+    new = _new(ranked, second)
     values = ranked[new]
     many = np.diff(np.append(new, len(ranked))) > 1
     blocks = np.maximum.reduceat(block[order], new) if len(new) else np.zeros(0, dtype=bool)
     cut = _cuts(values, bits, n_buckets)
     rows = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+    more = [None] * len(rows) if second is None else [second[new][s].astype("<u4").tobytes() for _, s in rows]
     return pa.table([
         pa.array([k for k, _ in rows], pa.int32()), pa.array([batch] * len(rows), pa.int32()),
-        pa.array([_packed(values[s]) for _, s in rows], pa.binary()),
+        pa.array([_packed(values[s]) for _, s in rows], pa.binary()), pa.array(more, pa.binary()),
         pa.array([np.packbits(many[s]).tobytes() for _, s in rows], pa.binary()),
         pa.array([np.packbits(blocks[s]).tobytes() for _, s in rows], pa.binary()),
     ], schema=_PARCEL)
 
 
 def _met(parcels: pa.Table):
-    """Over a bucket's parcels: (batch, hashes, is this hash a block somewhere and found twice or more)."""
+    """Over a bucket's parcels: (batch, hashes, checks or None, is this one a block somewhere and found twice or more)."""
     import numpy as np
 
     batches = parcels["batch"].to_pylist()
     lists = [_unpacked(x.as_py()) for x in parcels["hashes"]]
     bits = lambda col: np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(h)) for x, h in zip(col, lists, strict=True)])
     many, block, values = bits(parcels["many"]), bits(parcels["block"]), np.concatenate(lists)
-    order = np.argsort(values, kind="stable")
-    ranked = values[order]
-    new = np.flatnonzero(np.diff(ranked, prepend=ranked[:1] ^ np.uint64(1)) != 0)
+    checks = None if parcels["checks"].null_count else np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in parcels["checks"]])
+    order = _order(values, checks)
+    new = _new(values[order], None if checks is None else checks[order])
     hit = (np.add.reduceat(many[order].astype(np.int64) + 1, new) > 1) & (np.maximum.reduceat(block[order], new) > 0)
     found = np.zeros(len(values), dtype=bool)
-    found[order] = np.repeat(hit, np.diff(np.append(new, len(ranked))))
+    found[order] = np.repeat(hit, np.diff(np.append(new, len(values))))
     at = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
     for k, batch in enumerate(batches):
-        yield batch, lists[k], found[at[k]:at[k + 1]]
+        part = slice(at[k], at[k + 1])
+        yield batch, lists[k], None if checks is None else checks[part], found[part]
+
+
+def _known(runs, checks, hashes, seconds):
+    """Which of the runs are among the sorted pairs (``hashes``, ``seconds``); ``checks`` of some runs on demand."""
+    import numpy as np
+
+    place = np.searchsorted(hashes, runs)
+    maybe = np.flatnonzero(hashes[np.minimum(place, len(hashes) - 1)] == runs)
+    wanted, place = checks(maybe), place[maybe]
+    out = np.zeros(len(runs), dtype=bool)
+    while len(maybe):  # once, but for runs that agree in the first hash alone
+        out[maybe] |= seconds[place] == wanted
+        place = place + 1
+        more = (place < len(hashes)) & (hashes[np.minimum(place, len(hashes) - 1)] == runs[maybe])
+        maybe, wanted, place = maybe[more], wanted[more], place[more]
+    return out
 
 
 def remove_repeats(
@@ -242,10 +301,10 @@ def remove_repeats(
         import numpy as np
 
         bucket = parcels["bucket"][0].as_py()
-        rows = [(b, np.packbits(f).tobytes()) for b, _, f in _met(parcels) if f.any()]
+        rows = [(b, np.packbits(f).tobytes()) for b, _, _, f in _met(parcels) if f.any()]
         return pa.table([
             pa.array([b for b, _ in rows], pa.int32()), pa.array([bucket] * len(rows), pa.int32()),
-            pa.array([f for _, f in rows], pa.binary())], schema=_ANSWER)
+            pa.array([f for _, f in rows], pa.binary()), pa.nulls(len(rows), pa.binary())], schema=_ANSWER)
 
     def extend(rows: pa.Table, hits: pa.Table) -> pa.Table:
         import numpy as np
@@ -263,15 +322,15 @@ def remove_repeats(
         seen = np.cumsum(seen)
         runs, first = texts.windows(window)
         through = seen[first + window - block + 1] > seen[first]  # an anchor starts in the run's first places
-        runs = runs[through]
-        return _parcels(rows.column(-1 % rows.num_columns)[0].as_py(), runs, np.ones(len(runs), dtype=bool), 64, n_buckets)
+        runs, checks = runs[through], run_checks(texts.again, first[through], window)
+        return _parcels(rows.column(-1 % rows.num_columns)[0].as_py(), runs, np.ones(len(runs), dtype=bool), 64, n_buckets, checks)
 
     def compare(parcels: pa.Table) -> pa.Table:
         bucket = parcels["bucket"][0].as_py()
-        rows = [(b, _packed(h[f])) for b, h, f in _met(parcels) if f.any()]
+        rows = [(b, _packed(h[f]), c[f].tobytes()) for b, h, c, f in _met(parcels) if f.any()]
         return pa.table([
-            pa.array([b for b, _ in rows], pa.int32()), pa.array([bucket] * len(rows), pa.int32()),
-            pa.array([h for _, h in rows], pa.binary())], schema=_ANSWER)
+            pa.array([b for b, _, _ in rows], pa.int32()), pa.array([bucket] * len(rows), pa.int32()),
+            pa.array([h for _, h, _ in rows], pa.binary()), pa.array([c for _, _, c in rows], pa.binary())], schema=_ANSWER)
 
     def remove(rows: pa.Table, repeats: pa.Table) -> pa.Table:
         import numpy as np
@@ -280,10 +339,11 @@ def remove_repeats(
         texts = _Batch(rows.column(at))
         cover = np.zeros(len(texts.words) + 1, dtype=np.int64)
         if repeats.num_rows:
-            known = np.sort(np.concatenate([_unpacked(x.as_py()) for x in repeats["found"]]))
+            known = np.concatenate([_unpacked(x.as_py()) for x in repeats["found"]])
+            seconds = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in repeats["checks"]])
+            order = np.lexsort((seconds, known))
             runs, first = texts.windows(window)
-            place = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-            begin = first[known[place] == runs]
+            begin = first[_known(runs, lambda some: run_checks(texts.again, first[some], window), known[order], seconds[order])]
             np.add.at(cover, begin, 1)
             np.add.at(cover, begin + window, -1)
         covered = np.cumsum(cover[:-1]) > 0
