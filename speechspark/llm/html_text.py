@@ -6,7 +6,7 @@ links: many linked characters or linked tags lower it.  Densities of an element'
 largest sum is the core.  The least density on the path from the body to the core is the threshold: the
 core is widened to the outermost article or main element on that path, or else to the topmost ancestor
 below the body whose density reaches the body's; parts of it that are mostly links and lie
-below the threshold are left out.
+below the threshold are left out, but for lists and tables between paragraphs and all of an article.
 """
 
 from __future__ import annotations
@@ -39,6 +39,14 @@ MARKED = frozenset(
     "sidebar sidebars aside widget widgets comment comments commentlist reply replies respond disqus discussion cookie cookies "
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations toolbar disclaimer skip hidden".split())
+#: Elements whose id is a mark left by their own heading, such as "related-work", and not a kind of part.
+HEADED = frozenset("h1 h2 h3 h4 h5 h6 p dt dd li td th blockquote pre figure".split())
+#: Whole ids that mark a section all the same.
+SECTION_IDS = frozenset("comments commentlist respond disqus sidebar navigation nav navbar breadcrumbs pagination newsletter subscribe footer header".split())
+#: Elements with no end tag of their own inside which an article ends the part that is left out.
+LOST_ENDS = frozenset("head nav header form p li ul".split())
+#: What a head may hold.
+HEAD = frozenset("title meta link script style base noscript template".split())
 #: An open element of the first kind ends when one of the second begins.
 ENDS = {
     "p": BLOCKS - frozenset("body html td th tr tbody thead tfoot caption legend option optgroup summary".split()),
@@ -50,8 +58,9 @@ ENDS = {
 #: An implied end doesn't reach beyond these.
 WALLS = frozenset("table ul ol dl div article section main aside body html blockquote form nav header footer td th".split())
 
-_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(?:^|(?<=[\s\"'/]))(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"'>]|$)", re.I)
+#: Quotes have a meaning behind an equals sign alone.
+_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: A class with one of these describes a layout around the text, such as "content-with-sidebar".
 LAYOUT = frozenset("with has no without layout".split())
@@ -60,10 +69,12 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None):
+    def __init__(self, name: str, parent: Node | None, pruned: bool = False):
         self.name, self.parent, self.parts = name, parent, []
+        #: The outermost pruned element around this one, itself included.
+        self.cut = parent.cut if parent is not None and parent.cut is not None else self if pruned else None
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -76,7 +87,10 @@ def _boilerplate(name: str, attributes: str) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         key, raw = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         value = raw.lower()
-        if key in ("class", "id"):
+        if key == "id" and (name in HEADED or name == "section"):
+            if name == "section" and value.strip() in SECTION_IDS:
+                return True
+        elif key in ("class", "id"):
             for one in raw.split():
                 parts = {one.lower(), *(x.lower() for x in _NAME.findall(one))}
                 if not MARKED.isdisjoint(parts) and LAYOUT.isdisjoint(parts):
@@ -89,43 +103,56 @@ def _boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
+def _opener(here: Node, name: str) -> Node | None:
+    """The open element that an end tag closes.
+
+    An end tag of a phrase closes nothing beyond a wall.  Inside a pruned element it finds its opener at any
+    depth, but none around the pruned one.
+    """
+    node = here
+    while node is not None and node.name != name:
+        if name not in BLOCKS and (node is node.cut or (node.cut is None and node.name in WALLS)):
+            return None
+        node = node.parent
+    return node
+
+
 def parse(page: str) -> Node:
-    """The tree of a page without its boilerplate; tolerant of missing, wrong and implied end tags."""
+    """The tree of a page without its boilerplate; tolerant of missing, wrong and implied end tags.
+
+    A pruned element is opened and closed like any other, by its own end tag, by one of an element around it or
+    by what implies its end; only nothing in it is kept.
+    """
     root = Node("html", None)
     here, at, n = root, 0, len(page)
-    skipped, depth = None, 0  # inside a pruned element: its name, how many of that name are open
     while at < n:
         m = _TAG.search(page, at)
         stop = m.start() if m else n
-        if skipped is None and stop > at:
+        if here.cut is None and stop > at:
             here.parts.append(html.unescape(page[at:stop]) if "&" in page[at:stop] else page[at:stop])
+        elif here.name == "head" and page[at:stop].strip():
+            here = here.parent  # text ends a head
+            continue
         if m is None:
             break
         at = m.end()
         if m[2] is None:
             continue
         name, closing = m[2].lower(), bool(m[1])
-        if skipped is not None:
-            if name == skipped and name not in VOID:
-                depth += -1 if closing else 1
-                skipped = skipped if depth else None
-            elif name in ("article", "main") and not closing and skipped in ("head", "nav", "header", "form", "p", "li", "ul"):
-                skipped = None  # its end tag is missing
-            elif skipped == "head" and name == "body":
-                skipped = None
-            if skipped is not None or closing:
-                continue
         if closing:
-            node = here
-            while node is not None and node.name != name:
-                node = None if node.name in WALLS and name not in BLOCKS else node.parent
+            node = _opener(here, name)
             if node is not None and node.parent is not None:
                 here = node.parent
-            elif name == "p":
+            elif name == "p" and here.cut is None:
                 here.parts.append(Node("p", here))
             continue
+        cut = here.cut
+        if cut is not None and (
+            (name in ("article", "main") and cut.name in LOST_ENDS) or (cut.name == "head" and (name == "body" or (here is cut and name not in HEAD)))
+        ):
+            here = cut.parent  # its end tag is missing
         if name in VOID:
-            if name in ("br", "hr"):
+            if name in ("br", "hr") and here.cut is None:
                 here.parts.append(Node(name, here))
             continue
         if name in ("html", "body"):
@@ -149,12 +176,12 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
             if name in ("textarea", "title", "script", "style", "iframe", "noembed", "noframes"):
                 continue
-        if _boilerplate(name, attributes):
-            if not attributes.endswith("/") or name not in ("svg", "math"):
-                skipped, depth = name, 1
+        pruned = _boilerplate(name, attributes)
+        if pruned and attributes.endswith("/") and name in ("svg", "math"):
             continue
-        child = Node(name, here)
-        here.parts.append(child)
+        child = Node(name, here, pruned)
+        if child.cut is None:
+            here.parts.append(child)
         here = child
     return root
 
@@ -217,10 +244,29 @@ def _core(root: Node) -> tuple[Node, float]:
     return top, threshold
 
 
+def _linked(x: Node, threshold: float) -> bool:
+    """Mostly links, below the threshold, and no plain block of text by its kind."""
+    return x.link_chars * 2 > x.chars and x.density < threshold and x.name not in ("p", "td", "th", "h1", "h2", "h3", "li")
+
+
+def _between(parent: Node) -> set[int]:
+    """Of an element's parts, the lists and tables (by identity) between its text paragraphs or headings."""
+    kin = [y for y in parent.parts if y.__class__ is Node]
+    plain = [k for k, y in enumerate(kin) if y.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and y.link_chars * 2 < y.chars]
+    return {id(y) for y in kin[plain[0]:plain[-1]] if y.name in ("ul", "ol", "dl", "table")} if plain else set()
+
+
 def _text(top: Node, threshold: float) -> str:
-    """Blocks of a subtree in page order."""
+    """Blocks of a subtree in page order; an article or main element loses no lists of links."""
+    whole = top.name in ("article", "main")
     blocks: list[str] = []
     run: list[str] = []
+    kept: dict[int, set[int]] = {}
+
+    def between(parent: Node) -> set[int]:
+        if id(parent) not in kept:
+            kept[id(parent)] = _between(parent)
+        return kept[id(parent)]
 
     def flush() -> None:
         if run:
@@ -241,7 +287,7 @@ def _text(top: Node, threshold: float) -> str:
                 run.append(" ")
                 continue
             block = x.name in BLOCKS
-            if block and x is not top and x.link_chars * 2 > x.chars and x.density < threshold and x.name not in ("p", "td", "th", "h1", "h2", "h3", "li"):
+            if block and x is not top and not whole and _linked(x, threshold) and id(x) not in between(x.parent):
                 flush()
                 continue
             if block:
@@ -263,7 +309,9 @@ def main_text(page: str | None) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Id, url, ``text`` (empty if none) and ``n_chars`` (code points) of every row.
 
-    Pages are handled one by one, whole, in batches; the work is linear in a page's length.  Null ids and
+    Pages are handled one by one, whole, in batches; the work is linear in a page's length but for missing end
+    tags, which cost a walk up the open elements.  A pruned element without an end tag ends where HTML implies
+    its end or an element around it ends.  Null ids and
     urls stay null, repeated rows repeat, other columns are not read; an empty table gives no rows.
     """
 
