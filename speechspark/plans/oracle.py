@@ -547,6 +547,12 @@ union all select -1001 - clip_id, {r5('200 / 16000.0::double')}, '', 'clip too s
 ORACLE["detect_kaldi"] = records(f"select clip_id, frame_idx, 1 / (1 + exp(-avg(v))) as p from ({NORMED}) q group by all", on=0.5, k=1, m=2)
 ORACLE["detect_nemo"] = records(f"select clip_id, frame_idx, 1 / (1 + exp(-20.0::double * (avg(v) + 4.08::double))) as p from ({MEL_N}) q group by all", on=0.5, off=0.4, k=2, m=1)
 
+ORACLE["detect_files"] = ORACLE["detect_nemo"]
+ORACLE["read_recordings"] = f"""
+select clip_id, sample_idx, {r5('x')} as x, cast(null as varchar) as error from ({SAMPLES}) s
+union all select -1001 - clip_id, sample_idx, {r5('x')}, null from ({SAMPLES}) s where sample_idx < 200
+union all select -1 - clip_id, null, null, 'samples cannot be empty' from ({LENGTHS}) l"""
+
 
 def parity(diffs: str, tol_p99: float, tol_max: float) -> str:
     return f"""
