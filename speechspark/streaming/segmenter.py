@@ -7,6 +7,13 @@ State lives in the state store, keyed by stream.  It is bounded by the buffer le
 ends with an error event.  With None any number waits in the store, and the result is whole however late the
 missing chunk is.  What stays of an ended stream is its place, so that late repeats are known; with
 ``idle_ttl_s`` that expires too.
+
+A stream that stops without its end keeps a segment open.  ``close_after_s`` sets a timer on every stream: when
+nothing has come for so long, the open segment is closed where the stream broke off, an ``abandoned`` event says
+which chunk was expected and how many waited for it, and the state is cleared.  Chunks of the trigger in which the
+timer runs out still count, later ones are ignored.
+Timers run on the clock or, with ``event_time``, on the watermark of that column.  A table that is not a stream
+has no timers.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from speechspark.operators.segmenting import SegmentParams, resolve
@@ -35,18 +43,25 @@ class _OrderedChunks(StatefulProcessor):
 
     max_waiting: int | None = 4_096
     ttl_ms: int | None = None  # forget a stream that has been idle this long; nothing is emitted
+    close_ms: int | None = None  # close a stream that has been idle this long
+    event_time = False  # ... by the watermark, the newest time of a chunk being in ``at_ms``
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.place = handle.getValueState("place", "next_seq bigint, done boolean, n_waiting bigint", self.ttl_ms)
         self.waiting = handle.getMapState("waiting", "seq bigint", "payload binary, eos boolean, error string", self.ttl_ms)
+        self.handle = handle
+        self.due = None if self.close_ms is None else handle.getValueState("due", "at bigint", self.ttl_ms)
         self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         next_seq, done, n_waiting = self.place.get() if self.place.exists() else (0, False, 0)
         out: list[dict] = []
+        newest = None
         for pdf in rows:
             if done:
                 continue
+            if self.event_time and pdf["at_ms"].notna().any():
+                newest = max(newest or 0, int(pdf["at_ms"].max()))
             errors = pdf["error"] if "error" in pdf.columns else [None] * len(pdf)
             arrived = sorted(
                 zip(pdf["seq"], pdf["samples"], pdf["end_of_stream"], errors), key=lambda r: r[0]
@@ -76,9 +91,48 @@ class _OrderedChunks(StatefulProcessor):
             self.waiting.clear()
             self.forget()
         self.flush()
-        if out:
-            rows_out = [{"stream_id": key[0], **event} for event in out]
-            yield pd.DataFrame({c: pd.Series([e.get(c) for e in rows_out], dtype=object) for c in EVENT_COLUMNS})
+        self._set_timer(done, newest, timerValues)
+        yield from _events(key, out)
+
+    def _set_timer(self, done: bool, newest: int | None, now) -> None:
+        """One timer a stream, ``close_ms`` after its newest chunk; none after its end."""
+        if self.due is None:
+            return
+        old = self.due.get()[0] if self.due.exists() else None
+        if done:
+            at = None
+        elif not self.event_time:
+            at = now.getCurrentProcessingTimeInMs() + self.close_ms
+        elif newest is None:  # chunks without a time don't move a timer
+            at = now.getCurrentWatermarkInMs() + self.close_ms if old is None else old
+        else:
+            at = max(newest + self.close_ms, old or 0)
+        if at == old:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        if at is None:
+            self.due.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.due.update((int(at),))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        next_seq, done, n_waiting = self.place.get() if self.place.exists() else (0, True, 0)
+        self.due.clear()
+        if done:
+            return
+        out: list[dict] = []
+        self._take(np.zeros(0, np.float32), True, None, out)
+        at = self.heard()
+        out.append({
+            "analysis": -1, "timestamp": at, "emitted_at_s": at, "event_type": "abandoned",
+            "message": f"no chunk {next_seq} for {self.close_ms / 1000:g} s, {n_waiting} chunks waited for it",
+        })
+        self.place.update((int(next_seq), True, 0))
+        self.waiting.clear()
+        self.forget()
+        yield from _events(key, out)
 
     def _take(self, values, eos, error, out) -> bool:
         first = len(out)
@@ -105,6 +159,12 @@ class _OrderedChunks(StatefulProcessor):
     def forget(self) -> None: ...
 
 
+def _events(key, out: list[dict]) -> Iterator[pd.DataFrame]:
+    if out:
+        rows_out = [{"stream_id": key[0], **event} for event in out]
+        yield pd.DataFrame({c: pd.Series([e.get(c) for e in rows_out], dtype=object) for c in EVENT_COLUMNS})
+
+
 def _activity(analysis: int, at: float, active: bool) -> dict:
     return {"analysis": analysis, "timestamp": at, "event_type": "activity", "speech_active": active}
 
@@ -261,10 +321,15 @@ class IncrementalSegmenter(_OrderedChunks):
         live[0], live[1] = x[-keep:] if keep < len(x) else x, seen
 
 
-def _run(chunks: DataFrame, processor: _OrderedChunks, idle_ttl_s: float | None, max_waiting: int | None) -> DataFrame:
+def _run(chunks: DataFrame, processor: _OrderedChunks, idle_ttl_s: float | None, max_waiting: int | None,
+         close_after_s: float | None, event_time: str | None) -> DataFrame:
+    if event_time is not None and (close_after_s is None or idle_ttl_s is not None):
+        raise ValueError("event_time is for close_after_s, and idle_ttl_s runs on the clock only")
     processor.max_waiting = max_waiting
     if idle_ttl_s is not None:
         processor.ttl_ms = int(idle_ttl_s * 1000)
+    if close_after_s is not None:
+        processor.close_ms = int(close_after_s * 1000)
     if "error" not in chunks.columns:
         from speechspark.sources.chunks import validate_chunks
 
@@ -272,24 +337,32 @@ def _run(chunks: DataFrame, processor: _OrderedChunks, idle_ttl_s: float | None,
     # A batch run needs the state store coordinator, which the stream manager brings up.
     _ = chunks.sparkSession.streams.active
     columns = ["stream_id", "seq", "samples", "end_of_stream", "error"]
+    mode = "None" if idle_ttl_s is None and close_after_s is None else "ProcessingTime"
+    if event_time is not None:
+        # A plain number instead of the watermarked column: a chunk behind the watermark still belongs to an open stream.
+        processor.event_time, mode = True, "EventTime"
+        chunks, columns = chunks.withColumn("at_ms", F.unix_millis(F.col(event_time))), [*columns, "at_ms"]
     kind = chunks.schema["stream_id"].dataType.simpleString()
     return chunks.select(*columns).groupBy("stream_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=EVENTS.replace("stream_id bigint", f"stream_id {kind}"), outputMode="Append",
-        timeMode="None" if idle_ttl_s is None else "ProcessingTime",
+        timeMode=mode,
     )
 
 
 def segment_stream(chunks: DataFrame, analyser: Analyser, params: StreamParams = StreamParams(),
-                   idle_ttl_s: float | None = None, max_waiting: int | None = 4_096) -> DataFrame:
+                   idle_ttl_s: float | None = None, max_waiting: int | None = 4_096,
+                   close_after_s: float | None = None, event_time: str | None = None) -> DataFrame:
     """Rolling-buffer events of every stream.
 
-    Only the end-of-stream flag finalises a stream.  ``idle_ttl_s`` drops the state of streams
-    that stopped without it.  ``max_waiting=None`` lets any number of chunks wait for a missing one.
+    The end-of-stream flag finalises a stream, or ``close_after_s`` without a chunk, by the clock or by the
+    watermark that ``chunks`` has on ``event_time``.  ``idle_ttl_s`` drops the state of streams that stopped.
+    ``max_waiting=None`` lets any number of chunks wait for a missing one.
     """
-    return _run(chunks, RollingSegmenter(analyser, params), idle_ttl_s, max_waiting)
+    return _run(chunks, RollingSegmenter(analyser, params), idle_ttl_s, max_waiting, close_after_s, event_time)
 
 
 def segment_stream_incremental(chunks: DataFrame, preset: str | SegmentParams, idle_ttl_s: float | None = None,
-                               max_waiting: int | None = 4_096) -> DataFrame:
-    """Events from frame scores without re-analysis."""
-    return _run(chunks, IncrementalSegmenter(preset), idle_ttl_s, max_waiting)
+                               max_waiting: int | None = 4_096, close_after_s: float | None = None,
+                               event_time: str | None = None) -> DataFrame:
+    """Events from frame scores without re-analysis; options as in ``segment_stream``."""
+    return _run(chunks, IncrementalSegmenter(preset), idle_ttl_s, max_waiting, close_after_s, event_time)
