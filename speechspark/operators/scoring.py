@@ -258,12 +258,15 @@ def score_chunks(chunks: DataFrame, scorer, keys: Sequence[str] = KEYS) -> DataF
     return ordered.mapInPandas(run, f"{_key_types(chunks, keys)}, frame_idx bigint, p float, error string")
 
 
+SEGMENT_COLUMNS = (("start_s", "double"), ("end_s", "double"), ("speaker_id", "int"), ("confidence", "double"), ("model", "string"))
+
+
 def compare_models(clips: DataFrame, models: Mapping[str, Callable[[DataFrame], DataFrame]], keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
     """Run several models over the same clips: (segments with ``model``, results).
 
     ``models`` maps a name to a function from clips to segments.  Each model is run on its own and
     its segments are kept in the session's shared folder, so a failure while setting up or running
-    ends that model alone: it gives results with ``error`` and no segments.  Results have one row
+    ends that model alone: it gives results with ``error`` and no segments, also when no model is left.  Results have one row
     per (clip, model) with ``n_segments`` and the model's ``elapsed_ms``.
     """
     segs, notes = None, []
@@ -276,7 +279,7 @@ def compare_models(clips: DataFrame, models: Mapping[str, Callable[[DataFrame],
             error = f"{e}"
         notes.append((name, error, (time.perf_counter() - begin) * 1000))
     if segs is None:
-        raise ValueError("no model could be run")
+        segs = clips.select(*keys).limit(0).selectExpr(*keys, *(f"cast(null as {kind}) as {c}" for c, kind in SEGMENT_COLUMNS))
     listed = F.explode(F.array(*[
         F.struct(F.lit(n).alias("model"), F.lit(e).cast("string").alias("error"), F.lit(t).alias("elapsed_ms")) for n, e, t in notes]))
     results = clips.select(*keys).distinct().select(*keys, listed.alias("_m")).select(*keys, "_m.*")

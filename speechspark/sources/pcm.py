@@ -102,24 +102,35 @@ def dedupe_by_content(df: DataFrame, payload: str, id_col: str = "clip_id") -> D
     )
 
 
+def dedupe_stream(df: DataFrame, payload: str, time_col: str, window: str) -> DataFrame:
+    """The first submission of each content id in a stream, with ``content_id``.
+
+    Repeats within ``window`` of the newest ``time_col`` are dropped, in whatever trigger they come; the state
+    holds the ids of that time only.  A null payload has no id: null ones are repeats of each other.  A row later than the
+    window is dropped, as Spark drops late rows.
+    """
+    return df.withColumn("content_id", content_id(payload)).withWatermark(time_col, window).dropDuplicatesWithinWatermark(["content_id"])
+
+
 def read_f32_matrix(spark: SparkSession, path: str, ncols: int, glob: str = "*.f32", rows_per_part: int = 4_096) -> DataFrame:
     """Raw float32 row-major matrices: name, row_idx, row, error.
 
-    A file is cut into parts of whole rows before decoding.  A file whose length is not a
-    multiple of the row size gives one row with ``error``.
+    A file is cut into parts of whole rows before decoding.  A file that is empty, does not fit into one row
+    (it is not opened then) or whose length is not a multiple of the row size gives one row with ``error``.
     """
     row_bytes = 4 * ncols
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     name, n = F.element_at(F.split("path", "/"), -1), F.col("length")
-    files = files.select(
-        name.alias("name"), "content", n.alias("_n"),
-        F.when(n % row_bytes != 0, F.format_string(f"length %d is not a multiple of {row_bytes}", n)).alias("error"),
-    )
+    whole = (n <= MAX_CLIP_BYTES) & (n % row_bytes == 0)
+    odd = F.when(n > MAX_CLIP_BYTES, F.lit(MSG_LARGE)).otherwise(F.format_string(f"length %d is not a multiple of {row_bytes}", n))
+    files = found.filter(whole).select(name.alias("name"), "content", n.alias("_n"))
+    bad = found.filter(~whole).select(name.alias("name"), odd.alias("error")).unionByName(
+        _empty_files(spark, path, glob, False).select(name.alias("name"), F.lit(MSG_EMPTY).alias("error")))
     last = F.expr(f"greatest((_n div {row_bytes} - 1) div {rows_per_part}, 0)")
     # Cut inside the row, so that no part's row carries the whole file.
     size = rows_per_part * row_bytes
     pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda p: F.substring(F.col("content"), (p * size + 1).cast("int"), F.lit(size)))
-    parts = files.filter("error is null and _n > 0").select("name", F.posexplode(pieces).alias("_p", "_bytes"))
+    parts = files.filter("_n > 0").select("name", F.posexplode(pieces).alias("_p", "_bytes"))
     rows = parts.select("name", "_p", decode_f32("_bytes").alias("_v")).select(
         "name", "_p", "_v", F.explode(F.sequence(F.lit(0), (F.size("_v") / ncols).cast("int") - 1)).alias("_r")
     )
@@ -127,7 +138,7 @@ def read_f32_matrix(spark: SparkSession, path: str, ncols: int, glob: str = "*.f
         "name", (F.col("_p").cast("bigint") * rows_per_part + F.col("_r")).alias("row_idx"),
         F.slice("_v", F.col("_r") * ncols + 1, F.lit(ncols)).alias("row"), F.lit(None).cast("string").alias("error"),
     )
-    bad = files.filter("error is not null").select(
+    bad = bad.select(
         "name", F.lit(None).cast("bigint").alias("row_idx"), F.lit(None).cast("array<float>").alias("row"), "error"
     )
     return good.unionByName(bad)
