@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from speechspark.llm.common import stored
 
 TOP = 50
-SHARD = 8192
+SHARD = 2048
 BLOCK = 32
 DIMS = 16
 SEED_EVERY = 16
+#: Summary entries of blocks that a shard keeps at once (16 bytes each); more are made anew when they are asked for.
+KEPT = 1 << 23
 #: Queries that are searched in one pass over the vectors.
 QUERIES = 4096
 
@@ -92,6 +94,7 @@ class Shard:
         length = np.linalg.norm(self.placed, axis=1, keepdims=True)
         self.placed /= np.where(length > 0, length, 1)
         self.blocks: dict[int, tuple] = {}
+        self.kept = 0
         self.row = np.zeros(n_terms, dtype=np.int64)
 
     def entries(self, docs):
@@ -120,7 +123,12 @@ class Shard:
             first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
             top = np.maximum.reduceat(self.impacts[entry][order], first)
             key = key[order][first]
-            self.blocks[term] = docs, np.searchsorted(block, np.arange(block[-1] + 2)), key // len(self.most), key % len(self.most), top
+            if self.kept + len(key) > KEPT:
+                self.blocks.clear()
+                self.kept = 0
+            self.kept += len(key)
+            self.blocks[term] = (docs, np.searchsorted(block, np.arange(block[-1] + 2)), (key // len(self.most)).astype(np.int32),
+                                 (key % len(self.most)).astype(np.int32), top)
         return self.blocks[term]
 
     def search(self, query, need: int):

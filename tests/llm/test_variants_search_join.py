@@ -170,6 +170,26 @@ def test_blocks_are_skipped_only_below_the_need():
             assert dict(zip(docs.tolist(), got.tolist(), strict=True)) == {d: s for d, s in enumerate(score.tolist()) if s >= need}
 
 
+def test_a_shard_keeps_few_summaries(monkeypatch):
+    """Many queries over long lists: the blocks that are held stay bounded, and results are the same."""
+    from speechspark.llm import lexical_search
+
+    rng = np.random.default_rng(5)
+    starts = np.arange(0, 600 * 20 + 1, 20)
+    terms = np.concatenate([np.sort(rng.choice(60, 20, replace=False)) for _ in range(600)]).astype(np.int64)
+    impacts = rng.integers(1, 1000, len(terms))
+    queries = [rng.choice(60, 8, replace=False) for _ in range(30)]
+    whole = lexical_search.Shard(starts, terms, impacts, 60)
+    want = [whole.search(q, 3000) for q in queries]
+    monkeypatch.setattr(lexical_search, "KEPT", 3000, raising=False)
+    shard = lexical_search.Shard(starts, terms, impacts, 60)
+    for q, (docs, score) in zip(queries, want, strict=True):
+        got = shard.search(q, 3000)
+        assert got[0].tolist() == docs.tolist() and got[1].tolist() == score.tolist()
+        assert sum(len(b[4]) for b in shard.blocks.values()) <= 3000
+    assert lexical_search.SHARD <= 2048
+
+
 def joined(docs, **how):
     from speechspark.llm.jaccard_join import jaccard_components
 
