@@ -15,6 +15,7 @@ from speechspark.llm.contamination import RESULTS, find_contamination
 from speechspark.llm.minhash import similar_texts
 from speechspark.llm.mixing import mix
 from speechspark.llm.quality import cut_lines, quality_rules
+from speechspark.llm.simhash import near_duplicates
 from speechspark.llm.substrings import remove_repeats
 from speechspark.session import ship_package
 
@@ -67,13 +68,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the least id stays; of rows with that id and one text, one.
 
-    Texts that share 0.8 of their 5-word shingles are linked; a group is what links connect.
+    Texts are linked by operator 3 (SimHash fingerprints within two bits, found by covering masks), and if they
+    share 0.8 of their 5-word shingles, which fingerprints don't reach; a group is what links of either connect.
     Rows of that id with other texts of the same group go as well; a group without ids keeps one row.
     """
     ship_package(spark)
     key = _fresh(docs, "_key")
     keyed = docs.withColumn(key, content_key(F.col("text")))
-    groups = similar_texts(keyed.select(F.struct("doc_id", F.col(key).alias("key")).alias("row"), "text"), "row")
+    rows = keyed.select(F.struct("doc_id", F.col(key).alias("key")).alias("row"), "text")
+    prints = stored(near_duplicates(rows, "row"), "prints")
+    groups = similar_texts(rows, "row", known=prints)
     # Structs sort by id first, nulls first; a row without an id must not win over one with an id.
     members = groups.select("row", "component_id").distinct()
     best = members.groupBy("component_id").agg(

@@ -182,20 +182,32 @@ def links(sets: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: in
     return stored(found, "links").unionByName(_crowd_links(crowd, texts, percent, shingle)).distinct()
 
 
+def _known_links(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(``a``, ``b``), a < b: links that join the sets ``f`` of ``rows`` (``i``, ``f``) which share a group in ``known`` (``i``, ``g``)."""
+    placed = rows.select("i", "f").distinct().join(known.distinct(), "i").select("g", "f").distinct()
+    return placed.join(placed.groupBy("g").agg(F.min("f").alias("a")), "g").filter("a < f").select("a", F.col("f").alias("b"))
+
+
 def similar_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """One row per input row: id, ``component_id`` (least id reachable through pairs at ``percent`` or above).
 
     Texts without words (null or empty too) are one group.  Null ids take part but are never a component's
     least id unless all of its ids are null; repeated rows get equal values.  Other columns are not read.
+    Rows that share a ``component_id`` in ``known`` (``id_col``, ``component_id``), such as the groups of
+    another operator, are linked as well.
     """
     rows = stored(signatures(docs, id_col, text_col, shingle), "sets")
     firsts = [F.first(c).alias(c) for c in ("n", "keys", "sketch")]
     sets = stored(rows.groupBy("f").agg(F.min("c").alias("c"), *firsts), "distinct-sets")
     texts = docs.select(content_key(F.col(text_col)).alias("c"), F.col(text_col).alias("t"))
     owners = rows.groupBy("f").agg(F.min("i").alias("least"))
-    roots = components(links(sets, texts, percent, shingle))
+    found = links(sets, texts, percent, shingle)
+    if known is not None:
+        found = found.unionByName(_known_links(rows, known.select(F.col(id_col).alias("i"), F.col("component_id").alias("g"))))
+    roots = components(found)
     grouped = owners.join(roots.withColumnRenamed("v", "f"), "f", "left").select(
         "f", "least", F.coalesce("root", "f").alias("root"))
     of_root = grouped.groupBy("root").agg(F.min("least").alias("component"))

@@ -60,3 +60,16 @@ def test_stage_on_a_crowd_around_the_limit(spark):
     docs = docs_of(spark, [(i, t, "a") for i, t in rows])
     want = plain_groups(rows)
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {i for i in want if want[i] == i}
+
+
+def test_stage_links_by_fingerprints_too(spark):
+    """Texts of one fingerprint go although their shingle sets are unlike: most of both is one repeated passage."""
+    import corpus_pipeline
+    from speechspark.llm.simhash import fingerprint
+
+    passage = " ".join([f"p{k}" for k in range(11)] * 50)
+    texts = [f"{passage} " + " ".join(f"{tail}{k}" for k in range(10)) for tail in "xyz"]
+    rows = [(3, texts[0]), (1, texts[1]), (None, texts[2]), (2, "another text of its own"), (3, texts[0])]
+    assert len({fingerprint(t) for t in texts}) == 1 and len(set(plain_groups(list(enumerate(texts))).values())) == 3
+    docs = docs_of(spark, [(i, t, "a") for i, t in rows])
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [(1, texts[1]), (2, rows[3][1])]
