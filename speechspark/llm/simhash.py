@@ -28,6 +28,8 @@ SEED = 42
 RADIUS = 2
 #: Rows from which masks of 43 instead of 36 bits keep chance meetings rare; results are the same.
 WIDE_MASKS = 1 << 31
+#: Links that a task of a round takes at least: each task leaves files, which outweigh a few links.
+TASK_LINKS = 1 << 16
 
 
 def masks(radius: int = RADIUS, prime: int = 2, bits: int = 64) -> list[int]:
@@ -108,11 +110,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(``v``, ``root``): each vertex of the links (``a``, ``b``) and the least vertex of its component.
 
     Alternates large-star and small-star steps until the links stand still; every step is a min per
-    vertex (combined before the exchange) and a join, and ends in a checkpoint.
+    vertex (combined before the exchange) and a join, and ends in a checkpoint.  Few links are dealt to no
+    more tasks than run at once, whatever the number of shuffle partitions.
     """
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.coalesce(max(cores, before[0] // TASK_LINKS))
+
     def hang(both: DataFrame, larger: bool) -> DataFrame:
         """Hang neighbours of u under the least of u and its neighbours."""
         side = F.col("b") > F.col("a") if larger else F.col("b") < F.col("a")
@@ -120,15 +128,15 @@ def components(edges: DataFrame) -> DataFrame:
         moved = both.filter(side).join(least, "a").select(F.col("root").alias("a"), "b")
         if not larger:
             moved = moved.unionByName(least.select(F.col("root").alias("a"), F.col("a").alias("b")))
-        return moved.filter("a <> b").distinct()
+        return dealt(dealt(moved.filter("a <> b")).distinct())
 
     turn = lambda df: df.select(F.col("b").alias("a"), F.col("a").alias("b"))
     edges = checkpointed(edges.select("a", "b"))
     before = state(edges)
     while before[0]:
-        large = hang(edges.unionByName(turn(edges)), True).select("a", "b")
+        large = hang(dealt(edges.unionByName(turn(edges))), True).select("a", "b")
         small = hang(turn(large), False)  # here every b is below its a
-        edges = checkpointed(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = checkpointed(dealt(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         after = state(edges)
         if after == before:
             break

@@ -73,3 +73,30 @@ def test_stage_links_by_fingerprints_too(spark):
     assert len({fingerprint(t) for t in texts}) == 1 and len(set(plain_groups(list(enumerate(texts))).values())) == 3
     docs = docs_of(spark, [(i, t, "a") for i, t in rows])
     assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [(1, texts[1]), (2, rows[3][1])]
+
+
+def test_few_links_stay_in_few_tasks(spark, monkeypatch):
+    """However many shuffle partitions there are, a round over few links doesn't write files for each."""
+    from speechspark.llm import simhash
+
+    parts = []
+
+    def seen(df, real=simhash.checkpointed):
+        out = real(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(simhash, "checkpointed", seen)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rng = np.random.default_rng(6)
+        chain = [int(x) for x in rng.permutation(200)]
+        edges = [tuple(sorted(p)) for p in zip(chain, chain[1:], strict=False)] + [(1000, 1001)]
+        got = {r["v"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {v: got.get(v, v) for v in [*range(200), 1000, 1001]} == {v: 0 for v in range(200)} | {1000: 1000, 1001: 1000}
+    assert len(parts) > 2 and max(parts) <= spark.sparkContext.defaultParallelism
