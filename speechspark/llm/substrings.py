@@ -27,26 +27,27 @@ from speechspark.llm.common import sha256_hex
 
 WINDOW = 35
 BLOCK = 18
-BATCH_MB = 8
+BATCH_MB = 2
 #: Least text per batch and bucket, so that a packed list holds about a hundred hashes.
 LIST_BYTES = 600
 #: Bits of an anchor's hash that are compared; false hits only cost a comparison later.
 ANCHOR_BITS = 46
-_PIECE = 1 << 20
+#: Bytes of text, and windows, that a task hashes at a time.
+_PIECE = 1 << 16
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Distinct words whose digests a task remembers at a time.
 _KNOWN = 1 << 16
 
 
-@lru_cache(maxsize=1)
-def _tables():
-    """The powers of an odd base and of its inverse, modulo 2^64."""
+@lru_cache(maxsize=2)
+def _tables(size: int):
+    """The first powers of an odd base and of its inverse, modulo 2^64."""
     import numpy as np
 
     base = 0x9E3779B97F4A7C15
     powers = []
     for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(_PIECE + 1, b, dtype=np.uint64)
+        p = np.full(size + 1, b, dtype=np.uint64)
         p[0] = 1
         powers.append(np.multiply.accumulate(p))
     return powers
@@ -96,14 +97,15 @@ def window_hashes(words, size: int):
     """Hashes of all runs of ``size`` words of one sequence."""
     import numpy as np
 
-    power, inverse = _tables()
-    n, out, step = len(words) - size + 1, [], _PIECE - size
-    for at in range(0, max(n, 0), step):
-        part = words[at:min(at + step, n) + size - 1]
+    step = max(_PIECE, size)
+    power, inverse = _tables(step + size)
+    out = np.empty(max(len(words) - size + 1, 0), dtype=np.uint64)
+    for at in range(0, len(out), step):
+        part = words[at:min(at + step, len(out)) + size - 1]
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(part * power[:len(part)], out=sums[1:])
-        out.append((sums[size:] - sums[:-size]) * inverse[:len(part) - size + 1])
-    return _mix(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
+        out[at:at + step] = _mix((sums[size:] - sums[:-size]) * inverse[:len(part) - size + 1])
+    return out
 
 
 def run_checks(words, start, size: int):
@@ -125,18 +127,25 @@ def run_checks(words, start, size: int):
 
 
 class _Batch:
-    """Word hashes of a batch's texts one after the other, with the place where each text begins."""
+    """Word hashes of a batch's texts one after the other, with the place where each text begins.
+
+    Its arrays are what a task's memory goes to, so texts are read from the column as they are needed, and the
+    words' second hashes are kept only where runs are checked.
+    """
 
-    def __init__(self, texts):
+    def __init__(self, texts, checked: bool = True):
         import numpy as np
 
-        self.texts = [x.as_py() or b"" for x in texts.cast(pa.binary())]
+        self.column = texts.cast(pa.binary())
         known = _Digests()
-        each = [word_digests(x, known) for x in self.texts]
-        self.n_words = np.array([len(x) for x, _ in each], dtype=np.int64)
+        each = [word_digests(x, known)[:1 + checked] for x in self.texts()]
+        self.n_words = np.array([len(x[0]) for x in each], dtype=np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.n_words)))
         self.words, self.again = (
-            np.concatenate([x[k] for x in each]) if each else np.zeros(0, dtype=np.uint64) for k in range(2))
+            np.concatenate([x[k] for x in each]) if each and k <= checked else np.zeros(0, dtype=np.uint64) for k in range(2))
+
+    def texts(self):
+        return (x.as_py() or b"" for x in self.column)
 
     def windows(self, size: int):
         """Hashes of the runs that lie within one text, and where they start."""
@@ -145,8 +154,16 @@ class _Batch:
         inside = np.ones(max(len(self.words) - size + 1, 0), dtype=bool)
         for end in self.first[1:]:
             inside[max(end - size + 1, 0):end] = False
-        start = np.flatnonzero(inside)
-        return window_hashes(self.words, size)[start], start
+        return window_hashes(self.words, size)[inside], np.flatnonzero(inside)
+
+    def aligned(self, start, block: int):
+        """Which of the places are a whole number of blocks away from where their text begins."""
+        import numpy as np
+
+        out = np.zeros(len(self.words), dtype=bool)
+        for a, b in zip(self.first[:-1], self.first[1:], strict=True):
+            out[a:b:block] = True
+        return out[start]
 
 
 def _packed(values) -> bytes:
@@ -208,14 +225,16 @@ def _parcels(batch: int, hashes, block, bits: int, n_buckets: int, checks=None)
     import numpy as np
 
     order = _order(hashes, checks)
-    ranked, second = hashes[order], None if checks is None else checks[order]
-    new = _new(ranked, second)
-    values = ranked[new]
-    many = np.diff(np.append(new, len(ranked))) > 1
-    blocks = np.maximum.reduceat(block[order], new) if len(new) else np.zeros(0, dtype=bool)
+    hashes, checks, block = hashes[order], None if checks is None else checks[order], block[order]
+    del order
+    new = _new(hashes, checks)
+    many = np.diff(new, append=len(hashes)) > 1
+    blocks = np.maximum.reduceat(block, new) if len(new) else np.zeros(0, dtype=bool)
+    values, second = hashes[new], None if checks is None else checks[new]
+    del hashes, checks, new
     cut = _cuts(values, bits, n_buckets)
     rows = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-    more = [None] * len(rows) if second is None else [second[new][s].astype("<u4").tobytes() for _, s in rows]
+    more = [None] * len(rows) if second is None else [second[s].astype("<u4").tobytes() for _, s in rows]
     return pa.table([
         pa.array([k for k, _ in rows], pa.int32()), pa.array([batch] * len(rows), pa.int32()),
         pa.array([_packed(values[s]) for _, s in rows], pa.binary()), pa.array(more, pa.binary()),
@@ -291,11 +310,12 @@ def remove_repeats(
     def index(rows: pa.Table) -> pa.Table:
         import numpy as np
 
-        texts = _Batch(rows.column(at))
+        texts = _Batch(rows.column(at), checked=False)
         hashes, start = texts.windows(block)
-        owner = np.searchsorted(texts.first, start, side="right") - 1
-        aligned = (start - texts.first[owner]) % block == 0
-        return _parcels(rows.column(-1 % rows.num_columns)[0].as_py(), hashes >> np.uint64(shift), aligned, ANCHOR_BITS, n_buckets)
+        hashes >>= np.uint64(shift)
+        aligned = texts.aligned(start, block)
+        del texts, start
+        return _parcels(rows.column(-1 % rows.num_columns)[0].as_py(), hashes, aligned, ANCHOR_BITS, n_buckets)
 
     def probe(parcels: pa.Table) -> pa.Table:
         import numpy as np
@@ -313,16 +333,20 @@ def remove_repeats(
             return _PARCEL.empty_table()
         texts = _Batch(rows.column(at))
         hashes, start = texts.windows(block)
-        values, back = np.unique(hashes >> np.uint64(shift), return_inverse=True)
+        hashes >>= np.uint64(shift)
+        values, back = np.unique(hashes, return_inverse=True)
+        del hashes
         cut, hit = _cuts(values, ANCHOR_BITS, n_buckets), np.zeros(len(values), dtype=bool)
         for b, f in zip(hits["bucket"].to_pylist(), hits["found"], strict=True):
             hit[cut[b]:cut[b + 1]] = np.unpackbits(np.frombuffer(f.as_py(), np.uint8), count=cut[b + 1] - cut[b])
         seen = np.zeros(len(texts.words) + 1, dtype=np.int64)
         seen[start[hit[back]] + 1] = 1
-        seen = np.cumsum(seen)
+        del values, back, start
+        np.cumsum(seen, out=seen)
         runs, first = texts.windows(window)
         through = seen[first + window - block + 1] > seen[first]  # an anchor starts in the run's first places
         runs, checks = runs[through], run_checks(texts.again, first[through], window)
+        del texts, seen, first, through
         return _parcels(rows.column(-1 % rows.num_columns)[0].as_py(), runs, np.ones(len(runs), dtype=bool), 64, n_buckets, checks)
 
     def compare(parcels: pa.Table) -> pa.Table:
@@ -342,13 +366,14 @@ def remove_repeats(
             known = np.concatenate([_unpacked(x.as_py()) for x in repeats["found"]])
             seconds = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in repeats["checks"]])
             order = np.lexsort((seconds, known))
+            known, seconds = known[order], seconds[order]
             runs, first = texts.windows(window)
-            begin = first[_known(runs, lambda some: run_checks(texts.again, first[some], window), known[order], seconds[order])]
+            begin = first[_known(runs, lambda some: run_checks(texts.again, first[some], window), known, seconds)]
             np.add.at(cover, begin, 1)
             np.add.at(cover, begin + window, -1)
         covered = np.cumsum(cover[:-1]) > 0
         removed, sha, kept = [], [], []
-        for k, text in enumerate(texts.texts):
+        for k, text in enumerate(texts.texts()):
             gone = covered[texts.first[k]:texts.first[k + 1]]
             left = text.split()
             if n := int(gone.sum()):
